@@ -58,6 +58,7 @@ SEQUENCE_COLUMNS = [
     "asize0_4", "bsize5_9", "asize5_9", "tradeBuyQty", "tradeSellQty", "tradeBuyTurnover",
     "tradeSellTurnover", "nAddBuy", "nAddSell", "nCxlBuy", "nCxlSell", "buyVwad", "sellVwad",
 ]
+FLAT_PRICE = 1e-12
 NOON_BREAK, AFTERNOON_OPEN = 113000000, 130000000
 REGIME_WEIGHTS = {"volatility": 0.35, "spread": 0.25, "pressure": 0.20, "activity": 0.10, "cancel": 0.10}
 REGIME_QUANTILES = (0.33, 0.66)
@@ -302,17 +303,24 @@ def trade_impact(panel: Panel, df: DataFrame) -> DataFrame:
 # -- cross-section --------------------------------------------------------------
 
 
+def _stored(columns: list[str]) -> dict[str, Column]:
+    """Stage columns as the store keeps them: at float precision. Differences in
+    the last bits of a double would otherwise rank, or scale, equal values."""
+    return {f"_f_{c}": _c(c).cast("float").cast("double") for c in columns}
+
+
 def cross_z(panel: Panel, df: DataFrame) -> DataFrame:
-    df = cross_zscores(df, panel.cross_fits, {f"{c}_cs_z": c for c in CROSS_SOURCES})
-    return df.withColumns({f"{c}_cs_z": clean(_c(f"{c}_cs_z")) for c in CROSS_SOURCES})
+    stored = _stored(CROSS_SOURCES)
+    df = cross_zscores(df.withColumns(stored), panel.cross_fits, {f"{c}_cs_z": f"_f_{c}" for c in CROSS_SOURCES})
+    return df.withColumns({f"{c}_cs_z": clean(_c(f"{c}_cs_z")) for c in CROSS_SOURCES}).drop(*stored)
 
 
 def cross_rank(panel: Panel, df: DataFrame) -> DataFrame:
-    """Average percentage rank; stage columns are ranked at float precision."""
-    df = df.withColumns({f"_f_{c}": _c(c).cast("float").cast("double") for c in CROSS_SOURCES})
-    df = pct_ranks(df, panel.cross_fits, {f"{c}_cs_rank": f"_f_{c}" for c in CROSS_SOURCES}, CROSS)
-    df = df.withColumns({f"{c}_cs_rank": zero(_c(f"{c}_cs_rank")) for c in CROSS_SOURCES})
-    return df.drop(*[f"_f_{c}" for c in CROSS_SOURCES])
+    """Average percentage rank of the stored values."""
+    stored = _stored(CROSS_SOURCES)
+    ranks = {f"{c}_cs_rank": f"_f_{c}" for c in CROSS_SOURCES}
+    df = pct_ranks(df.withColumns(stored), panel.cross_fits, ranks, CROSS)
+    return df.withColumns({f"{c}_cs_rank": zero(_c(f"{c}_cs_rank")) for c in CROSS_SOURCES}).drop(*stored)
 
 
 def time_of_day(panel: Panel, df: DataFrame) -> DataFrame:
@@ -622,7 +630,7 @@ MICRO_WINDOW = 12
 
 def micro_dynamics(d: DataFrame, series: Series) -> DataFrame:
     d = with_emas(d, series, MICRO_EMAS)
-    log_mid = F.log(F.greatest(_c("midpx"), F.lit(RAW_EPS)))
+    log_mid = F.when(_c("midpx").isNotNull(), F.log(F.greatest(_c("midpx"), F.lit(RAW_EPS))))
     add_imb = imbalance_eps(_c("nAddBuy"), _c("nAddSell"))
     d = d.withColumns({"_log_mid": log_mid, "_add_imb": add_imb})
     d = d.withColumn("_log_ret", zero(_c("_log_mid") - series.lag("_log_mid")))
@@ -667,9 +675,6 @@ def raw_channels(panel: Panel, df: DataFrame) -> DataFrame:
     return df.withColumns(out | {c: clean(_c(c)) for c in RATIOS})
 
 
-FLAT_PRICE = 1e-12
-
-
 def sequence_lags(panel: Panel, df: DataFrame, lags: list[int]) -> DataFrame:
     """Raw sequence columns and their lags, 0 before the start of a series."""
 
