@@ -141,9 +141,9 @@ DELIVERY = """SELECT CAST(0 AS BIGINT) AS fold_id, 0 AS t0, c AS t1, c + 2 AS v0
   SELECT (SELECT count(*) FROM days WHERE day <= 20240122) AS c, (SELECT count(*) FROM days WHERE day <= 20240130) AS n)"""
 SQL["f08_delivery_fold"] = query(segments(DELIVERY, 2), "days")
 SQL["f09_causality_violations"] = query(f"""SELECT * FROM (WITH s AS ({segments(EXPANDING, 1)}),
-  o AS (SELECT *, CASE segment WHEN 'train_core' THEN 0 WHEN 'earlystop' THEN 1 WHEN 'embargo' THEN 2 ELSE 3 END AS at FROM s),
-  g AS (SELECT fold_id, at, min(day) AS lo, max(day) AS hi FROM o GROUP BY fold_id, at)
-  SELECT s.fold_id, count(*) AS n_days, CAST((SELECT count(*) FROM g a JOIN g b ON a.fold_id = b.fold_id AND a.at < b.at
+  o AS (SELECT *, CASE segment WHEN 'train_core' THEN 0 WHEN 'earlystop' THEN 1 WHEN 'embargo' THEN 2 ELSE 3 END AS ord FROM s),
+  g AS (SELECT fold_id, ord, min(day) AS lo, max(day) AS hi FROM o GROUP BY fold_id, ord)
+  SELECT s.fold_id, count(*) AS n_days, CAST((SELECT count(*) FROM g a JOIN g b ON a.fold_id = b.fold_id AND a.ord < b.ord
     WHERE a.hi >= b.lo AND a.fold_id = s.fold_id) AS BIGINT) AS n_bad FROM s GROUP BY s.fold_id)""", "cuts", "days")
 SQL["f10_holdout"] = query(f"""SELECT {K}, 'review' AS holdout_name, CASE WHEN date <= 20240120 THEN 'train' ELSE 'holdout' END
   AS segment, {qs('midpx')} FROM bars WHERE date BETWEEN 20240101 AND 20240120 OR date BETWEEN 20240122 AND 20240130""", "bars")
@@ -366,6 +366,9 @@ SQL["j18_feature_health"] = query("\nUNION ALL ".join(
     f"SELECT date, '{c}' AS feature, count(*) AS n_rows, CAST(sum(CASE WHEN abs({c}) < 'Infinity'::DOUBLE THEN 0 ELSE 1 END) AS BIGINT) AS n_bad, "
     f"{q(f'max(abs({c}))', 'max_abs')} FROM bars GROUP BY date" for c in RAW), "bars")
 
+SQL["flagship_daily_ic"] = query(f"""SELECT date, n_rows, {qs('ic')} FROM (SELECT date, count(*) AS n_rows,
+  coalesce({corr('order_pressure_cs_z', 'fret12')}, 0.0) AS ic FROM cross_z GROUP BY date)""", "cross_z")
+
 # blends
 SQL["k01_raw_mean"] = query(f"""SELECT {K}, n_members, {qs('pred')} FROM (SELECT {K}, avg(pred) AS pred, count(*) AS n_members
   FROM (SELECT * FROM pa UNION ALL SELECT * FROM pb) GROUP BY {K})""", "pa", "pb")

@@ -1,5 +1,5 @@
 """All comparison SQL, by the name of its query."""
 
-from barspan.oracle import features, protocol
+from barspan.oracle import features, models, protocol
 
-SQL = dict(sorted((features.SQL | protocol.SQL).items()))
+SQL = dict(sorted((features.SQL | protocol.SQL | models.SQL).items()))

@@ -42,6 +42,16 @@ def over_panel(build):
     return build
 
 
+@over_panel
+def flagship_daily_ic(p: Panel) -> DataFrame:
+    """Per-day correlation of cross-sectional order pressure with the forward return."""
+    scored = build_features(p, ["cross_z"]).select(
+        "date", F.col("order_pressure_cs_z").alias("pred"), F.col(LABEL).alias("label")
+    )
+    out = metrics.group_correlation(scored, ["date"])
+    return present(out.withColumn("ic", F.coalesce("ic", F.lit(0.0))), ["ic"], ["date", "n_rows"])
+
+
 # -- scans ------------------------------------------------------------------------
 
 
