@@ -86,9 +86,9 @@ def pearson(x: Column, y: Column) -> Column:
     )
 
 
-def presented(c: Column) -> Column:
+def presented(name: str) -> Column:
     """Six decimals and float precision: the form in which results are compared."""
-    near = F.when(
-        F.abs(c) < F.lit(1e12), F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
-    ).otherwise(c)
-    return near.cast("float").cast("double")
+    return F.expr(
+        f"cast(cast(case when abs(`{name}`) < 1e12D then floor(`{name}` * 1e6D + 0.5D) / 1e6D "
+        f"else `{name}` end as float) as double) as `{name}`"
+    )

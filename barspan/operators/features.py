@@ -25,7 +25,19 @@ from barspan.functions.scalars import (
 )
 from barspan.plans.groups import CROSS, attach, attach_bounded, cross_zscores
 from barspan.plans.order_stats import pct_ranks, quantiles
-from barspan.plans.series import Series, ema_halo, forward_filled, run_in_order, with_emas, with_gap_ema
+from barspan.plans.series import (
+    Series,
+    ema_halo,
+    forward_filled,
+    rolling_mean,
+    rolling_name,
+    rolling_std,
+    rolling_zscore,
+    run_in_order,
+    with_emas,
+    with_gap_ema,
+    with_rolling,
+)
 from barspan.sources.bars import PRICES, RATIOS, VOLUMES, Panel
 
 # Windows, levels and source columns of the stages.
@@ -157,37 +169,52 @@ def lag(panel: Panel, df: DataFrame) -> DataFrame:
 
 def roll(panel: Panel, df: DataFrame) -> DataFrame:
     def build(d: DataFrame, series: Series) -> DataFrame:
+        d = with_rolling(d, series, ROLL_COLUMNS, ROLL_WINDOWS)
         out = {}
         for w in ROLL_WINDOWS:
             for c in ROLL_COLUMNS:
-                out[f"{c}_rm{w}"] = clean(series.mean(c, w))
-                out[f"{c}_rs{w}"] = clean(series.std(c, w))
-        return d.withColumns(out)
+                out[f"{c}_rm{w}"] = F.expr(rolling_mean(c, w))
+                out[f"{c}_rs{w}"] = F.expr(rolling_std(c, w))
+        return d.withColumns(out).drop("_row", *rolling_helpers(ROLL_COLUMNS, ROLL_WINDOWS))
 
     return panel.on_series(build, max(ROLL_WINDOWS), df)
 
 
 def patch(panel: Panel, df: DataFrame) -> DataFrame:
+    """Summary of the last rows. The slope is the mean of the first differences
+    inside the window; they telescope to the difference of its two ends."""
+
     def build(d: DataFrame, series: Series) -> DataFrame:
-        d = d.withColumns({f"_step_{c}": _c(c) - series.lag(c) for c in PATCH_COLUMNS})
+        d = with_rolling(d, series, PATCH_COLUMNS, PATCH_WINDOWS)
+        ends = {f"_first_{c}": F.first(c).over(series.so_far) for c in PATCH_COLUMNS}
+        ends |= {f"_lag{w}_{c}": series.lag(c, w) for c in PATCH_COLUMNS for w in PATCH_WINDOWS}
+        d = d.withColumns(ends)
         out = {}
         for c in PATCH_COLUMNS:
             for w in PATCH_WINDOWS:
-                high, low = F.max(c).over(series.last(w)), F.min(c).over(series.last(w))
+                name = lambda kind: f"{c}_patch{w}_{kind}"  # noqa: B023
+                high, low = f"`{rolling_name(c, w, 'max')}`", f"`{rolling_name(c, w, 'min')}`"
                 out |= {
-                    f"{c}_patch{w}_mean": clean(series.mean(c, w)),
-                    f"{c}_patch{w}_std": clean(series.std(c, w)),
-                    f"{c}_patch{w}_max": clean(high),
-                    f"{c}_patch{w}_min": clean(low),
-                    f"{c}_patch{w}_range": clean(high - low),
-                    f"{c}_patch{w}_slope": clean(series.mean(f"_step_{c}", w)),
-                    f"{c}_patch{w}_last": clean(_c(c)),
+                    name("mean"): F.expr(rolling_mean(c, w)),
+                    name("std"): F.expr(rolling_std(c, w)),
+                    name("max"): F.expr(high),
+                    name("min"): F.expr(low),
+                    name("range"): F.expr(f"{high} - {low}"),
+                    name("slope"): F.expr(
+                        f"case when _row = 0 then 0D else (`{c}` - coalesce(`_lag{w}_{c}`, `_first_{c}`)) "
+                        f"/ least(_row, {w}) end"
+                    ),
+                    name("last"): _c(c),
                 }
-        return d.withColumns(out).drop(*[f"_step_{c}" for c in PATCH_COLUMNS])
+        return d.withColumns(out).drop("_row", *ends, *rolling_helpers(PATCH_COLUMNS, PATCH_WINDOWS))
 
     return panel.on_series(build, max(PATCH_WINDOWS) + 1, df)
 
 
+def rolling_helpers(columns: list[str], windows: list[int]) -> list[str]:
+    return [rolling_name(c, w, k) for c in columns for w in windows for k in ("sum", "squares", "max", "min")]
+
+
 # -- order flow -----------------------------------------------------------------
 
 
@@ -242,14 +269,14 @@ def flow_ratios(df: DataFrame) -> DataFrame:
 def dynamics(d: DataFrame, series: Series, columns: list[str]) -> DataFrame:
     """EMA, sum, mean and z-score of each column over the flow windows."""
     d = with_emas(d, series, {f"{c}_ema{w}": (c, w) for c in columns for w in FLOW_WINDOWS})
+    d = with_rolling(d, series, columns, FLOW_WINDOWS)
     out = {}
     for c in columns:
         for w in FLOW_WINDOWS:
-            out[f"{c}_ema{w}"] = clean(_c(f"{c}_ema{w}"))
-            out[f"{c}_sum{w}"] = clean(F.sum(c).over(series.last(w)))
-            out[f"{c}_mean{w}"] = clean(series.mean(c, w))
-            out[f"{c}_z{w}"] = clean(series.zscore(c, w, ABS_EPS))
-    return d.withColumns(out)
+            out[f"{c}_sum{w}"] = _c(rolling_name(c, w, "sum"))
+            out[f"{c}_mean{w}"] = F.expr(rolling_mean(c, w))
+            out[f"{c}_z{w}"] = F.expr(rolling_zscore(c, w, ABS_EPS))
+    return d.withColumns(out).drop("_row", *rolling_helpers(columns, FLOW_WINDOWS))
 
 
 def ofi_levels(panel: Panel, df: DataFrame) -> DataFrame:
@@ -634,7 +661,7 @@ def micro_dynamics(d: DataFrame, series: Series) -> DataFrame:
     add_imb = imbalance_eps(_c("nAddBuy"), _c("nAddSell"))
     d = d.withColumns({"_log_mid": log_mid, "_add_imb": add_imb})
     d = d.withColumn("_log_ret", zero(_c("_log_mid") - series.lag("_log_mid")))
-    out = {n: clean(_c(n)) for n in MICRO_EMAS}
+    out = {}
     out["rx_add_imb_chg"] = clean(_c("_add_imb") - series.lag("_add_imb"))
     out |= {n: clean(series.zscore(c, MICRO_WINDOW, RAW_EPS, min_rows=2)) for n, c in MICRO_ZSCORES.items()}
     enough = F.count("_log_ret").over(series.last(MICRO_WINDOW)) >= 2

@@ -93,13 +93,14 @@ def pct_rank(df: DataFrame, groups: list[str], value: str, name: str) -> DataFra
 
 
 def window_pct_rank(groups: list[str], value: str) -> Column:
-    """The same number as a window, for groups known to fit one task."""
-    group = Window.partitionBy(*groups)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, value))
-    first = F.rank().over(group.orderBy(F.col(value).asc_nulls_last()))
-    size = F.count(value).over(group)
-    rank = F.try_divide(first + (ties - F.lit(1)) / F.lit(2), size.cast("double"))
-    return F.when(F.col(value).isNotNull(), rank)
+    """The same number as a window, for groups known to fit one task. The average
+    of the first and the last position of a tie is its average rank, and both
+    come from one window: rank() and the rows up to and including the ties."""
+    group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    ordered = group.orderBy(F.col(value).asc_nulls_last())
+    through = F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = (F.rank().over(ordered) + through) / F.lit(2.0)
+    return F.when(F.col(value).isNotNull(), F.try_divide(rank, F.count(value).over(group).cast("double")))
 
 
 def pct_ranks(
@@ -114,14 +115,17 @@ def pct_ranks(
 
 
 def quantiles(
-    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float]
+    df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], fits_task: bool = False
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles.
 
     Position q (n - 1) lies between two order statistics; each is the distinct
     value whose range of positions holds it, so two filtered maxima per quantile
-    finish the job.
+    finish the job. Groups known to fit a task use the exact built-in aggregate.
     """
+    if fits_task:
+        grouped = df.groupBy(*groups) if groups else df
+        return grouped.agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in wanted.items()])
     positions = value_positions(df, groups, value)
     if groups:
         positions = positions.join(group_sizes(df, groups, value), groups)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -25,20 +26,27 @@ class Series:
     longest: int = 0
     order: str = "bar"
 
-    @property
+    @cached_property
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.partition).orderBy(self.order)
 
     def last(self, rows: int) -> WindowSpec:
         return self.ordered.rowsBetween(-(rows - 1), 0)
 
-    @property
+    @cached_property
     def so_far(self) -> WindowSpec:
         return self.ordered.rowsBetween(Window.unboundedPreceding, 0)
 
     def lag(self, c: Column | str, n: int = 1) -> Column:
         return F.lag(c, n).over(self.ordered)
 
+    @property
+    def row(self) -> Column:
+        """0-based position in the whole series."""
+        if "chunk" in self.partition:
+            return F.col("pos") - F.lit(1)
+        return F.row_number().over(self.ordered) - F.lit(1)
+
     # -- rolling statistics -------------------------------------------------
 
     def mean(self, c: Column | str, rows: int) -> Column:
@@ -115,6 +123,111 @@ def forward_filled(df: DataFrame, layout: Layout, limits: Limits, source: str, n
     return chunked.join(ends, keys).withColumn(name, F.coalesce(here, "_carried")).drop("_chunk", "_carried")
 
 
+# -- nested rolling windows ---------------------------------------------------
+
+
+def _pieces(window: int, known: list[int]) -> list[int] | None:
+    """Known windows that lie end to end in a larger one, longest first."""
+    parts, left = [], window
+    for w in sorted(known, reverse=True):
+        while w <= left:
+            parts.append(w)
+            left -= w
+    return parts if left == 0 else None
+
+
+def rolling_name(column: str, window: int, kind: str) -> str:
+    return f"_{kind}{window}_{column}"
+
+
+def with_rolling(df: DataFrame, series: Series, columns: list[str], windows: list[int]) -> DataFrame:
+    """Add sum, squares, max and min of non-null columns over several windows.
+
+    ``squares`` is the sum of squared deviations from the window mean. Spark
+    evaluates a sliding frame anew for every row, so a window of 60 rows costs 60
+    steps. A window that is a chain of shorter ones needs none: its statistics
+    are those of its parts, found by lag, and merge exactly. Only the shortest
+    windows are evaluated row by row. Adds ``_row``, the position in the series.
+    """
+    df = df.withColumn("_row", series.row)
+    levels: list[list[tuple[int, list[int] | None]]] = [[]]
+    known: list[int] = []
+    depth: dict[int, int] = {}
+    for w in sorted(windows):
+        parts = _pieces(w, known)
+        at = 0 if parts is None else 1 + max(depth[p] for p in parts)
+        while len(levels) <= at:
+            levels.append([])
+        levels[at].append((w, parts))
+        depth[w] = at
+        known.append(w)
+    for level in levels:
+        added, merged = {}, {}
+        for w, parts in level:
+            if parts is None:
+                frame = series.last(w)
+                for c in columns:
+                    n = F.expr(f"cast(least(_row + 1, {w}) as double)")
+                    added[rolling_name(c, w, "sum")] = F.sum(c).over(frame)
+                    added[rolling_name(c, w, "squares")] = F.var_pop(c).over(frame) * n
+                    added[rolling_name(c, w, "max")] = F.max(c).over(frame)
+                    added[rolling_name(c, w, "min")] = F.min(c).over(frame)
+                continue
+            offset = 0
+            for i, part in enumerate(parts):
+                if offset:
+                    for c in columns:
+                        for kind in ("sum", "squares", "max", "min"):
+                            source = rolling_name(c, part, kind)
+                            added[f"_p{i}_{rolling_name(c, w, kind)}"] = F.lag(source, offset).over(series.ordered)
+                offset += part
+            for c in columns:
+                merged |= _merged(c, w, parts)
+        df = df.withColumns(added) if added else df
+        df = df.withColumns(merged).drop(*[n for n in added if n.startswith("_p")]) if merged else df
+    return df
+
+
+def _merged(c: str, w: int, parts: list[int]) -> dict[str, Column]:
+    pieces, offset = [], 0
+    for i, part in enumerate(parts):
+        name = lambda kind: f"_p{i}_{rolling_name(c, w, kind)}" if offset else rolling_name(c, part, kind)  # noqa: B023
+        n = f"cast(least(_row + 1 - {offset}, {part}) as double)"
+        pieces.append((n, {kind: f"`{name(kind)}`" for kind in ("sum", "squares", "max", "min")}))
+        offset += part
+    whole = " + ".join(f"coalesce({p['sum']}, 0D)" for _, p in pieces)
+    mean = f"(({whole}) / least(_row + 1, {w}))"
+    squares = " + ".join(
+        f"coalesce({p['squares']} + {n} * pow({p['sum']} / {n} - {mean}, 2), 0D)"
+        if i == 0
+        else f"case when {n} > 0 then {p['squares']} + {n} * pow({p['sum']} / {n} - {mean}, 2) else 0D end"
+        for i, (n, p) in enumerate(pieces)
+    )
+    listed = lambda kind: ", ".join(p[kind] for _, p in pieces)
+    return {
+        rolling_name(c, w, "sum"): F.expr(whole),
+        rolling_name(c, w, "squares"): F.expr(squares),
+        rolling_name(c, w, "max"): F.expr(f"greatest({listed('max')})"),
+        rolling_name(c, w, "min"): F.expr(f"least({listed('min')})"),
+    }
+
+
+def rolling_mean(c: str, w: int) -> str:
+    return f"(`{rolling_name(c, w, 'sum')}` / least(_row + 1, {w}))"
+
+
+def rolling_std(c: str, w: int) -> str:
+    return f"sqrt(`{rolling_name(c, w, 'squares')}` / least(_row + 1, {w}))"
+
+
+def rolling_zscore(c: str, w: int, eps: float) -> str:
+    high, low = rolling_name(c, w, "max"), rolling_name(c, w, "min")
+    return (
+        f"case when `{high}` = `{low}` then 0D "
+        f"else (`{c}` - {rolling_mean(c, w)}) / ({rolling_std(c, w)} + {eps!r}D) end"
+    )
+
+
 # -- exponential averages ----------------------------------------------------
 
 
@@ -127,42 +240,42 @@ def with_emas(df: DataFrame, series: Series, wanted: dict[str, tuple[str, int]])
 
     ``wanted`` maps the new column to (source column, half life). A null source
     counts as 0, the value every stage stores for it. With k the position in the
-    series the recursion is sum(x w 2**(k/h)) 2**(-k/h), one running sum.
+    series the recursion is sum(x w 2**(k/h)) 2**(-k/h), one running sum; the two
+    powers are shared by all columns of a half life. Series too long for that
+    restart in blocks and carry the end of the block before.
     """
     split = "chunk" in series.partition
-    k = (F.col("pos") - F.lit(1)) if split else (F.row_number().over(series.ordered) - F.lit(1))
-    df = df.withColumn("_k", k)
-    temporary = ["_k"]
-    plain, blocked = {}, {}
+    df = df.withColumn("_k", series.row)
+    spans = sorted({h for _, h in wanted.values()})
+    helpers, blocks, blocked = {}, {}, []
+    for h in spans:
+        j = "_k"
+        if split or series.longest > SAFE_EXPONENT * h:
+            size = BLOCK_HALF_LIVES * h
+            j = f"_k % {size}"
+            blocks[f"_b{h}"] = F.expr(f"cast(floor(_k / {size}) as bigint)")
+            helpers[f"_last{h}"] = F.expr(f"{j} = {size - 1}")
+            helpers[f"_fade{h}"] = F.expr(f"pow(2D, -({j} + 1) / {h}D)")
+            blocked.append(h)
+        a = 1.0 - 2.0 ** (-1.0 / h)
+        helpers[f"_grow{h}"] = F.expr(f"pow(2D, ({j}) / {h}D) * case when _k = 0 then 1D else {a!r}D end")
+        helpers[f"_shrink{h}"] = F.expr(f"pow(2D, -({j}) / {h}D)")
+    df = df.withColumns(helpers | blocks)
+    local = {}
     for name, (source, h) in wanted.items():
-        long_series = split or series.longest > SAFE_EXPONENT * h
-        (blocked if long_series else plain)[name] = (source, h)
-    df = df.withColumns({n: _running(s, h, F.col("_k"), series) for n, (s, h) in plain.items()})
-    for h in sorted({h for _, h in blocked.values()}):
-        size = BLOCK_HALF_LIVES * h
-        j = F.col("_k") % F.lit(size)
-        block = Series((*series.partition, f"_b{h}"), series.longest, series.order)
-        df = df.withColumn(f"_b{h}", F.floor(F.col("_k") / F.lit(size)))
-        temporary.append(f"_b{h}")
-        names = [n for n, (_, hh) in blocked.items() if hh == h]
-        df = df.withColumns({f"_l_{n}": _running(blocked[n][0], h, j, block) for n in names})
+        spec = series if h not in blocked else Series((*series.partition, f"_b{h}"), series.longest, series.order)
+        run = F.sum(zero(F.col(source)) * F.col(f"_grow{h}")).over(spec.so_far)
+        local[name] = run * F.col(f"_shrink{h}")
+    df = df.withColumns(local)
+    if blocked:
         before = series.ordered.rowsBetween(Window.unboundedPreceding, -1)
-        ended = {
-            n: F.last(F.when(j == F.lit(size - 1), F.col(f"_l_{n}")), ignorenulls=True).over(before)
-            for n in names
-        }
-        decay = F.pow(F.lit(2.0), -(j + F.lit(1)) / F.lit(float(h)))
-        df = df.withColumns({n: F.col(f"_l_{n}") + zero(ended[n]) * decay for n in names})
-        temporary += [f"_l_{n}" for n in names]
-    return df.drop(*temporary)
-
-
-def _running(source: str, h: int, position: Column, series: Series) -> Column:
-    a = 1.0 - 2.0 ** (-1.0 / h)
-    weight = F.when(F.col("_k") == F.lit(0), F.lit(1.0)).otherwise(F.lit(a))
-    grow = F.pow(F.lit(2.0), position / F.lit(float(h)))
-    shrink = F.pow(F.lit(2.0), -position / F.lit(float(h)))
-    return F.sum(zero(F.col(source)) * weight * grow).over(series.so_far) * shrink
+        carried = {}
+        for name, (_, h) in wanted.items():
+            if h in blocked:
+                ended = F.last(F.when(F.col(f"_last{h}"), F.col(name)), ignorenulls=True).over(before)
+                carried[name] = F.col(name) + zero(ended) * F.col(f"_fade{h}")
+        df = df.withColumns(carried)
+    return df.drop("_k", *helpers, *blocks)
 
 
 def with_gap_ema(df: DataFrame, series: Series, name: str, source: str, half_life: int) -> DataFrame:

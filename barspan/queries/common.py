@@ -49,7 +49,7 @@ def dates_of(panel: Panel) -> DataFrame:
 
 
 def present(df: DataFrame, numbers: Iterable[str], keys: Iterable[str] = ()) -> DataFrame:
-    return df.select(*keys, *[presented(F.col(c)).alias(c) for c in numbers])
+    return df.select(*keys, *[presented(c) for c in numbers])
 
 
 def pred_a() -> Column:

@@ -16,12 +16,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def show(df: DataFrame, numbers: Iterable[str], keys: Iterable[str] = KEYS) -> DataFrame:
-    return df.select(*keys, *[presented(df[c]).alias(c) for c in numbers])
+    return df.select(*keys, *[presented(c) for c in numbers])
 
 
-def stage_query(build: Callable[[Panel], DataFrame], numbers: Iterable[str]) -> Query:
-    numbers = list(numbers)
-    return lambda spark, sf_dir: show(build(panel_from_events(spark, sf_dir)), numbers)
+def stage_query(build: Callable[[Panel], DataFrame], numbers: Iterable[str] | Callable[[], dict]) -> Query:
+    """``numbers`` lists the columns to return, or is the function that builds them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = numbers() if callable(numbers) else numbers
+        return show(build(panel_from_events(spark, sf_dir)), names)
+
+    return run
 
 
 def _upto(*stages: str) -> Callable[[Panel], DataFrame]:
@@ -38,9 +43,9 @@ LEVELS = list(fx.BOOK_LEVELS)
 _DYNAMIC = lambda names: [f"{c}_{k}{w}" for c in names for w in fx.FLOW_WINDOWS for k in ("ema", "sum", "mean", "z")]
 
 QUERIES: dict[str, Query] = {
-    "d01_spread_and_gaps": stage_query(lambda p: p.df.withColumns(fx.book_shape()), fx.book_shape()),
-    "d02_book_imbalance": stage_query(lambda p: p.df.withColumns(fx.book_imbalance()), fx.book_imbalance()),
-    "d03_flow_imbalance": stage_query(lambda p: p.df.withColumns(fx.flow_imbalance()), fx.flow_imbalance()),
+    "d01_spread_and_gaps": stage_query(lambda p: p.df.withColumns(fx.book_shape()), fx.book_shape),
+    "d02_book_imbalance": stage_query(lambda p: p.df.withColumns(fx.book_imbalance()), fx.book_imbalance),
+    "d03_flow_imbalance": stage_query(lambda p: p.df.withColumns(fx.flow_imbalance()), fx.flow_imbalance),
     "d04_mid_return": stage_query(_upto("base"), ["mid_ret1_raw"]),
     "d05_trade_imbalance_ema": stage_query(_upto("base"), ["trade_imbema5"]),
     "d06_lagged_return": stage_query(_upto("base"), ["bret12", "lagret12"]),
@@ -87,19 +92,19 @@ QUERIES: dict[str, Query] = {
     ),
     "d27_date_volatility": stage_query(lambda p: fx.date_volatility(p, fx.base(p, p.df)), ["state_vol_cs"]),
     "d28_date_means": stage_query(_upto("regime"), ["state_spread_cs", "state_activity_cs"]),
-    "d29_order_rates": stage_query(lambda p: p.df.withColumns(fx.micro_orders()), fx.micro_orders()),
-    "d30_book_shape": stage_query(lambda p: p.df.withColumns(fx.micro_book()), fx.micro_book()),
-    "d31_trade_prices": stage_query(lambda p: p.df.withColumns(fx.micro_trades()), fx.micro_trades()),
+    "d29_order_rates": stage_query(lambda p: p.df.withColumns(fx.micro_orders()), fx.micro_orders),
+    "d30_book_shape": stage_query(lambda p: p.df.withColumns(fx.micro_book()), fx.micro_book),
+    "d31_trade_prices": stage_query(lambda p: p.df.withColumns(fx.micro_trades()), fx.micro_trades),
     "d32_order_dynamics": stage_query(
         _upto("rx_micro"), ["rx_net_press_ema5", "rx_cxl_rate_ema5", "rx_obi_w_ema5", "rx_add_imb_chg"]
     ),
-    "d33_microprice": stage_query(lambda p: fx.micro_static(p.df), fx.micro_shape()),
+    "d33_microprice": stage_query(lambda p: fx.micro_static(p.df), fx.micro_shape),
     "d34_micro_zscores": stage_query(_upto("rx_micro"), [*fx.MICRO_ZSCORES, "rx2_net_press_ema12"]),
     "d35_realized_volatility": stage_query(_upto("rx_micro"), ["rx2_rvol12", "rx2_cxl_x_rvol"]),
-    "d36_open_high_low": stage_query(lambda p: p.df.withColumns(fx.micro_prices()), fx.micro_prices()),
-    "d37_turnover_ratios": stage_query(lambda p: p.df.withColumns(fx.micro_turnover()), fx.micro_turnover()),
+    "d36_open_high_low": stage_query(lambda p: p.df.withColumns(fx.micro_prices()), fx.micro_prices),
+    "d37_turnover_ratios": stage_query(lambda p: p.df.withColumns(fx.micro_turnover()), fx.micro_turnover),
     "d38_order_price_levels": stage_query(
-        lambda p: p.df.withColumns(fx.micro_order_prices()), fx.micro_order_prices()
+        lambda p: p.df.withColumns(fx.micro_order_prices()), fx.micro_order_prices
     ),
     "d39_raw_channels": stage_query(lambda p: fx.raw_channels(p, p.df), fx.channel_names()),
     "d40_identity_channels": stage_query(_upto("base"), ["obi0", "spread", "trade_imb"]),
