@@ -60,20 +60,31 @@ def check_quantiles(low: float, high: float) -> tuple[float, float]:
 
 
 def winsor_bounds(
-    rows: DataFrame, target: str, groups: list[str], low: float = WINSORIZE[0], high: float = WINSORIZE[1]
+    rows: DataFrame,
+    target: str,
+    groups: list[str],
+    low: float = WINSORIZE[0],
+    high: float = WINSORIZE[1],
+    fits_task: bool = False,
 ) -> DataFrame:
     """Exact clip bounds per group, one row each."""
     check_quantiles(low, high)
-    return quantiles(rows, groups, target, {"low_bound": low, "high_bound": high})
+    return quantiles(rows, groups, target, {"low_bound": low, "high_bound": high}, fits_task)
 
 
 def winsorized(target: str) -> Column:
     return F.greatest(F.least(F.col(target), F.col("high_bound")), F.col("low_bound"))
 
 
-def winsorize(rows: DataFrame, target: str, low: float = WINSORIZE[0], high: float = WINSORIZE[1]) -> DataFrame:
+def winsorize(
+    rows: DataFrame,
+    target: str,
+    low: float = WINSORIZE[0],
+    high: float = WINSORIZE[1],
+    fits_task: bool = False,
+) -> DataFrame:
     """Clip the target of training rows; validation rows are never passed in."""
-    bounds = winsor_bounds(rows, target, [], low, high)
+    bounds = winsor_bounds(rows, target, [], low, high, fits_task)
     one = bounds.select(F.struct("low_bound", "high_bound").alias("b")).scalar()
     clipped = F.greatest(F.least(F.col(target), F.col("_b.high_bound")), F.col("_b.low_bound"))
     return rows.withColumn("_b", one).withColumn(target, clipped).drop("_b")

@@ -281,7 +281,7 @@ def fit_model(
         baseline = labels.interval_baseline(rows) if target_mode == "interval_residual" else None
         rows = labels.with_target(panel, rows, target_mode, "_target")
         if winsor is not None:
-            rows = labels.winsorize(rows, "_target", *winsor)
+            rows = labels.winsorize(rows, "_target", *winsor, fits_task=panel.total_fits)
         fit = fit_columns(rows, columns, "_target", name, params)
     finally:
         train.unpersist()

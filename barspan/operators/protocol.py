@@ -126,7 +126,7 @@ def common_residual(
 
     fitted_on = with_common(train).withColumn("_left", F.col(LABEL) - F.col("common"))
     if winsor is not None:
-        fitted_on = labels.winsorize(fitted_on, "_left", *winsor)
+        fitted_on = labels.winsorize(fitted_on, "_left", *winsor, fits_task=panel.total_fits)
     residual = models.fit_columns(fitted_on, columns, "_left", residual_model, params)
     parts = {
         name: residual.predict(with_common(rows), "residual").select(*KEYS, F.col(LABEL).alias("label"), "common", "residual")

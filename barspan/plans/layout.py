@@ -27,11 +27,12 @@ class Limits:
 
 @dataclass(frozen=True)
 class Layout:
-    """Largest (date, symbol) series, (date, bar) cross-section and date."""
+    """Largest (date, symbol) series, (date, bar) cross-section and date; all rows."""
 
     series_rows: int
     cross_rows: int
     date_rows: int
+    total_rows: int
 
 
 def measure(keys: DataFrame) -> Layout:
@@ -46,5 +47,7 @@ def measure(keys: DataFrame) -> Layout:
     per_date = per_series.groupBy("date").agg(
         F.max(n).alias("longest"), F.sum(n).alias("rows"), F.count(one).alias("members")
     )
-    row = per_date.agg(*[F.max(c).alias(c) for c in ("longest", "rows", "members")]).first()
-    return Layout(int(row["longest"] or 0), int(row["members"] or 0), int(row["rows"] or 0))
+    whole = per_date.agg(
+        *[F.max(c).alias(c) for c in ("longest", "rows", "members")], F.sum("rows").alias("total")
+    ).first()
+    return Layout(*[int(whole[c] or 0) for c in ("longest", "members", "rows", "total")])

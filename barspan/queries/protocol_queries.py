@@ -28,6 +28,7 @@ from barspan.queries.common import (
 from barspan.sources import bars, calendar
 from barspan.sources.bars import CHANNELS, Panel
 from barspan.sources.predictions import average_duplicates, pending_jobs
+from barspan.sources.store import written
 
 QUERIES: dict[str, Query] = {}
 
@@ -292,7 +293,7 @@ def g02_interval_baseline(p: Panel) -> DataFrame:
 def g03_winsorized_labels(p: Panel) -> DataFrame:
     days = folds.fold_days(calendar_of(p), SCALED_PROFILES[:1]).where(F.col("segment") == "train")
     train = folds.attach_folds(bars.keys_and_label(p), days).withColumn("target", F.col(LABEL))
-    bounds = labels.winsor_bounds(train, "target", ["fold_id"])
+    bounds = labels.winsor_bounds(train, "target", ["fold_id"], fits_task=p.total_fits)
     clipped = train.join(bounds, "fold_id").withColumn("target", labels.winsorized("target"))
     return present(clipped, ["target"], ["fold_id", *KEYS])
 
@@ -479,9 +480,15 @@ SUMMARY = ["rolling_corr_mean", "rolling_corr_std", "rolling_corr_min", "rolling
            "daily_corr_mean", "daily_corr_std", "train_val_corr_gap_mean", "runtime_sec_sum"]
 
 
+def _fold_table(p: Panel) -> DataFrame:
+    """Fold metrics as a written table: what follows reads them, not the bars."""
+    return written(_fold_metrics(p), "fold_metrics")
+
+
 def _summary(p: Panel) -> DataFrame:
-    metrics_table = _fold_metrics(p).withColumn("runtime_sec", F.col("n_val_rows").cast("double"))
-    return leaderboard.summarize_profiles(metrics_table)
+    return leaderboard.summarize_profiles(
+        _fold_table(p).withColumn("runtime_sec", F.col("n_val_rows").cast("double"))
+    )
 
 
 @over_panel
@@ -513,8 +520,9 @@ def j12_leaderboard(p: Panel) -> DataFrame:
 
 @over_panel
 def j13_verdicts(p: Panel) -> DataFrame:
-    board = leaderboard.build_leaderboard(_summary(p), BASELINE, SCALED_WEIGHTS)
-    other = leaderboard.build_leaderboard(_summary(p), "X1_book", SCALED_WEIGHTS)
+    summary = _summary(p)
+    board = leaderboard.build_leaderboard(summary, BASELINE, SCALED_WEIGHTS)
+    other = leaderboard.build_leaderboard(summary, "X1_book", SCALED_WEIGHTS)
     columns = ["experiment_id", "decision", "failed_gates"]
     return board.select(F.lit(BASELINE).alias("against"), *columns).unionByName(
         other.select(F.lit("X1_book").alias("against"), *columns)
@@ -523,7 +531,7 @@ def j13_verdicts(p: Panel) -> DataFrame:
 
 @over_panel
 def j14_paired_diagnosis(p: Panel) -> DataFrame:
-    out = leaderboard.paired_diagnosis(_fold_metrics(p), BASELINE)
+    out = leaderboard.paired_diagnosis(_fold_table(p), BASELINE)
     return present(
         out,
         ["delta_mean", "delta_se", "t_stat", "delta_gap", "delta_daily_ic", "delta_corr_min"],
@@ -599,7 +607,7 @@ def k03_weighted_blend(p: Panel) -> DataFrame:
     weights = {"pred_a": 1.0, "pred_b": 3.0}
     df = _joined(p)
     for mode in ("raw", "zscore", "rank"):
-        df = blend.weighted_blend(df, weights, mode).withColumnRenamed("pred_blend", f"blend_{mode}")
+        df = blend.weighted_blend(df, weights, mode, p.total_fits).withColumnRenamed("pred_blend", f"blend_{mode}")
         df = df.drop("pred_a_z", "pred_b_z")
     return present(df, ["blend_raw", "blend_zscore", "blend_rank"], KEYS)
 
@@ -612,7 +620,7 @@ def k04_fallback_fusion(p: Panel) -> DataFrame:
 
 @over_panel
 def k05_clipped_predictions(p: Panel) -> DataFrame:
-    return present(blend.clipped(member_a(p), 0.01), ["pred"], KEYS)
+    return present(blend.clipped(member_a(p), 0.01, fits_task=p.total_fits), ["pred"], KEYS)
 
 
 @over_panel

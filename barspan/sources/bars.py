@@ -55,6 +55,11 @@ class Panel:
     def date_fits(self) -> bool:
         return self.layout.date_rows <= self.limits.date_rows
 
+    @property
+    def total_fits(self) -> bool:
+        """All rows together fit one task."""
+        return self.layout.total_rows <= self.limits.date_rows
+
     def with_df(self, df: DataFrame) -> Panel:
         return replace(self, df=df)
 
