@@ -38,6 +38,7 @@ from barspan.plans.series import (
     with_gap_ema,
     with_rolling,
 )
+from barspan.plans.tables import written
 from barspan.sources.bars import PRICES, RATIOS, VOLUMES, Panel
 
 # Windows, levels and source columns of the stages.
@@ -424,7 +425,7 @@ def volatility(panel: Panel, df: DataFrame) -> DataFrame:
     )
 
 
-def date_means(df: DataFrame) -> DataFrame:
+def date_means(panel: Panel, df: DataFrame) -> DataFrame:
     return attach(
         df,
         ["date"],
@@ -433,6 +434,7 @@ def date_means(df: DataFrame) -> DataFrame:
             "state_spread_cs": F.avg("spread"),
             "state_activity_cs": F.avg("trade_activity"),
         },
+        cut=not panel.date_fits,
     )
 
 
@@ -495,6 +497,7 @@ def date_volatility(panel: Panel, df: DataFrame) -> DataFrame:
     """Std of the last 10 returns of the date in (symbol, bar) order: it runs
     across symbols, so long dates are cut at positions within the date."""
     if not panel.date_fits:
+        df = written(df, "rows")
         sizes = df.groupBy("date", "symbol").agg(F.count(F.lit(1)).alias("_n"))
         before = Series(("date",), order="symbol").ordered.rowsBetween(-(2**31), -1)
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -518,7 +521,7 @@ def date_volatility(panel: Panel, df: DataFrame) -> DataFrame:
 
 
 def regime(panel: Panel, df: DataFrame) -> DataFrame:
-    df = date_means(volatility(panel, df)).withColumn("regime_score", regime_score())
+    df = date_means(panel, volatility(panel, df)).withColumn("regime_score", regime_score())
     df = df.join(date_thresholds(panel, df), "date").withColumns(regime_states())
     spare = ["_vol10", "_vol_mean", "_score_low", "_score_high", "_vol_median", "_spread_median", "_pressure_median"]
     return date_volatility(panel, df).drop(*spare)

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barspan.plans.tables import written
+
 CROSS = ["date", "bar"]
 
 
-def attach(df: DataFrame, groups: list[str], statistics: dict[str, Column]) -> DataFrame:
+def attach(df: DataFrame, groups: list[str], statistics: dict[str, Column], cut: bool = False) -> DataFrame:
     """Aggregate per group and join the result back.
 
     The aggregation combines on the map side, so a hot group costs one row per
     task; the join leaves the choice of strategy, and the splitting of a skewed
-    key, to adaptive execution.
+    key, to adaptive execution. ``cut`` continues from a written table.
     """
+    if cut:
+        df = written(df, "rows")
     table = df.groupBy(*groups).agg(*[c.alias(n) for n, c in statistics.items()])
     return df.join(table, groups)
 
@@ -23,7 +27,7 @@ def attach_bounded(
 ) -> DataFrame:
     """One window pass while the measured groups fit a task, ``attach`` beyond."""
     if not fits_task:
-        return attach(df, groups, statistics)
+        return attach(df, groups, statistics, cut=True)
     window = Window.partitionBy(*groups)
     return df.withColumns({n: c.over(window) for n, c in statistics.items()})
 

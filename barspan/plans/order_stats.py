@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barspan.plans.tables import written
+
 _MANTISSA_HIGH = 4096.0
 _MANTISSA_LOW = float(2**20)
 _STRIDE = 8200
@@ -51,10 +53,13 @@ def _same(a: str, b: str, columns: list[str]) -> Column:
 
 
 def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct non-null values per group with ``n_equal`` and ``n_below``."""
+    """Distinct non-null values per group with ``n_equal`` and ``n_below``.
+
+    The counts are written once; all levels read that table.
+    """
     present = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias(value))
     exact = present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    exact = exact.withColumns(_bucket_columns(F.col(value)))
+    exact = written(exact.withColumns(_bucket_columns(F.col(value))), "values")
     low = exact.groupBy(*groups, "_high", "_low").agg(F.sum("n_equal").alias("_n"))
     high = low.groupBy(*groups, "_high").agg(F.sum("_n").alias("_n"))
     running = F.coalesce(F.sum("_n").over(_earlier(groups, "_high")), F.lit(0))
@@ -74,22 +79,25 @@ def group_sizes(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.groupBy(*groups).agg(F.count(value).alias("n_values"))
 
 
-def pct_rank(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """Add the average rank divided by the number of non-null values."""
-    positions = value_positions(df, groups, value).withColumn(
-        "_rank", F.col("n_below") + (F.col("n_equal") + F.lit(1)) / F.lit(2)
+def _ranks(df: DataFrame, values: dict[str, str], groups: list[str]) -> DataFrame:
+    """Rank large groups: all columns are counted in one tall pass, and the
+    ranks of each come back by a join on its values."""
+    df = written(df, "ranked_rows")
+    pairs = F.array(
+        *[F.struct(F.lit(n).alias("_name"), F.col(v).cast("double").alias("_value")) for n, v in values.items()]
     )
-    if groups:
-        positions = positions.join(group_sizes(df, groups, value), groups)
-    else:
-        size = df.agg(F.count(value).alias("n")).select("n").scalar()
-        positions = positions.withColumn("n_values", size)
-    ranked = positions.select(
-        *groups, F.col(value).alias("_value"), (F.col("_rank") / F.col("n_values")).alias(name)
+    tall = df.select(*groups, F.inline(pairs))
+    positions = value_positions(tall, [*groups, "_name"], "_value")
+    sizes = group_sizes(tall, [*groups, "_name"], "_value")
+    rank = F.col("n_below") + (F.col("n_equal") + F.lit(1)) / F.lit(2)
+    ranked = written(
+        positions.join(sizes, [*groups, "_name"]).withColumn("_rank", rank / F.col("n_values")), "ranks"
     )
-    matches = F.col(f"a.{value}").cast("double") == F.col("b._value")
-    joined = df.alias("a").join(ranked.alias("b"), _same("a", "b", groups) & matches, "left")
-    return joined.select("a.*", F.col(f"b.{name}"))
+    for name, v in values.items():
+        own = ranked.where(F.col("_name") == name).select(*groups, "_value", F.col("_rank").alias(name))
+        matches = _same("a", "b", groups) & (F.col(f"a.{v}").cast("double") == F.col("b._value"))
+        df = df.alias("a").join(own.alias("b"), matches, "left").select("a.*", F.col(f"b.{name}"))
+    return df
 
 
 def window_pct_rank(groups: list[str], value: str) -> Column:
@@ -109,9 +117,7 @@ def pct_ranks(
     """Rank several columns per group; ``values`` maps the new name to the column."""
     if fits_task:
         return df.withColumns({name: window_pct_rank(groups, v) for name, v in values.items()})
-    for name, v in values.items():
-        df = pct_rank(df, groups, v, name)
-    return df
+    return _ranks(df, values, groups)
 
 
 def quantiles(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barspan.functions.scalars import zero
 from barspan.plans.layout import Layout, Limits
+from barspan.plans.tables import written
 
 # Past this exponent the closed form of the exponential average would leave the
 # range of a double (2**1023), so longer series restart it in blocks.
@@ -112,6 +113,7 @@ def forward_filled(df: DataFrame, layout: Layout, limits: Limits, source: str, n
     if layout.series_rows <= limits.series_rows:
         return df.withColumn(name, F.last(source, ignorenulls=True).over(Series().so_far))
     keys = ["date", "symbol", "_chunk"]
+    df = written(df, "rows")
     chunked = df.withColumn("_chunk", F.floor((F.col("pos") - F.lit(1)) / F.lit(limits.chunk_rows)))
     present = chunked.where(F.col(source).isNotNull())
     ends = chunked.select(*keys).distinct().join(

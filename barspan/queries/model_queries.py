@@ -11,6 +11,7 @@ from barspan.operators.metrics import correlation, pooled
 from barspan.operators.sequences import gather_windows
 from barspan.operators.specs import MEMBERS, Spec
 from barspan.plans.catalogue import BASE, CATALOGUE, CROSS_Z, build_features
+from barspan.plans.tables import fresh_path
 from barspan.queries.common import (
     SCALED_PROFILES,
     Query,
@@ -24,7 +25,7 @@ from barspan.queries.common import (
 )
 from barspan.sources.bars import Panel
 from barspan.sources.predictions import append_oof, dump_scored, load_member
-from barspan.sources.store import FeatureStore, fresh_path
+from barspan.sources.store import FeatureStore
 
 QUERIES: dict[str, Query] = {}
 TRAIN, VAL = (20240101, 20240120), (20240122, 20240130)

@@ -8,6 +8,7 @@ from barspan.functions.scalars import KEYS, LABEL, clean, div_abs, div_eps, flag
 from barspan.operators import blend, folds, labels, leaderboard, metrics, sequences
 from barspan.operators.protocol import fold_metrics
 from barspan.plans.catalogue import CATALOGUE, build_features
+from barspan.plans.tables import written
 from barspan.queries.common import (
     BASELINE,
     SCALED_PROFILES,
@@ -28,7 +29,6 @@ from barspan.queries.common import (
 from barspan.sources import bars, calendar
 from barspan.sources.bars import CHANNELS, Panel
 from barspan.sources.predictions import average_duplicates, pending_jobs
-from barspan.sources.store import written
 
 QUERIES: dict[str, Query] = {}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from barspan.functions.scalars import KEYS, LABEL, clean
 from barspan.plans.layout import Layout, Limits, measure
 from barspan.plans.series import Series, run_on_series
+from barspan.plans.tables import written
 
 # The channels of a bar, by kind.
 PRICES = [
@@ -95,7 +96,7 @@ def read_panel(
     layout = measure(df.select("date", "symbol"))
     if layout.series_rows > limits.series_rows:
         # A bar key is HHMMSSmmm, so a second holds at most 1000 bars of a series.
-        df = _with_positions(df, F.floor(F.col("bar") / F.lit(1000)), ["bar"])
+        df = written(_with_positions(df, F.floor(F.col("bar") / F.lit(1000)), ["bar"]), "bars")
     return Panel(df, layout, limits)
 
 
@@ -150,7 +151,7 @@ def panel_from_events(spark: SparkSession, sf_dir: str, limits: Limits | None =
     order = ["ts", "event_id"]
     if layout.series_rows > limits.series_rows:
         second = F.hour(ts) * F.lit(3600) + F.minute(ts) * F.lit(60) + F.second(ts)
-        numbered = _with_positions(events, second, order)
+        numbered = written(_with_positions(events, second, order), "events")
     else:
         in_time = Window.partitionBy("date", "symbol").orderBy(*order)
         numbered = events.withColumn("pos", F.row_number().over(in_time).cast("bigint"))
@@ -163,7 +164,7 @@ def panel_from_events(spark: SparkSession, sf_dir: str, limits: Limits | None =
 
     if layout.series_rows > limits.series_rows:
         # The label looks ahead, so number the series backwards for the split.
-        sizes = events.groupBy("date", "symbol").agg(F.count(F.lit(1)).alias("_size"))
+        sizes = numbered.groupBy("date", "symbol").agg(F.max("pos").alias("_size"))
         back = numbered.join(sizes, ["date", "symbol"]).withColumn("_pos", F.col("pos"))
         back = back.withColumn("pos", F.col("_size") - F.col("pos") + F.lit(1)).drop("_size")
 
@@ -173,7 +174,7 @@ def panel_from_events(spark: SparkSession, sf_dir: str, limits: Limits | None =
             return df.withColumn(LABEL, F.coalesce(forward, F.lit(0.0)))
 
         labelled = run_on_series(back, layout, limits, label_back, LABEL_HORIZON)
-        labelled = labelled.withColumn("pos", F.col("_pos"))
+        labelled = written(labelled.withColumn("pos", F.col("_pos")), "events")
     else:
         labelled = run_on_series(numbered, layout, limits, label, LABEL_HORIZON)
     kept = ["date", "symbol", _bar_key().alias("bar")]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
@@ -19,25 +17,6 @@ MANIFEST_SCHEMA = (
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for tables that several jobs read: the cluster's checkpoint
-    directory, or a temporary one where none is set, as in tests."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="barspan-")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a small result to the shared folder and continue from the table, so
-    that later steps neither repeat its work nor carry its lineage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class FeatureStore:
     def __init__(self, panel: Panel, root: str, catalogue: Catalogue = CATALOGUE, version: str = "1"):
         self.panel, self.root, self.catalogue, self.version = panel, root.rstrip("/"), catalogue, version

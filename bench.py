@@ -45,6 +45,9 @@ def session(cpus: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("barspan-bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        # Local files are far below the advisory partition size; without this the
+        # window stages of a small panel would be merged into one or two tasks.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
