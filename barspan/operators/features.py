@@ -140,17 +140,24 @@ def base_static(df: DataFrame) -> DataFrame:
 
 
 def base(panel: Panel, df: DataFrame) -> DataFrame:
-    df = with_mid(panel, base_static(df))
-    df = df.withColumn("_flow", imbalance(_c("tradeBuyQty"), _c("tradeSellQty")))
+    """The whole stage: ``base_core`` and the average of the trade imbalance,
+    whose gaps are those of the uncleaned ratio."""
+    flow = imbalance(_c("tradeBuyQty"), _c("tradeSellQty"))
 
     def build(d: DataFrame, series: Series) -> DataFrame:
-        d = d.withColumns({"mid_ret1_raw": change(series, 1), "bret12": change(series, 12)})
         d = with_gap_ema(d, series, "trade_imbema5", "_flow", 5)
         return d.withColumn("trade_imbema5", clean(_c("trade_imbema5")))
 
-    df = panel.on_series(build, ema_halo(5), df)
+    return panel.on_series(build, ema_halo(5), base_core(panel, df).withColumn("_flow", flow)).drop("_flow")
+
+
+def base_core(panel: Panel, df: DataFrame) -> DataFrame:
+    def build(d: DataFrame, series: Series) -> DataFrame:
+        return d.withColumns({"mid_ret1_raw": change(series, 1), "bret12": change(series, 12)})
+
+    df = panel.on_series(build, 12, with_mid(panel, base_static(df)))
     df = attach_bounded(df, panel.cross_fits, CROSS, {"_mean": F.avg("bret12")})
-    return df.withColumn("lagret12", clean(snap(_c("bret12") - _c("_mean")))).drop("_mean", "_mid", "_flow")
+    return df.withColumn("lagret12", clean(snap(_c("bret12") - _c("_mean")))).drop("_mean", "_mid")
 
 
 # -- lag, roll, patch -----------------------------------------------------------
@@ -323,8 +330,12 @@ def impact_interactions(df: DataFrame) -> DataFrame:
     )
 
 
+def impact_levels(panel: Panel, df: DataFrame) -> DataFrame:
+    return impact_interactions(impact_static(df))
+
+
 def trade_impact(panel: Panel, df: DataFrame) -> DataFrame:
-    df = impact_interactions(impact_static(df))
+    df = impact_levels(panel, df)
     return panel.on_series(lambda d, s: dynamics(d, s, IMPACT_COLUMNS), ema_halo(max(FLOW_WINDOWS)), df)
 
 

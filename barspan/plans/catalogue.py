@@ -25,6 +25,16 @@ class Stage:
     needs: tuple[str, ...] = ()
     status: str = "promoted"
     groups: dict[str, list[str]] = field(default_factory=dict)
+    # A cheaper builder that leaves out the columns no other stage reads: the
+    # exponential averages, whose long memory makes split series carry a long halo.
+    core: StageBuilder | None = None
+    beyond_core: tuple[str, ...] = ()
+
+    def builder_for(self, columns: list[str] | None) -> StageBuilder:
+        """``columns`` are those asked for; none when only other stages read it."""
+        if self.core is None or set(columns or ()) & set(self.beyond_core):
+            return self.builder
+        return self.core
 
 
 class Catalogue:
@@ -104,11 +114,12 @@ class Catalogue:
         names = [c for n in self.order() if n in resolved for c in resolved[n]]
         return list(dict.fromkeys(names))
 
-    def with_stages(self, panel: Panel, names: Iterable[str]) -> DataFrame:
-        """Raw bars with the columns of the stages and of all they need."""
+    def with_stages(self, panel: Panel, names: Iterable[str] | dict[str, list[str]]) -> DataFrame:
+        """Raw bars with the columns of the stages and of what they need."""
+        wanted = names if isinstance(names, dict) else {n: self.stages[n].columns for n in names}
         df = panel.df
-        for n in self.upstream(names):
-            df = self.stages[n].builder(panel, df)
+        for n in self.upstream(wanted):
+            df = self.stages[n].builder_for(wanted.get(n))(panel, df)
         return df
 
 
@@ -211,10 +222,15 @@ _CROSS_OFI = _starting(CROSS_Z + CROSS_RANK, "ofi_")
 
 CATALOGUE = Catalogue(
     [
-        Stage("base", fx.base, BASE, groups={"legacy": LEGACY, "base": BASE_CORE, "norm_core": BASE_CORE}),
+        Stage(
+            "base", fx.base, BASE,
+            groups={"legacy": LEGACY, "base": BASE_CORE, "norm_core": BASE_CORE},
+            core=fx.base_core, beyond_core=("trade_imbema5",),
+        ),
         Stage(
             "ofi", fx.ofi, OFI,
             groups={"ofi": OFI, "ofi_raw": OFI_RAW, "ofi_dynamic": OFI_DYNAMIC, "ofi_safe": OFI},
+            core=fx.ofi_levels, beyond_core=tuple(OFI_DYNAMIC),
         ),
         Stage(
             "lag", fx.lag, LAG, ("base",),
@@ -243,6 +259,7 @@ CATALOGUE = Catalogue(
                 "trade_impact_interaction": IMPACT_INTERACTION,
                 "trade_impact_safe": IMPACT,
             },
+            core=fx.impact_levels, beyond_core=tuple(IMPACT_DYNAMIC),
         ),
         Stage(
             "cross", fx.cross, CROSS, ("base", "ofi", "trade_impact"),

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint directory, or a temporary one where none is set,
-    as in tests."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="barspan-")
+    """The cluster's checkpoint directory. Where none is set, as in tests on one
+    machine, a temporary folder; a cluster without one is an error."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="barspan-")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

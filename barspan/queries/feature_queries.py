@@ -35,8 +35,7 @@ def _upto(*stages: str) -> Callable[[Panel], DataFrame]:
 
 def _impact(panel: Panel) -> DataFrame:
     """Everything the cross-section and momentum stages read, without dynamics."""
-    df = fx.ofi_levels(panel, fx.base(panel, panel.df))
-    return fx.impact_interactions(fx.impact_static(df))
+    return CATALOGUE.with_stages(panel, {n: [] for n in ("base", "ofi", "trade_impact")})
 
 
 LEVELS = list(fx.BOOK_LEVELS)
@@ -76,7 +75,7 @@ QUERIES: dict[str, Query] = {
         lambda p: fx.time_of_day(p, p.df), ["interval_pos", "interval_norm", "is_morning", "is_afternoon"]
     ),
     "d21_momentum_returns": stage_query(
-        lambda p: fx.momentum_returns(p, fx.base(p, p.df)),
+        lambda p: fx.momentum_returns(p, fx.base_core(p, p.df)),
         [f"lagret{w}{k}" for w in fx.MOMENTUM_WINDOWS for k in ("_raw", "", "_abs", "_sign")],
     ),
     "d22_momentum_interactions": stage_query(
@@ -90,7 +89,7 @@ QUERIES: dict[str, Query] = {
     "d26_regime_states": stage_query(
         _upto("regime"), ["state_momentum", "state_reversal", "state_pressure", "state_liquidity"]
     ),
-    "d27_date_volatility": stage_query(lambda p: fx.date_volatility(p, fx.base(p, p.df)), ["state_vol_cs"]),
+    "d27_date_volatility": stage_query(lambda p: fx.date_volatility(p, fx.base_core(p, p.df)), ["state_vol_cs"]),
     "d28_date_means": stage_query(_upto("regime"), ["state_spread_cs", "state_activity_cs"]),
     "d29_order_rates": stage_query(lambda p: p.df.withColumns(fx.micro_orders()), fx.micro_orders),
     "d30_book_shape": stage_query(lambda p: p.df.withColumns(fx.micro_book()), fx.micro_book),
