@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barspan.functions.scalars import (
     ABS_EPS,
+    KEYS,
     RAW_EPS,
     clean,
     div_abs,
@@ -36,6 +37,7 @@ from barspan.plans.series import (
     run_in_order,
     with_emas,
     with_gap_ema,
+    with_positions,
     with_rolling,
 )
 from barspan.plans.tables import written
@@ -143,12 +145,27 @@ def base(panel: Panel, df: DataFrame) -> DataFrame:
     """The whole stage: ``base_core`` and the average of the trade imbalance,
     whose gaps are those of the uncleaned ratio."""
     flow = imbalance(_c("tradeBuyQty"), _c("tradeSellQty"))
-
-    def build(d: DataFrame, series: Series) -> DataFrame:
-        d = with_gap_ema(d, series, "trade_imbema5", "_flow", 5)
-        return d.withColumn("trade_imbema5", clean(_c("trade_imbema5")))
-
-    return panel.on_series(build, ema_halo(5), base_core(panel, df).withColumn("_flow", flow)).drop("_flow")
+    df = gap_average(panel, base_core(panel, df).withColumn("_flow", flow), "_flow", "trade_imbema5", 5)
+    return df.withColumn("trade_imbema5", clean(_c("trade_imbema5"))).drop("_flow")
+
+
+def gap_average(panel: Panel, df: DataFrame, source: str, name: str, half_life: int) -> DataFrame:
+    """Exponential average over gaps. In a split panel the rows that have a value
+    are numbered and chunked on their own, so a halo holds enough values however
+    rare they are; the rows between them carry the last average."""
+    build = lambda d, s: with_gap_ema(d, s, name, source, half_life)
+    if not panel.split_series:
+        return build(df, Series(longest=panel.layout.series_rows))
+    df = written(df, "rows")
+    bucket = F.floor((_c("pos") - F.lit(1)) / F.lit(panel.limits.chunk_rows))
+    present = with_positions(df.where(_c(source).isNotNull()).select(*KEYS, "pos", source), bucket, ["bar"], "_place")
+    limits = panel.limits
+    averaged = run_in_order(
+        present, panel.layout.series_rows, limits.series_rows, limits.chunk_rows, build, ema_halo(half_life),
+        position="_place",
+    )
+    joined = df.join(averaged.select(*KEYS, F.col(name).alias("_average")), KEYS, "left")
+    return forward_filled(joined, panel.layout, limits, "_average", name).drop("_average")
 
 
 def base_core(panel: Panel, df: DataFrame) -> DataFrame:

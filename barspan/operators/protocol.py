@@ -13,6 +13,7 @@ from barspan.operators.metrics import bundle, correlation, pooled
 from barspan.operators.specs import BASELINE_ID, Spec
 from barspan.plans.catalogue import CATALOGUE, build_features
 from barspan.sources.bars import Panel
+from barspan.sources.store import FeatureStore
 
 
 def daily_moments(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -184,14 +185,21 @@ RESULT_SCHEMA = (
 
 def predict_spec(
     panel: Panel, spec: Spec, train_days: tuple[int, int], val_days: tuple[int, int], winsor=labels.WINSORIZE,
-    sample: float | None = None, params: dict | None = None,
+    sample: float | None = None, params: dict | None = None, store: FeatureStore | None = None,
 ) -> dict[str, DataFrame]:
-    """Scored train and validation rows (keys, label, pred) of one spec on one split."""
+    """Scored train and validation rows (keys, label, pred) of one spec on one split.
+
+    With a store the features are read, pruned to the days and columns of the
+    spec; without one they are computed from the bars of those days.
+    """
     groups = spec.groups or None
-    rows = {
-        "train": build_features(on_days(panel, *train_days), groups),
-        "val": build_features(on_days(panel, *val_days), groups),
-    }
+    if store is not None:
+        rows = {n: store.load_range(*days, groups) for n, days in (("train", train_days), ("val", val_days))}
+    else:
+        rows = {
+            "train": build_features(on_days(panel, *train_days), groups),
+            "val": build_features(on_days(panel, *val_days), groups),
+        }
     if spec.kind == "common_residual":
         out = common_residual(panel, rows["train"], rows["val"], CATALOGUE.columns(groups), params=params, winsor=winsor)
         return {"train": out["train"], "val": out["val"]}

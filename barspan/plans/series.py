@@ -107,6 +107,27 @@ def run_on_series(
     return run_in_order(df, layout.series_rows, limits.series_rows, limits.chunk_rows, build, halo)
 
 
+def with_positions(df: DataFrame, bucket: Column, order: list[str], name: str = "pos") -> DataFrame:
+    """Add ``name``, the row number in a series, without sorting a series in one task.
+
+    Rows are counted per (series, bucket); the running count over the buckets of
+    a series is a small window, because a day has a bounded number of buckets.
+    Rows are then numbered inside their bucket only.
+    """
+    rows = df.withColumn("_bucket", bucket.cast("bigint"))
+    counts = rows.groupBy("date", "symbol", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("date", "symbol").orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("date", "symbol", "_bucket").orderBy(*order)
+    return (
+        rows.join(counts, ["date", "symbol", "_bucket"])
+        .withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
+        .drop("_bucket", "_before")
+    )
+
+
 def forward_filled(df: DataFrame, layout: Layout, limits: Limits, source: str, name: str) -> DataFrame:
     """Last non-null value so far. A gap may be longer than any halo, so in a
     split panel the value at the end of each chunk is carried to the next ones."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, clean
 from barspan.plans.layout import Layout, Limits, measure
-from barspan.plans.series import Series, run_on_series
+from barspan.plans.series import Series, run_on_series, with_positions
 from barspan.plans.tables import written
 
 # The channels of a bar, by kind.
@@ -96,7 +96,7 @@ def read_panel(
     layout = measure(df.select("date", "symbol"))
     if layout.series_rows > limits.series_rows:
         # A bar key is HHMMSSmmm, so a second holds at most 1000 bars of a series.
-        df = written(_with_positions(df, F.floor(F.col("bar") / F.lit(1000)), ["bar"]), "bars")
+        df = written(with_positions(df, F.floor(F.col("bar") / F.lit(1000)), ["bar"]), "bars")
     return Panel(df, layout, limits)
 
 
@@ -104,27 +104,6 @@ def _null_for_nan(name: str) -> Column:
     return F.when(~F.isnan(F.col(name)), F.col(name).cast("double")).alias(name)
 
 
-def _with_positions(df: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
-    """Add ``pos``, the row number in a series, without sorting a series in one task.
-
-    Rows are counted per (series, bucket); the running count over the buckets of
-    a series is a small window, because a day has a bounded number of buckets.
-    Rows are then numbered inside their bucket only.
-    """
-    rows = df.withColumn("_bucket", bucket.cast("bigint"))
-    counts = rows.groupBy("date", "symbol", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("date", "symbol").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("date", "symbol", "_bucket").orderBy(*order)
-    return (
-        rows.join(counts, ["date", "symbol", "_bucket"])
-        .withColumn("pos", (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_bucket", "_before")
-    )
-
-
 # -- bars derived from an event log -------------------------------------------
 
 _LAYOUTS: dict[tuple[str, str], Layout] = {}
@@ -151,7 +130,7 @@ def panel_from_events(spark: SparkSession, sf_dir: str, limits: Limits | None =
     order = ["ts", "event_id"]
     if layout.series_rows > limits.series_rows:
         second = F.hour(ts) * F.lit(3600) + F.minute(ts) * F.lit(60) + F.second(ts)
-        numbered = written(_with_positions(events, second, order), "events")
+        numbered = written(with_positions(events, second, order), "events")
     else:
         in_time = Window.partitionBy("date", "symbol").orderBy(*order)
         numbered = events.withColumn("pos", F.row_number().over(in_time).cast("bigint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from barspan.functions.scalars import KEYS, LABEL, clean
@@ -155,25 +155,35 @@ class FeatureStore:
 
     # -- reading ----------------------------------------------------------------
 
-    def read_stage(self, stage: str, dates: list[int] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(stage)).withColumn("date", F.col("date").cast("bigint"))
-        return df if dates is None else df.where(F.col("date").isin(dates))
+    def read_stage(self, stage: str, where: Column | None = None) -> DataFrame:
+        """Rows of a stage; ``where`` filters dates and prunes partitions."""
+        df = self.spark.read.parquet(self.path(stage))
+        df = df if where is None else df.where(where)
+        return df.withColumn("date", F.col("date").cast("bigint"))
 
     def load(
         self, dates: list[int] | None = None, groups: list[str] | None = None, dtype: str | None = "float32"
     ) -> DataFrame:
+        return self._load(None if dates is None else F.col("date").isin(dates), groups, dtype)
+
+    def load_range(
+        self, start: int, end: int, groups: list[str] | None = None, dtype: str | None = "float64"
+    ) -> DataFrame:
+        return self._load(F.col("date").between(start, end), groups, dtype)
+
+    def _load(self, where: Column | None, groups: list[str] | None, dtype: str | None) -> DataFrame:
         """Keys, label and the columns of the groups, stages joined on the keys.
         A column two stages share comes from the first of them."""
         if dtype not in DTYPES:
             raise ValueError(f"dtype must be one of {DTYPES}")
         resolved = self.catalogue.resolve(groups)
-        bars = self.panel.df if dates is None else self.panel.df.where(F.col("date").isin(dates))
+        bars = self.panel.df if where is None else self.panel.df.where(where)
         out = bars.select(*KEYS, clean(F.col(LABEL)).alias(LABEL))
         seen: set[str] = set()
         for s in [n for n in self.catalogue.order() if n in resolved]:
             columns = [c for c in resolved[s] if c not in seen]
             seen.update(columns)
-            out = out.join(self.read_stage(s, dates).select(*KEYS, *columns), KEYS)
+            out = out.join(self.read_stage(s, where).select(*KEYS, *columns), KEYS)
         if dtype is None:
             return out
         kind = {"float32": "float", "float64": "double"}[dtype]

@@ -403,7 +403,7 @@ def test_normalizer_uses_training_rows_only(spark):
     assert norm.statistics().count() == 1
 
 
-def test_protocol_run_and_engine(spark, sf_dir):
+def test_protocol_run_and_engine(spark, sf_dir, tmp_path):
     p = panel_from_events(spark, sf_dir)
     cal = calendar_table(p.df.select(F.col("date").alias("day")))
     profile = folds.Profile("short_8d_2d", val_days=2, step=5, train_days=8, min_train_days=8)
@@ -415,5 +415,9 @@ def test_protocol_run_and_engine(spark, sf_dir):
     assert rows["broken"]["status"] == "error" and "odd" in rows["broken"]["error_msg"]
     assert rows[specs.BASELINE_ID]["status"] == "ok" and rows[specs.BASELINE_ID]["val_corr"] is not None
     assert out["leaderboard"].first()["decision"] == "baseline"
+    store = FeatureStore(p, str(tmp_path / "store"))
+    store.write_stage("base", p.df.select("date").distinct())
+    read = protocol.run_profile(p, cal, profile, [Spec(specs.BASELINE_ID, ("legacy",))], 1, store=store).first()
+    assert read["status"] == "ok" and read["val_corr"] == pytest.approx(rows[specs.BASELINE_ID]["val_corr"], abs=1e-3)
     done = {("short_8d_2d", 0, "broken"), ("short_8d_2d", 0, specs.BASELINE_ID)}
     assert protocol.run_profile(p, cal, profile, [broken], 1, done).count() == 0

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from barspan.operators import blend, features as fx, labels, sequences
 from barspan.plans import order_stats, series as series_module
 from barspan.plans.catalogue import CATALOGUE
-from barspan.plans.layout import Limits
+from barspan.plans.layout import Layout, Limits
 from barspan.plans.series import Series, ema_halo, run_on_series, with_emas, with_gap_ema, with_rolling
-from barspan.sources.bars import panel_from_events, read_panel
+from barspan.sources.bars import Panel, panel_from_events, read_panel
 
 TIGHT = Limits(series_rows=20, cross_rows=3, date_rows=60, chunk_rows=16, page_members=3)
 KEYS = ["date", "symbol", "bar"]
@@ -57,6 +57,19 @@ def _few_ranks(panel):
     )
 
 
+def test_gap_average_in_chunks(spark, short_blocks):
+    """Values so rare that a halo of rows would hold hardly any of them."""
+    n = 9000
+    df, pdf = long_series(spark, n)
+    rare = pdf["pos"] % 9 == 4
+    df = df.withColumn("x", F.when(F.col("pos") % 9 == 4, F.col("x")))
+    pdf.loc[~rare, "x"] = np.nan
+    panel = Panel(df, Layout(n, 1, n, n), Limits(series_rows=100, chunk_rows=450))
+    out = fx.gap_average(panel, df, "x", "y", 5).orderBy("pos").toPandas()
+    expected = pdf["x"].ewm(halflife=5, adjust=False).mean().to_numpy()
+    assert np.allclose(out["y"].to_numpy(float), expected, rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
 def test_sequences(panels):
     plain, split = panels
     a = sequences.gather_windows(plain, plain.df, ["midpx", "bsize0"], 7)
