@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL
-from barspan.operators import models, protocol, search
+from barspan.operators import models, protocol, scans, search
 from barspan.operators.folds import date_range, fold_days
 from barspan.operators.metrics import correlation, pooled
 from barspan.operators.sequences import gather_windows
@@ -162,6 +162,14 @@ def h07_common_residual(p: Panel) -> DataFrame:
     return _scored(out["val"])
 
 
+@over_panel
+def h08_soft_regime(p: Panel) -> DataFrame:
+    rows = _features(p, ["base", "lag", "roll", "cross", "regime"])
+    small = {"numTrees": 4, "maxDepth": 4}
+    out = protocol.soft_regime(p, date_range(rows, *TRAIN), date_range(rows, *VAL), small, {"numTrees": 4, "minInstancesPerNode": 50})
+    return _scored(out["val"])
+
+
 @over_panel
 def h09_interval_ridge(p: Panel) -> DataFrame:
     return present(models.interval_onehot_ridge(p.df, LABEL), ["pred"], ["bar"])
@@ -278,6 +286,20 @@ def l06_early_stop(p: Panel) -> DataFrame:
     return curves.select("experiment_id", F.size("curve").cast("bigint").alias("n"), stop.cast("bigint").alias("stop"))
 
 
+@over_panel
+def l07_ridge_scan(p: Panel) -> DataFrame:
+    """All label clips and ridge strengths on the folds of the short profile."""
+    out = scans.ridge_scan(p, calendar_of(p), SCALED_PROFILES[0], ["legacy"])
+    return present(out, ["alpha", "corr_mean", "daily_ic_mean", "stability_score"], ["clip", "n_folds"])
+
+
+@over_panel
+def l10_feature_probe(p: Panel) -> DataFrame:
+    old, new = Spec("old", ("legacy",)), Spec("new", ("legacy", "rx_micro"))
+    out = scans.feature_probe(p, calendar_of(p), SCALED_PROFILES[1], old, new)
+    return present(out, ["old_val_corr", "new_val_corr", "delta_val_corr"], ["fold_id"])
+
+
 @over_panel
 def c06_feature_families(p: Panel) -> DataFrame:
     """Family of every built column, with the rows that hold it."""

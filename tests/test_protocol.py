@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barspan.operators import blend, folds, leaderboard, metrics, models, protocol, search, sequences, specs
+from barspan.operators import blend, folds, leaderboard, metrics, models, protocol, scans, search, sequences, specs
 from barspan.operators.specs import Spec
 from barspan.plans import catalogue as catalogue_module
 from barspan.plans.catalogue import Catalogue, Stage
@@ -284,6 +284,20 @@ def test_selection(spark):
     assert search.certificate(results).first()["n_folds"] == 1
 
 
+def test_sweep_picks_the_best_worst_fold(spark):
+    def evaluate(point, fold_id, seed):
+        if point["a"] == 3:
+            raise RuntimeError("broken")
+        return (0.1, 0.0) if point["a"] == 1 else (0.5 if fold_id % 2 else -0.2, 0.0)
+
+    fold_list = spark.range(4).select(F.col("id").alias("fold_id"))
+    out = scans.run_sweep(spark, {"a": SPACE["a"]}, fold_list, [42, 43, 44], evaluate)
+    assert out["champion"].first()["trial_id"] == 0
+    assert {r["trial_id"]: r["status"] for r in out["trials"].collect()} == {0: "ok", 1: "ok", 2: "error"}
+    row = out["certificate"].first()
+    assert row["n_folds"] == 12 and row["min"] == pytest.approx(0.1)
+
+
 def test_early_stop(spark):
     rows = [([1.0, 0.9, 0.8, 0.7], 0.5, False), ([1.0, 0.9, 0.8, 0.9], 0.5, True), ([1.0, 0.9], 0.1, False), ([1.0, 1.0, 1.0], None, False)]
     df = frame(spark, rows, "curve array<double>, best double, want boolean")
