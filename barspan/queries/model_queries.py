@@ -11,7 +11,7 @@ from barspan.operators.metrics import correlation, pooled
 from barspan.operators.sequences import gather_windows
 from barspan.operators.specs import MEMBERS, Spec
 from barspan.plans.catalogue import BASE, CATALOGUE, CROSS_Z, build_features
-from barspan.plans.tables import fresh_path
+from barspan.plans.tables import fresh_path, written
 from barspan.queries.common import (
     SCALED_PROFILES,
     Query,
@@ -95,7 +95,8 @@ def a14_scored_rows(p: Panel) -> DataFrame:
 
 
 def _features(p: Panel, groups: list[str]) -> DataFrame:
-    return build_features(p, groups)
+    """Features as a written table: training and scoring read them several times."""
+    return written(build_features(p, groups), "features")
 
 
 def _scored(rows: DataFrame) -> DataFrame:
