@@ -91,16 +91,17 @@ SQL["h13_seed_average"] = query(f"""SELECT {K}, n_seeds, {qs('pred_dl')} FROM (S
   FROM pb, (VALUES (0.9), (1.0), (1.2)) AS s(w) GROUP BY {K})""", "pb")
 
 # trials
-cte("trials", ("pab", "fold_days"), f"""SELECT trial_id, avg(c) AS screen_corr_mean, min(c) AS screen_corr_min,
-  stddev_pop(c) AS screen_corr_std, count(c) AS n_evals FROM (
+cte("trials", ("pab", "fold_days"), f"""SELECT trial_id, coalesce(avg(c), 0.0) AS screen_corr_mean,
+  coalesce(min(c), 0.0) AS screen_corr_min, coalesce(stddev_pop(c), 0.0) AS screen_corr_std, count(c) AS n_evals FROM (
   SELECT trial_id, fold_id, {corr('pred', 'label')} AS c FROM (
     SELECT CAST(t AS BIGINT) AS trial_id, fold_id, label, t / 4.0 * pred_a + (1 - t / 4.0) * pred_b AS pred FROM pab
     JOIN fold_days USING (date), (SELECT unnest(generate_series(0, 4)) AS t)
     WHERE profile = 'short_8d_2d' AND segment = 'val') GROUP BY trial_id, fold_id) GROUP BY trial_id""")
 TRIAL = qs("screen_corr_mean", "screen_corr_min", "screen_corr_std")
 SQL["l03_best_trial"] = query(f"""SELECT 'all' AS pick, trial_id, n_evals, {TRIAL} FROM trials UNION ALL
-  SELECT * FROM (SELECT 'best', trial_id, n_evals, {TRIAL} FROM trials t ORDER BY t.screen_corr_mean DESC, trial_id LIMIT 1)""", "trials")
-SQL["l04_champion"] = query(f"""SELECT trial_id, n_evals, {TRIAL} FROM trials t
+  SELECT * FROM (SELECT 'best', trial_id, n_evals, {TRIAL} FROM trials t WHERE n_evals > 0
+  ORDER BY t.screen_corr_mean DESC, trial_id LIMIT 1)""", "trials")
+SQL["l04_champion"] = query(f"""SELECT trial_id, n_evals, {TRIAL} FROM trials t WHERE n_evals > 0
   ORDER BY t.screen_corr_min DESC, t.screen_corr_mean DESC, trial_id LIMIT 1""", "trials")
 SQL["l06_early_stop"] = query("""SELECT experiment_id, count(*) AS n,
   CAST(CASE WHEN count(*) >= 3 AND min(CASE WHEN rn >= 3 THEN mse END) > 3e-6 * 1.5 THEN 1 ELSE 0 END AS BIGINT) AS stop FROM (
