@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barspan.llm import classifier, fingerprints, pii, rules
+from barspan.llm import bytebpe, classifier, fingerprints, idfiles, packing, pii, rules, tokencounts
+
+MERGE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
+WORD_MODEL = "word_bpe_49k.json"
+MOST_TOKENS = 4096
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,22 +51,49 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer file, read on the driver (1 to 2 MB, sent to tasks as it is)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.round_trip(documents(spark, sf_dir), vocabulary(MERGE_RANKS), public_tokenizers.PATTERN)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencounts.token_counts(documents(spark, sf_dir), vocabulary(PIECE_MODEL))
+    return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(MOST_TOKENS))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary(WORD_MODEL).decode(), keep_ids=False)
+
+
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.through_files(documents(spark, sf_dir), vocabulary(WORD_MODEL).decode())
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_winnowing, op3_quality_rules, op4_pii, op5_quality_classifier)
+    f.__name__: f for f in (op1_winnowing, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts, op9_packing, op10_id_files)
 }
 
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
   FROM documents),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 p AS (SELECT doc_id, count(DISTINCT k) AS n FROM r, unnest([i, i + 1, i + 2]) AS u(k) GROUP BY doc_id),
 c AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
