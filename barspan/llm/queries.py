@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barspan.llm import bytebpe, classifier, fingerprints, idfiles, packing, pii, rules, tokencounts
+from barspan.llm import bytebpe, classifier, fingerprints, idfiles, jaccard, packing, pii, rules, tokencounts
 
 MERGE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_next(documents(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_report(documents(spark, sf_dir))
 
@@ -79,7 +83,7 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_winnowing, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts, op9_packing, op10_id_files)
+    f.__name__: f for f in (op1_winnowing, op2_jaccard_join, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts, op9_packing, op10_id_files)
 }
 
 OP3_SQL = r"""
@@ -106,4 +110,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(lower_az, '[\x20\x09-\x0D]+') IF x <> ''] AS ws
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT l.a, l.b FROM l JOIN n x ON x.doc_id = l.a JOIN n y ON y.doc_id = l.b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.id = doc_id
+"""
+
+SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_quality_rules": OP3_SQL}
