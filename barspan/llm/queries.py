@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barspan.llm import bytebpe, classifier, fingerprints, idfiles, jaccard, packing, pii, rules, tokencounts
+from barspan.llm import bytebpe, classifier, classlm, fingerprints, idfiles, jaccard, packing, pii, rules, tokencounts
 
 MERGE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -74,6 +74,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(MOST_TOKENS))
 
 
+def op8_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.scores(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(WORD_MODEL).decode(), keep_ids=False)
 
@@ -83,7 +87,7 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_winnowing, op2_jaccard_join, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts, op9_packing, op10_id_files)
+    f.__name__: f for f in (op1_winnowing, op2_jaccard_join, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts, op8_class_model, op9_packing, op10_id_files)
 }
 
 OP3_SQL = r"""
