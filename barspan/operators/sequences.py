@@ -8,6 +8,7 @@ from barspan.functions.scalars import KEYS, LABEL, zero
 from barspan.plans.groups import CROSS, attach_bounded
 from barspan.plans.order_stats import value_positions
 from barspan.plans.series import Series
+from barspan.plans.tables import written
 from barspan.sources.bars import Panel
 
 # Scale floors of the normalizer and of the snapshot z-score.
@@ -115,6 +116,22 @@ class Normalizer:
 # -- snapshots --------------------------------------------------------------------
 
 
+def symbol_places(rows: DataFrame) -> DataFrame:
+    """symbol and _place, its rank among all symbols in the order of its own type.
+
+    Ranges of symbols are numbered side by side and shifted by the ranges before them,
+    so no task sorts all symbols; ranks are small whole numbers whatever the symbols are.
+    """
+    names = rows.select("symbol").distinct().repartitionByRange("symbol")
+    names = written(names.withColumn("_range", F.spark_partition_id()), "symbols")
+    per_range = names.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = per_range.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("symbol"))
+    numbered = names.withColumn("_i", inside).join(per_range, "_range")
+    return numbered.select("symbol", (F.col("_before") + F.col("_i")).cast("double").alias("_place"))
+
+
 def member_slots(panel: Panel, rows: DataFrame) -> DataFrame:
     """Add slot, the 0-based place of a symbol in its (date, bar), and size.
 
@@ -125,10 +142,10 @@ def member_slots(panel: Panel, rows: DataFrame) -> DataFrame:
         slot = F.row_number().over(Window.partitionBy(*CROSS).orderBy("symbol")) - F.lit(1)
         size = F.count(F.lit(1)).over(Window.partitionBy(*CROSS))
         return rows.withColumns({"slot": slot.cast("bigint"), "size": size})
-    places = value_positions(rows.withColumn("_s", F.col("symbol").cast("double")), CROSS, "_s")
-    places = places.select(*CROSS, F.col("_s").cast("bigint").alias("symbol"), F.col("n_below").alias("slot"))
+    placed = rows.join(symbol_places(rows), "symbol")
+    below = value_positions(placed, CROSS, "_place").select(*CROSS, "_place", F.col("n_below").alias("slot"))
     sizes = rows.groupBy(*CROSS).agg(F.count(F.lit(1)).alias("size"))
-    return rows.join(places, [*CROSS, "symbol"]).join(sizes, CROSS)
+    return placed.join(below, [*CROSS, "_place"]).drop("_place").join(sizes, CROSS)
 
 
 def snapshots(panel: Panel, ends: DataFrame, columns: list[str]) -> DataFrame:
@@ -174,13 +191,19 @@ def snapshot_index(ends: DataFrame) -> DataFrame:
 def padded_batches(panel: Panel, ends: DataFrame, columns: list[str], batch: int) -> DataFrame:
     """Snapshots in batches, padded to the largest of their batch.
 
-    batch, date, bar, page, symbols / one array per column padded with 0, mask.
+    batch, date, bar, page, symbols / one array per column padded with 0, mask. Every
+    snapshot has all pages of its batch's width; pages past its members are padding.
     """
     index = snapshot_index(ends).withColumn("batch", F.floor(F.col("snapshot") / F.lit(batch)))
-    pages = snapshots(panel, ends, columns).join(index, CROSS)
     per_page = panel.limits.page_members
-    widest = pages.groupBy("batch").agg(F.max("size").alias("_width"))
-    pages = pages.join(widest, "batch")
+    found = snapshots(panel, ends, columns)
+    sizes = snapshot_sizes(ends).join(index, CROSS)
+    widest = sizes.groupBy("batch").agg(F.max("n_members").alias("_width"))
+    last = F.floor((F.col("_width") - F.lit(1)) / F.lit(per_page))
+    wanted = index.join(widest, "batch").withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    pages = wanted.join(found.select(*CROSS, "page", "members"), [*CROSS, "page"], "left")
+    nobody = F.array().cast(found.schema["members"].dataType)
+    pages = pages.withColumn("members", F.coalesce("members", nobody))
     room = F.least(F.col("_width") - F.col("page") * F.lit(per_page), F.lit(per_page)).cast("int")
     missing = F.greatest(room - F.size("members"), F.lit(0))
     pad = lambda name, filler: F.concat(F.col(f"members.{name}"), F.array_repeat(filler, missing))

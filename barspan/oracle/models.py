@@ -29,7 +29,7 @@ SIZES = {"base": 21, "ofi": 46, "rx_micro": 49, "lag": 24, "roll": 50, "patch":
          "cross": 38, "conditional_momentum": 43}
 SQL["a11_store_status"] = query("SELECT stage, state, reason, CAST(CASE WHEN state = 'ok' THEN n ELSE 0 END AS BIGINT) AS n_days, "
     "CAST(n_columns AS BIGINT) AS n_columns FROM (SELECT count(DISTINCT date) AS n FROM bars), (VALUES " + ", ".join(
-        f"('{s}', '{'ok' if s == 'rx_micro' else 'dirty'}', '{'' if s == 'rx_micro' else 'missing from manifest'}', {n})"
+        f"('{s}', '{'ok' if s == 'rx_micro' else 'dirty'}', '{'' if s == 'rx_micro' else 'unrecorded'}', {n})"
         for s, n in SIZES.items()) + ") AS t(stage, state, reason, n_columns)", "bars")
 SQL["a13_member_round_trip"] = query(f"""SELECT fold_id, {K}, {qs('fret12', 'pred')} FROM (SELECT fold_id, {K}, label AS fret12, pred
   FROM tall JOIN fold_days USING (date) WHERE profile = 'short_8d_2d' AND segment = 'val' AND experiment_id = 'X1_book')""",

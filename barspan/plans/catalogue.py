@@ -91,7 +91,10 @@ class Catalogue:
         return [n for n in self.order() if n in wanted]
 
     def code_hash(self, name: str) -> str:
-        return hashlib.md5(inspect.getsource(self.stages[name].builder).encode()).hexdigest()
+        """Hash of the builder and of all it reaches in this package: functions by their code, constants by value."""
+        parts: dict[str, str] = {}
+        _gather(self.stages[name].builder, parts)
+        return hashlib.md5("\n".join(f"{k}={parts[k]}" for k in sorted(parts)).encode()).hexdigest()
 
     def resolve(self, groups: str | Iterable[str] | None = None) -> dict[str, list[str]]:
         """Columns per stage for the groups; none, empty and ``full`` mean everything."""
@@ -123,6 +126,34 @@ class Catalogue:
         return df
 
 
+PACKAGE = __name__.split(".")[0]
+
+
+def _gather(function: Callable, parts: dict[str, str]) -> None:
+    """Source of a function and, under their names, of the helpers and constants its code names."""
+    function = inspect.unwrap(function)
+    key = f"{function.__module__}.{function.__qualname__}"
+    if key in parts:
+        return
+    parts[key] = inspect.getsource(function)
+    names: set[str] = set()
+    codes = [function.__code__]
+    while codes:
+        code = codes.pop()
+        names.update(code.co_names)
+        codes += [c for c in code.co_consts if inspect.iscode(c)]
+    spaces = [function.__globals__]
+    spaces += [vars(m) for n in names if inspect.ismodule(m := function.__globals__.get(n)) and m.__name__.startswith(PACKAGE)]
+    for space in spaces:
+        for n in names & set(space):
+            value = space[n]
+            if inspect.isfunction(value):
+                if value.__module__.startswith(PACKAGE):
+                    _gather(value, parts)
+            elif isinstance(value, (str, int, float, tuple, list, dict, set, frozenset)) and not n.startswith("__"):
+                parts[f"{space['__name__']}.{n}"] = repr(sorted(value) if isinstance(value, (set, frozenset)) else value)
+
+
 def build_features(
     panel: Panel, groups: str | Iterable[str] | None = None, catalogue: Catalogue | None = None
 ) -> DataFrame:

@@ -373,8 +373,9 @@ def i06_snapshot_order(p: Panel) -> DataFrame:
 def i07_padded_batches(p: Panel) -> DataFrame:
     out = sequences.padded_batches(p, sequences.window_ends(p, WINDOW), ["midpx"], 16)
     tall = out.select(
-        "batch", "date", "bar", F.posexplode(F.arrays_zip("symbols", "midpx", "mask")).alias("slot", "m")
+        "batch", "date", "bar", "page", F.posexplode(F.arrays_zip("symbols", "midpx", "mask")).alias("i", "m")
     )
+    tall = tall.withColumn("slot", F.col("page") * F.lit(p.limits.page_members) + F.col("i"))
     cells = tall.select(
         "batch", "date", "bar", F.col("slot").cast("bigint").alias("slot"), F.col("m.symbols").alias("symbol"),
         F.col("m.midpx").alias("midpx"), F.col("m.mask").cast("bigint").alias("present"),

@@ -75,11 +75,12 @@ class Panel:
 
 
 def read_panel(
-    spark: SparkSession, path: str, dates: list[int] | None = None, limits: Limits | None = None
+    spark: SparkSession, path: str, dates: list[int] | None = None, limits: Limits | None = None, check_keys: bool = True
 ) -> Panel:
     """Panel from a parquet table of bars, partitioned by date.
 
-    ``dates`` becomes a partition filter. NaN is read as null, which Spark's
+    A (date, symbol, bar) occurs once: group sizes rest on that, so a repeated key is
+    an error. ``dates`` becomes a partition filter. NaN is read as null, which Spark's
     aggregates skip the way pandas skips NaN.
     """
     limits = limits or Limits()
@@ -93,6 +94,8 @@ def read_panel(
         *[F.col(k).cast("bigint").alias(k) if k != "symbol" else F.col(k) for k in KEYS],
         *[_null_for_nan(c) if c in numeric else F.col(c) for c in df.columns if c not in KEYS],
     )
+    if check_keys and not df.groupBy(*KEYS).count().where("count > 1").isEmpty():
+        raise ValueError("a bar key (date, symbol, bar) occurs more than once")
     layout = measure(df.select("date", "symbol"))
     if layout.series_rows > limits.series_rows:
         # A bar key is HHMMSSmmm, so a second holds at most 1000 bars of a series.
@@ -106,9 +109,6 @@ def _null_for_nan(name: str) -> Column:
 
 # -- bars derived from an event log -------------------------------------------
 
-_LAYOUTS: dict[tuple[str, str], Layout] = {}
-
-
 def panel_from_events(spark: SparkSession, sf_dir: str, limits: Limits | None = None) -> Panel:
     """Panel whose bars are the rows of ``events``: symbol = user_id mod 10, one
     bar per event in time order inside each (date, symbol)."""
@@ -123,10 +123,7 @@ def panel_from_events(spark: SparkSession, sf_dir: str, limits: Limits | None =
         F.round(F.col("value") * F.lit(100)).cast("bigint").alias("v"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
     )
-    memo = (spark.sparkContext.applicationId, sf_dir)
-    if memo not in _LAYOUTS:
-        _LAYOUTS[memo] = measure(events.select("date", "symbol"))
-    layout = _LAYOUTS[memo]
+    layout = measure(events.select("date", "symbol"))
     order = ["ts", "event_id"]
     if layout.series_rows > limits.series_rows:
         second = F.hour(ts) * F.lit(3600) + F.minute(ts) * F.lit(60) + F.second(ts)

@@ -28,9 +28,9 @@ def pending_jobs(jobs: DataFrame, results: DataFrame, keys: list[str]) -> DataFr
 def append_oof(rows: DataFrame, root: str, run_id: str) -> None:
     """Append out-of-fold rows; one directory per run, profile and experiment."""
     columns = ["profile", "experiment_id", *OOF_COLUMNS]
-    rows.withColumn("run_id", F.lit(run_id)).select("run_id", *columns).write.mode("append").partitionBy(
-        "run_id", "profile", "experiment_id"
-    ).parquet(root)
+    rows = rows.withColumn("run_id", F.lit(run_id)).select("run_id", *columns)
+    clustered = rows.repartition("profile", "experiment_id", "fold_id")  # one file per fold of a member
+    clustered.write.mode("append").partitionBy("run_id", "profile", "experiment_id").parquet(root)
 
 
 def load_member(spark: SparkSession, root: str, run_id: str, profile: str, experiment_id: str) -> DataFrame:
@@ -49,4 +49,4 @@ def load_member(spark: SparkSession, root: str, run_id: str, profile: str, exper
 
 def dump_scored(rows: DataFrame, path: str) -> None:
     """Write keys, label and prediction of scored rows, partitioned by date."""
-    rows.select(*KEYS, "label", "pred").write.mode("overwrite").partitionBy("date").parquet(path)
+    rows.select(*KEYS, "label", "pred").repartition("date").write.mode("overwrite").partitionBy("date").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
@@ -17,6 +18,24 @@ MANIFEST_SCHEMA = (
 )
 
 
+#: Rows of a date that one file of a stage holds.
+FILE_ROWS = 2_000_000
+
+
+@dataclass(frozen=True)
+class Staleness:
+    """Why a stage is rebuilt: a code, what the manifest holds, what is wanted, and a name or number with it."""
+
+    code: str  # forced, version, unrecorded, code, days or upstream
+    recorded: str | None = None
+    wanted: str | None = None
+    detail: str | int | None = None
+
+    def __str__(self) -> str:
+        values = [("recorded", self.recorded), ("wanted", self.wanted), ("detail", self.detail)]
+        return " ".join([self.code, *[f"{k}={v}" for k, v in values if v is not None]])
+
+
 class FeatureStore:
     def __init__(self, panel: Panel, root: str, catalogue: Catalogue = CATALOGUE, version: str = "1"):
         self.panel, self.root, self.catalogue, self.version = panel, root.rstrip("/"), catalogue, version
@@ -72,33 +91,30 @@ class FeatureStore:
 
     def dirty(
         self, dates: list[int] | None = None, force: bool = False, stages: list[str] | None = None
-    ) -> dict[str, str]:
-        """stage -> why it must be rebuilt; the first matching reason counts."""
-        chosen, manifest = self.selected(stages), self.manifest()
-        if force:
-            return {s: "forced rebuild" for s in chosen}
-        versions = {m["common_version"] for m in manifest.values()}
-        if versions != {self.version}:
-            old = ", ".join(sorted(versions)) or None
-            return {s: f"common version changed (old: {old} -> new: {self.version})" for s in chosen}
-        wanted, out = self.wanted_days(dates), {}
-        for s in chosen:
-            recorded, current = manifest.get(s), self.catalogue.code_hash(s)
-            if recorded is None:
-                out[s] = "missing from manifest"
-            elif recorded["code_hash"] != current:
-                out[s] = f"hash changed (old: {recorded['code_hash']} -> new: {current})"
-            else:
-                missing = wanted.join(self.built_days(s), "date", "left_anti").count()
-                if missing:
-                    out[s] = f"missing {missing} day files"
-        for s in chosen:
-            if s not in out:
-                upstream = [n for n in self.catalogue.stages[s].needs if n in out]
-                if upstream:
-                    out[s] = f"upstream {upstream[0]} is dirty"
+    ) -> dict[str, Staleness]:
+        """stage -> why it must be rebuilt. Each stage is judged by its own record."""
+        manifest, wanted = self.manifest(), self.wanted_days(dates)
+        out: dict[str, Staleness] = {}
+        for s in self.selected(stages):
+            stale = Staleness("forced") if force else self._stale(s, manifest.get(s), wanted)
+            behind = next((n for n in self.catalogue.stages[s].needs if n in out), None)
+            if stale is None and behind is not None:
+                stale = Staleness("upstream", detail=behind)
+            if stale is not None:
+                out[s] = stale
         return out
 
+    def _stale(self, stage: str, recorded: dict | None, wanted: DataFrame) -> Staleness | None:
+        if recorded is None:
+            return Staleness("unrecorded")
+        if recorded["common_version"] != self.version:
+            return Staleness("version", recorded["common_version"], self.version)
+        code = self.catalogue.code_hash(stage)
+        if recorded["code_hash"] != code:
+            return Staleness("code", recorded["code_hash"], code)
+        lacking = wanted.join(self.built_days(stage), "date", "left_anti").count()
+        return Staleness("days", detail=lacking) if lacking else None
+
     def status(self, dates: list[int] | None = None) -> DataFrame:
         dirty, manifest = self.dirty(dates), self.manifest()
         rows = []
@@ -108,7 +124,7 @@ class FeatureStore:
                 (
                     s,
                     "dirty" if s in dirty else "ok",
-                    dirty.get(s, ""),
+                    str(dirty.get(s, "")),
                     recorded.get("code_hash") or self.catalogue.code_hash(s),
                     int(recorded.get("n_days") or 0),
                     len(self.catalogue.stages[s].columns),
@@ -122,7 +138,7 @@ class FeatureStore:
 
     def build(
         self, dates: list[int] | None = None, force: bool = False, stages: list[str] | None = None
-    ) -> dict[str, str]:
+    ) -> dict[str, Staleness]:
         """Rebuild what is dirty. A stage that only lacks days gets those days;
         otherwise all wanted days are written. Returns the reasons."""
         dirty = self.dirty(dates, force, stages)
@@ -130,7 +146,7 @@ class FeatureStore:
         counts = {}
         for s in dirty:
             days = wanted
-            if dirty[s].startswith("missing ") and dirty[s].endswith("day files"):
+            if dirty[s].code == "days":
                 days = wanted.join(self.built_days(s), "date", "left_anti")
             self.write_stage(s, days)
             counts[s] = self.built_days(s).count()
@@ -141,13 +157,15 @@ class FeatureStore:
     def write_stage(self, stage: str, days: DataFrame) -> None:
         """Overwrite only the partitions of the given days. The stage is computed
         from raw bars with its upstream columns in the same plan, so a build
-        reads the bars once and joins nothing."""
+        reads the bars once and joins nothing. A date's rows meet in as many tasks
+        as it needs files, not in one file per task and date."""
         bars = self.panel.df.join(days, "date", "left_semi")
         frame = self.catalogue.with_stages(self.panel.with_df(bars), [stage])
         columns = [F.col(c).cast("float").alias(c) for c in self.catalogue.stages[stage].columns]
         out = frame.select("date", "symbol", "bar", *columns)
         (
-            out.write.mode("overwrite")
+            by_date(out, self.panel.layout.date_rows)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("date")
             .parquet(self.path(stage))
@@ -206,6 +224,14 @@ class FeatureStore:
             raise ValueError(f"stage {stage}: {row['n_missing']} bars missing, {row['n_extra']} rows without a bar")
 
 
+def by_date(df: DataFrame, date_rows: int) -> DataFrame:
+    """Rows dealt by date, a date of ``date_rows`` to one task per FILE_ROWS of it."""
+    files = -(-max(1, date_rows) // FILE_ROWS)
+    if files == 1:
+        return df.repartition("date")
+    return df.repartition("date", F.pmod(F.xxhash64("symbol", "bar"), F.lit(files)))
+
+
 # -- run artefacts ----------------------------------------------------------------
 
 

@@ -5,15 +5,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barspan.operators import blend, folds, leaderboard, metrics, models, protocol, scans, search, sequences, specs
+from barspan.operators import blend, features, folds, leaderboard, metrics, models, protocol, scans, search, sequences, specs
 from barspan.operators.specs import Spec
 from barspan.plans import catalogue as catalogue_module
-from barspan.plans.catalogue import Catalogue, Stage
+from barspan.plans.catalogue import CATALOGUE, Catalogue, Stage
 from barspan.plans.layout import Layout, Limits
 from barspan.sources.bars import Panel, panel_from_events
 from barspan.sources.calendar import calendar_table
 from barspan.sources.predictions import append_oof, load_member
-from barspan.sources.store import FeatureStore, append_results, finished_jobs, save_run
+from barspan.sources.store import FeatureStore, Staleness, append_results, finished_jobs, save_run
 
 KEYS = ["date", "symbol", "bar"]
 
@@ -195,15 +195,15 @@ def small_catalogue(two=_two):
 def test_store_builds_only_what_is_dirty(spark, panel, tmp_path):
     days = sorted(r["date"] for r in panel.df.select("date").distinct().collect())
     store = FeatureStore(panel, str(tmp_path / "s"), small_catalogue())
-    assert all(r.startswith("common version changed") for r in store.dirty().values())
+    assert {r.code for r in store.dirty().values()} <= {"version", "unrecorded"}
     assert set(store.build(days[:5])) == {"one", "two"}
     assert store.build(days[:5]) == {}
-    assert store.dirty(days[:7]) == {"one": "missing 2 day files", "two": "missing 2 day files"}
+    assert store.dirty(days[:7]) == {"one": Staleness("days", detail=2), "two": Staleness("days", detail=2)}
     store.build(days[:7])
     assert store.built_days("two").count() == 7
     changed = FeatureStore(panel, str(tmp_path / "s"), small_catalogue(_two_changed))
-    assert list(changed.dirty(days[:7])) == ["two"] and changed.dirty(days[:7])["two"].startswith("hash changed")
-    assert store.dirty(days[:7], force=True, stages=["one"]) == {"one": "forced rebuild", "two": "forced rebuild"}
+    assert list(changed.dirty(days[:7])) == ["two"] and changed.dirty(days[:7])["two"].code == "code"
+    assert store.dirty(days[:7], force=True, stages=["one"]) == {"one": Staleness("forced"), "two": Staleness("forced")}
     newer = FeatureStore(panel, str(tmp_path / "s"), small_catalogue(), version="2")
     assert set(newer.dirty(days[:7])) == {"one", "two"}
     with pytest.raises(KeyError):
@@ -219,6 +219,38 @@ def test_store_builds_only_what_is_dirty(spark, panel, tmp_path):
     assert {r["state"] for r in store.status(days[:7]).collect()} == {"ok"}
 
 
+def test_version_is_judged_per_stage(spark, panel, tmp_path):
+    """A partial build after a change of version converges."""
+    days = sorted(r["date"] for r in panel.df.select("date").distinct().collect())[:2]
+    root = str(tmp_path / "s")
+    FeatureStore(panel, root, small_catalogue()).build(days)
+    newer = FeatureStore(panel, root, small_catalogue(), version="2")
+    assert newer.dirty(days, stages=["two"]) == {"two": Staleness("version", "1", "2")}
+    newer.build(days, stages=["two"])
+    assert newer.dirty(days, stages=["two"]) == {}
+    assert set(newer.dirty(days)) == {"one", "two"}  # "one" is still old, and "two" depends on it
+    newer.build(days)
+    assert newer.dirty(days) == {}
+
+
+def test_hash_sees_helpers_and_constants(monkeypatch):
+    before = {s: CATALOGUE.code_hash(s) for s in CATALOGUE.stages}
+    assert before == {s: CATALOGUE.code_hash(s) for s in CATALOGUE.stages}
+    monkeypatch.setattr(features, "FLOW_WINDOWS", (6, 7))
+    changed = {s for s in before if CATALOGUE.code_hash(s) != before[s]}
+    assert "ofi" in changed and "base" not in changed
+    monkeypatch.setattr(features, "clean", lambda c: c)
+    assert CATALOGUE.code_hash("ofi") not in before.values()
+
+
+def test_one_file_per_date(spark, panel, tmp_path):
+    days = panel.df.select("date").distinct()
+    store = FeatureStore(panel.with_df(panel.df.repartition(8)), str(tmp_path / "s"), small_catalogue())
+    store.write_stage("one", days)
+    files = list((tmp_path / "s" / "one").glob("date=*/*.parquet"))
+    assert len(files) == days.count()
+
+
 def test_upstream_spreads(spark, panel, tmp_path):
     days = sorted(r["date"] for r in panel.df.select("date").distinct().collect())[:2]
     root = str(tmp_path / "s")
@@ -226,7 +258,7 @@ def test_upstream_spreads(spark, panel, tmp_path):
     cat = small_catalogue()
     cat.stages["one"] = Stage("one", lambda p, d: d.withColumn("one", F.lit(1.0)), ["one"], groups={"g": ["one"]})
     reasons = FeatureStore(panel, root, cat).dirty(days)
-    assert reasons["one"].startswith("hash changed") and reasons["two"] == "upstream one is dirty"
+    assert reasons["one"].code == "code" and reasons["two"] == Staleness("upstream", detail="one")
 
 
 def test_oof_round_trip(spark, panel, tmp_path):

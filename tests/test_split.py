@@ -95,6 +95,41 @@ def test_snapshot_pages(panels):
     assert count(pages) == count(whole)
 
 
+@pytest.mark.parametrize("kind", ["large", "text"])
+def test_symbols_of_any_type(spark, kind):
+    """Symbols beyond 2^53 and text symbols get the same slots in both forms."""
+    names = [2**53 + k for k in (5, 1, 0, 3, 2, 4)] if kind == "large" else ["b", "aa", "ab", "Z", "10", "9"]
+    symbol = "bigint" if kind == "large" else "string"
+    rows = [(20240101, s, 93000000 + b, float(b)) for s in names for b in range(3)]
+    df = spark.createDataFrame(rows, f"date bigint, symbol {symbol}, bar bigint, x double")
+    found = []
+    for limits in (Limits(), TIGHT):
+        out = sequences.member_slots(Panel(df, Layout(3, 6, 18, 18), limits), df)
+        found.append(sorted(tuple(r) for r in out.select(*KEYS, "slot", "size", "x").collect()))
+    assert found[0] == found[1] and len(found[0]) == 18
+    assert [r[1] for r in sorted(found[0], key=lambda r: r[3]) if r[2] == 93000000] == sorted(names)
+
+
+def test_padding_pages_are_whole(panels):
+    """Batches of snapshots of unequal size: the split form has every padding cell of the plain one."""
+    plain, split = panels
+    cells = []
+    for p in (plain, split):
+        out = sequences.padded_batches(p, sequences.window_ends(p, 4), ["midpx"], 16)
+        tall = out.select("batch", "date", "bar", "page", F.posexplode("mask").alias("i", "m"))
+        slot = F.col("page") * F.lit(p.limits.page_members) + F.col("i")
+        cells.append(sorted(tuple(r) for r in tall.select("batch", "date", "bar", slot, "m").collect()))
+    assert cells[0] == cells[1] and not all(c[-1] for c in cells[0])
+
+
+def test_repeated_keys_are_an_error(spark, panels, tmp_path):
+    plain, _ = panels
+    path = str(tmp_path / "twice")
+    plain.df.unionByName(plain.df.limit(1)).write.partitionBy("date").parquet(path)
+    with pytest.raises(ValueError, match="more than once"):
+        read_panel(spark, path)
+
+
 def test_read_panel_numbers_series(spark, panels, tmp_path):
     plain, _ = panels
     path = str(tmp_path / "bars")
