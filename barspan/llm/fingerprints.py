@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barspan.llm.text import BASE, U, mix
+from barspan.plans.tables import written
 
 GRAM = 32
 WINDOW = 64
 #: Neighbouring ids that travel together when texts are put in order of their ids.
 BLOCK_IDS = 1024
+#: Blocks up to this number (16 MB of ids) are sent to every task; more are joined.
+MOST_SENT = 1_000_000
 
 
 def gram_hashes(codes: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -153,6 +156,10 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.col("block").alias("for_block"),
         F.coalesce(F.lag("top").over(Window.orderBy("block")), F.lit(high if found["high"] is not None else low - 1)).alias("donor"),
     )
+    # Written first, so that its size is known: while it is small, texts need not move to meet it.
+    donors = written(donors, "donors")
+    if donors.count() <= MOST_SENT:
+        donors = F.broadcast(donors)
     guests = rows.drop("block").join(donors, F.col("place") == F.col("donor"))
     both = rows.withColumn("guest", F.lit(0)).select("block", "guest", "place", "doc_id", "text").unionByName(
         guests.select(F.col("for_block").alias("block"), F.lit(1).alias("guest"), "place", "doc_id", "text")
