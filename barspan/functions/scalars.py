@@ -86,9 +86,21 @@ def pearson(x: Column, y: Column) -> Column:
     )
 
 
+def shown_scale(name: str) -> float:
+    """Factor under which a column is compared: squared errors of returns are about 1e-7,
+    linear predictions about 1e-5 and returns times volatility about 1e-8, so that six
+    decimals of the plain value would hold nothing of them."""
+    if "mse" in name and "pct" not in name:
+        return 1e9
+    if name.startswith("lagret") and name.endswith("_x_vol"):
+        return 1e6
+    return 1e3 if name == "pred" else 1.0
+
+
 def presented(name: str) -> Column:
-    """Six decimals and float precision: the form in which results are compared."""
+    """Six decimals of the scaled value at float precision: the form in which results are compared."""
+    x = f"(`{name}` * {shown_scale(name)!r}D)" if shown_scale(name) != 1.0 else f"`{name}`"
     return F.expr(
-        f"cast(cast(case when abs(`{name}`) < 1e12D then floor(`{name}` * 1e6D + 0.5D) / 1e6D "
-        f"else `{name}` end as float) as double) as `{name}`"
+        f"cast(cast(case when abs({x}) < 1e12D then floor({x} * 1e6D + 0.5D) / 1e6D else {x} end as float) as double) "
+        f"as `{name}`"
     )

@@ -1,5 +1,7 @@
-"""All comparison SQL, by the name of its query."""
+"""All comparison SQL, by the name of its query. A split query has its plain namesake's."""
 
 from barspan.oracle import features, models, protocol
+from barspan.queries.split_queries import PLAIN
 
-SQL = dict(sorted((features.SQL | protocol.SQL | models.SQL).items()))
+PLAIN_SQL = features.SQL | protocol.SQL | models.SQL
+SQL = dict(sorted((PLAIN_SQL | {f"{n}_split": PLAIN_SQL[n] for n in PLAIN}).items()))

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from barspan.functions.scalars import shown_scale
+
 KEYS = ["date", "symbol", "bar"]
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -32,8 +34,10 @@ def query(final: str, *needs: str) -> str:
 
 
 def q(x: str, name: str | None = None) -> str:
-    """Six decimals and float precision, as in ``presented``."""
+    """Six decimals of the scaled value at float precision, as in ``presented``."""
     name = name or x
+    if shown_scale(name) != 1.0:
+        x = f"({x} * {shown_scale(name)!r})"
     return (
         f"CAST(CAST(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + 0.5) / 1e6 ELSE {x} END AS FLOAT) "
         f"AS DOUBLE) AS {name}"

@@ -22,10 +22,13 @@ def show(df: DataFrame, numbers: Iterable[str], keys: Iterable[str] = KEYS) -> D
 def stage_query(build: Callable[[Panel], DataFrame], numbers: Iterable[str] | Callable[[], dict]) -> Query:
     """``numbers`` lists the columns to return, or is the function that builds them."""
 
+    def over(panel: Panel) -> DataFrame:
+        return show(build(panel), numbers() if callable(numbers) else numbers)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = numbers() if callable(numbers) else numbers
-        return show(build(panel_from_events(spark, sf_dir)), names)
+        return over(panel_from_events(spark, sf_dir))
 
+    run.over = over
     return run
 
 

@@ -39,6 +39,7 @@ def over_panel(build):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(panel_of(spark, sf_dir))
 
+    run.over = build
     QUERIES[build.__name__] = run
     return build
 
