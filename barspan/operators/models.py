@@ -75,8 +75,7 @@ def moments(df: DataFrame, columns: list[str], targets: list[str]) -> Moments:
             acc += z.T @ z
         yield pd.DataFrame({"at": np.arange(size), "products": list(acc)})
 
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    parts = df.select(*[x[c].alias(c) for c in names]).coalesce(tasks)
+    parts = df.select(*[x[c].alias(c) for c in names])
     parts = parts.mapInPandas(products, "at long, products array<double>")
     summed = parts.groupBy("at").agg(Summarizer.sum(array_to_vector("products")).alias("v"))
     rows = summed.select("at", vector_to_array("v").alias("v")).collect()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, R2_EPS, clean, zero
 from barspan.operators import blend, labels, leaderboard, models
@@ -14,7 +15,7 @@ from barspan.operators.specs import BASELINE_ID, Spec
 from barspan.plans.catalogue import CATALOGUE, build_features
 from barspan.plans.tables import written
 from barspan.sources.bars import Panel
-from barspan.sources.store import FeatureStore
+from barspan.sources.store import FeatureStore, append_results, finished_jobs
 
 
 def daily_moments(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -228,26 +229,48 @@ def run_fold(panel: Panel, profile: str, fold: dict, spec: Spec, **options) -> d
         row |= {m: val[m] for m in ("daily_corr_mean", "daily_corr_std")}
         row["train_val_corr_gap"] = train["corr"] - val["corr"]
     except Exception as error:  # a broken spec must not stop the other folds
-        row |= {"status": "error", "error_msg": str(error)[:300]}
+        row |= {"status": "error", "error_msg": str(error)}
     row["runtime_sec"] = time.time() - started
     return row
 
 
+JOB = ["profile", "fold_id", "experiment_id"]
+
+
 def run_profile(
     panel: Panel, calendar: DataFrame, profile: Profile, specs: list[Spec], max_folds: int | None = None,
-    done: set[tuple[str, int, str]] | None = None, **options,
+    results: str | None = None, workers: int = 1, **options,
 ) -> DataFrame:
-    """Fold results of the specs over one profile, skipping finished jobs.
+    """Fold results of the specs over one profile.
 
-    The loop runs over (fold, spec) pairs, a few dozen at most; all work on bars
-    happens in the Spark jobs of each pair.
+    A job is a (fold, spec) pair, a few dozen at most; all work on bars happens in the
+    Spark jobs of each pair, and ``workers`` pairs are in flight. With ``results`` every row is
+    appended there as its job finishes and jobs with an ``ok`` row are skipped, so a
+    run that broke off goes on where it stopped; a failed job runs again.
     """
-    rows = []
-    for fold in fold_table(calendar, profile, max_folds).orderBy("fold_id").collect():
-        for spec in specs:
-            if (profile.name, fold["fold_id"], spec.experiment_id) not in (done or set()):
-                rows.append(run_fold(panel, profile.name, fold.asDict(), spec, **options))
-    return panel.spark.createDataFrame(rows, RESULT_SCHEMA)
+    spark = panel.spark
+    finished = finished_jobs(spark, results, JOB) if results else None
+    done = {tuple(r) for r in finished.collect()} if finished is not None else set()
+    folds = [r.asDict() for r in fold_table(calendar, profile, max_folds).orderBy("fold_id").collect()]
+    jobs = [(f, s) for f in folds for s in specs if (profile.name, f["fold_id"], s.experiment_id) not in done]
+
+    def run(job: tuple[dict, Spec]) -> dict:
+        row = run_fold(panel, profile.name, *job, **options)
+        if results:
+            append_results(spark.createDataFrame([row], RESULT_SCHEMA).coalesce(1), results)
+        return row
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        rows = list(pool.map(run, jobs))
+    if not results:
+        return spark.createDataFrame(rows, RESULT_SCHEMA)
+    wanted = spark.createDataFrame(
+        [(profile.name, f["fold_id"], s.experiment_id) for f in folds for s in specs],
+        "profile string, fold_id bigint, experiment_id string",
+    )
+    best = Window.partitionBy(*JOB).orderBy(F.desc(F.col("status") == "ok"), "runtime_sec")
+    kept = spark.read.schema(RESULT_SCHEMA).parquet(results).join(wanted, JOB, "left_semi")
+    return kept.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
 def run_protocol(

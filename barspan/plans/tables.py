@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made here, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint directory. Where none is set, as in tests on one
-    machine, a temporary folder; a cluster without one is an error."""
+    """The cluster's checkpoint directory. Where none is set on a local master, as in
+    tests, one folder is made per application and removed when Python ends; a cluster
+    without one is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="barspan-")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = folder = tempfile.mkdtemp(prefix="barspan-")
+        maker = os.getpid()  # a forked Python worker that ends removes nothing
+        atexit.register(lambda: shutil.rmtree(folder, ignore_errors=True) if os.getpid() == maker else None)
+    return _OWN[application]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """All intermediate tables of one application lie in one folder."""
+    return f"{shared_folder(spark).rstrip('/')}/barspan-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,3 +51,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, once its results are consumed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

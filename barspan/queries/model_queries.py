@@ -120,7 +120,7 @@ def h02_elastic_net(p: Panel) -> DataFrame:
 @over_panel
 def h03_huber(p: Panel) -> DataFrame:
     rows = _features(p, ["legacy"])
-    fit = models.fit_model(p, date_range(rows, *TRAIN), CATALOGUE.columns(["legacy"]), "huber", params={"max_iter": 10})
+    fit = models.fit_model(p, date_range(rows, *TRAIN), CATALOGUE.columns(["legacy"]), "huber")
     return _scored(fit.predict(rows))
 
 
@@ -236,6 +236,15 @@ def h14_protocol_run(p: Panel) -> DataFrame:
     return out.drop("runtime_sec")
 
 
+@over_panel
+def h14_resumed_run(p: Panel) -> DataFrame:
+    """The same run, broken off after one fold and resumed from its results, two jobs in flight."""
+    specs, results = [Spec("R00_ridge_legacy", ("legacy",))], fresh_path(p.spark, "results")
+    protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], specs, max_folds=1, results=results)
+    out = protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], specs, results=results, workers=2)
+    return out.drop("runtime_sec")
+
+
 @over_panel
 def k10_engine(p: Panel) -> DataFrame:
     """Fit on one window, score another, fuse with a second model where it scored."""

@@ -11,8 +11,8 @@ CHECKED = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
-def con(small_dir):
-    return duck(small_dir)
+def con(sf_dir):
+    return duck(sf_dir)
 
 
 def test_sql_belongs_to_a_query():
@@ -20,8 +20,8 @@ def test_sql_belongs_to_a_query():
 
 
 @pytest.mark.parametrize("name", CHECKED)
-def test_matches_sql(spark, con, small_dir, name):
-    problem = differences(QUERIES[name](spark, small_dir).toPandas(), con.execute(SQL[name]).df())
+def test_matches_sql(spark, con, sf_dir, name):
+    problem = differences(QUERIES[name](spark, sf_dir).toPandas(), con.execute(SQL[name]).df())
     assert problem is None, problem
 
 
