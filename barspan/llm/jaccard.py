@@ -223,13 +223,19 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Members of different components, within the bounds.
     placed = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    placed = written(placed.join(mixed, "key"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
+    placed = placed.join(mixed, "key").withColumn("by_pair", F.expr("kind = 0"))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda e: e["key"]).alias("keys")
+    placed = written(placed.join(lists.groupBy("id", F.expr("kind = 0").alias("by_pair")).agg(own), ["id", "by_pair"]), "mixed")
+    # A pair comes out once, at the smaller set's first shared key, and only if the keys they share leave enough:
+    # outside the two prefixes they have at most the longer rest in common.
     within = F.expr(
         "x.key = y.key and x.label != y.label and x.short and (x.n < y.n or (x.n = y.n and x.id < y.id)) and 4 * x.n >= 3 * y.n "
         "and x.n <= y.hi and y.n <= x.hi and not (x.kind = 2 and y.kind = 2) "
-        "and 7 * (least(x.pos - x.miss, y.pos - y.miss) + least(x.n - x.pos, y.n - y.pos)) >= 3 * (x.n + y.n)"
+        "and 7 * (least(x.pos - x.miss, y.pos - y.miss) + least(x.n - x.pos, y.n - y.pos)) >= 3 * (x.n + y.n) "
+        "and get(array_intersect(x.keys, y.keys), 0) = x.key "
+        "and (x.by_pair or 7 * (size(array_intersect(x.keys, y.keys)) + greatest(x.n - x.n div 4, y.n - y.n div 4) - 1) >= 3 * (x.n + y.n))"
     )
+    x, y = placed.alias("x"), placed.alias("y")
     rest = x.join(y, within).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
     more = checked(rest.join(stars, ["a", "b"], "left_anti"), sets)
     final = components(links.unionByName(more).unionByName(same))
