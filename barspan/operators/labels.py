@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barspan.functions.scalars import KEYS, LABEL, clean
 from barspan.plans.groups import attach, attach_bounded
 from barspan.plans.order_stats import quantiles, smallest_rows
+from barspan.plans.tables import written
 from barspan.sources.bars import Panel
 
 TARGET_MODES = ("raw", "date_demean", "interval_demean", "interval_residual")
@@ -110,8 +111,8 @@ def sample_rows(rows: DataFrame, share: float | None, seed: int = 42, model: str
     """Exactly floor(n share) rows without replacement, for tree models only."""
     if share is None or not 0.0 < share < 1.0 or (model is not None and model not in SAMPLED_MODELS):
         return rows
-    keyed = rows.withColumn("_draw", sample_key(seed))
-    n = rows.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    keyed = written(rows.withColumn("_draw", sample_key(seed)), "drawn")
+    n = keyed.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     keep = F.floor(n.cast("double") * F.lit(share))
     return smallest_rows(keyed, "_draw", keep, KEYS).drop("_draw")
 
