@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -184,11 +185,24 @@ class Model:
         return np.log10((n + 1) / (self.tokens + self.types + 1))
 
 
+def most_frequent(counts: DataFrame) -> pd.DataFrame:
+    """The frequent words, most frequent first: all those above a count that leaves KNOWN at most.
+
+    The count comes from a histogram of eighth powers of two (some hundred rows).
+    """
+    bucket = F.floor(F.log2(F.col("n")) * 8)
+    sizes = sorted(((r["bucket"], r["count"]) for r in counts.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)
+    upto = np.cumsum([n for _, n in sizes])
+    fitting = int((upto <= KNOWN).sum())
+    least = sizes[fitting - 1][0] if fitting else 1 << 10
+    return counts.where(bucket >= least).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of all counts (word, group, n)."""
     counts = written(word_counts(train), "word-counts")
     ends = train.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    top = most_frequent(counts)
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     head = min(HEAD, len(top))
     order = np.argsort(hashes[:head])
