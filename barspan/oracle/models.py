@@ -46,7 +46,7 @@ cte("ridge_b", "ridge_z", """SELECT *, ((n + 2.0) * r1 - g * r2) / ((n + 2.0) *
 SQL["h01_ridge"] = query(f"""SELECT {K}, {qs('pred')} FROM (SELECT {K},
   my + b1 * (obi0 - m1) / s1 + b2 * (trade_imb - m2) / s2 AS pred FROM base, ridge_b)""", "base", "ridge_b")
 SQL["h02_elastic_net"] = query(f"""SELECT {K}, {qs('pred')} FROM (SELECT {K}, my + b * (obi0 - m1) / s1 AS pred FROM base,
-  (SELECT *, sign(c1y / s1) * greatest(abs(c1y / s1) - 2e-5 * 0.1, 0) / (1 + 2e-5 * 0.9) AS b FROM ridge_z))""", "base", "ridge_z")
+  (SELECT *, sign(c1y / s1) * greatest(abs(c1y / s1) - 1e-7 * 0.1, 0) / (1 + 1e-7 * 0.9) AS b FROM ridge_z))""", "base", "ridge_z")
 FAMILY = """CASE WHEN contains(feature, '_x_') THEN 'interaction' WHEN ends_with(feature, '_cs_rank') THEN 'cross_rank'
   WHEN ends_with(feature, '_cs_z') THEN 'cross_z' WHEN contains(feature, 'regime') OR starts_with(feature, 'state_') THEN 'regime'
   WHEN starts_with(feature, 'lagret') OR contains(feature, '_lag_') OR starts_with(feature, 'lag') THEN 'momentum'

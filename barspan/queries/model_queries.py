@@ -113,7 +113,7 @@ def h01_ridge(p: Panel) -> DataFrame:
 @over_panel
 def h02_elastic_net(p: Panel) -> DataFrame:
     rows = _features(p, ["base"])
-    fit = models.elastic_net(models.moments(date_range(rows, *TRAIN), ["obi0"], [LABEL]), 2e-5, 0.1)
+    fit = models.elastic_net(models.moments(date_range(rows, *TRAIN), ["obi0"], [LABEL]), 1e-7, 0.1)
     return _scored(fit.predict(rows))
 
 
