@@ -15,7 +15,7 @@ from barspan.operators.specs import BASELINE_ID, Spec
 from barspan.plans.catalogue import CATALOGUE, build_features
 from barspan.plans.tables import written
 from barspan.sources.bars import Panel
-from barspan.sources.store import FeatureStore, append_results, finished_jobs
+from barspan.sources.store import FeatureStore, append_results, by_date, finished_jobs
 
 
 def daily_moments(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -92,6 +92,18 @@ def on_days(panel: Panel, start: int, end: int) -> Panel:
     return panel.with_df(panel.df.where(F.col("date").between(start, end)))
 
 
+def shared_features(panel: Panel, groups: list[str] | None) -> DataFrame:
+    """The features of all dates, computed once and clustered by date; folds read their ranges of it."""
+    return written(by_date(build_features(panel, groups), panel.layout.date_rows), "features")
+
+
+def groups_of(specs: list[Spec]) -> list[str] | None:
+    """Feature groups that the specs need together; None is all of them."""
+    if not all(s.groups for s in specs):
+        return None
+    return list(dict.fromkeys(g for s in specs for g in s.groups))
+
+
 def fit_spec(panel: Panel, spec: Spec, train: DataFrame, winsor=labels.WINSORIZE, sample: float | None = None, params=None):
     """Fit a standard spec on feature rows; returns something with ``predict``."""
     columns = CATALOGUE.columns(spec.groups or None)
@@ -184,15 +196,19 @@ RESULT_SCHEMA = (
 def predict_spec(
     panel: Panel, spec: Spec, train_days: tuple[int, int], val_days: tuple[int, int], winsor=labels.WINSORIZE,
     sample: float | None = None, params: dict | None = None, store: FeatureStore | None = None,
+    features: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Scored train and validation rows (keys, label, pred) of one spec on one split.
 
-    With a store the features are read, pruned to the days and columns of the
-    spec; without one they are computed from the bars of those days and written,
-    because fitting and scoring read them several times.
+    Features come from a table that holds them for all dates, or from a store,
+    pruned to the days and columns of the spec; without either they are computed
+    from the bars of those days and written, because they are read several times.
     """
     groups = spec.groups or None
-    if store is not None:
+    if features is not None:
+        own = features.select(*KEYS, LABEL, *CATALOGUE.columns(groups))
+        rows = {n: own.where(F.col("date").between(*days)) for n, days in (("train", train_days), ("val", val_days))}
+    elif store is not None:
         rows = {n: store.load_range(*days, groups) for n, days in (("train", train_days), ("val", val_days))}
     else:
         rows = {
@@ -254,6 +270,9 @@ def run_profile(
     folds = [r.asDict() for r in fold_table(calendar, profile, max_folds).orderBy("fold_id").collect()]
     jobs = [(f, s) for f in folds for s in specs if (profile.name, f["fold_id"], s.experiment_id) not in done]
 
+    if jobs and options.get("store") is None and options.get("features") is None:
+        options["features"] = shared_features(panel, groups_of([s for _, s in jobs]))
+
     def run(job: tuple[dict, Spec]) -> dict:
         row = run_fold(panel, profile.name, *job, **options)
         if results:

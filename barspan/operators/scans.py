@@ -12,9 +12,9 @@ from barspan.functions.scalars import FLAT_STD, LABEL
 from barspan.operators import labels, models, search
 from barspan.operators.folds import Profile, fold_table
 from barspan.operators.metrics import STABILITY_PENALTY, bundle
-from barspan.operators.protocol import on_days, run_profile
+from barspan.operators.protocol import run_profile, shared_features
 from barspan.operators.specs import Spec
-from barspan.plans.catalogue import CATALOGUE, build_features
+from barspan.plans.catalogue import CATALOGUE
 from barspan.sources.bars import Panel
 
 # The scanned ridge strengths and label clips.
@@ -30,21 +30,19 @@ def ridge_scan(
 
     The clipped labels are targets side by side, so one set of moments per fold
     serves all combinations, and one pass scores them on the validation days.
+    Features are computed once for all folds.
     """
     alphas, clips = alphas or ALPHAS, clips or CLIPS
     columns, parts = CATALOGUE.columns(groups), None
+    features = shared_features(panel, groups)
     for fold in fold_table(calendar, profile, max_folds).orderBy("fold_id").collect():
-        train = build_features(on_days(panel, fold["train_start"], fold["train_end"]), groups).persist()
-        try:
-            rows, targets = train, []
-            for i, limits in enumerate(clips.values()):
-                targets.append(f"_y{i}")
-                rows = rows.withColumn(targets[-1], F.col(LABEL))
-                if limits is not None:
-                    rows = labels.winsorize(rows, targets[-1], *limits, fits_task=panel.total_fits)
-            m = models.moments(rows, columns, targets)
-        finally:
-            train.unpersist()
+        rows, targets = features.where(F.col("date").between(fold["train_start"], fold["train_end"])), []
+        for i, limits in enumerate(clips.values()):
+            targets.append(f"_y{i}")
+            rows = rows.withColumn(targets[-1], F.col(LABEL))
+            if limits is not None:
+                rows = labels.winsorize(rows, targets[-1], *limits, fits_task=panel.total_fits)
+        m = models.moments(rows, columns, targets)
         cells = F.array(
             *[
                 F.struct(F.lit(c).alias("clip"), F.lit(a).alias("alpha"), models.ridge(m, a, i).expression().alias("pred"))
@@ -52,7 +50,7 @@ def ridge_scan(
                 for a in alphas
             ]
         )
-        val = build_features(on_days(panel, fold["val_start"], fold["val_end"]), groups)
+        val = features.where(F.col("date").between(fold["val_start"], fold["val_end"]))
         tall = val.select("date", F.col(LABEL).alias("label"), F.inline(cells))
         scored = bundle(tall, ["clip", "alpha"]).withColumn("fold_id", F.lit(fold["fold_id"]))
         parts = scored if parts is None else parts.unionByName(scored)
