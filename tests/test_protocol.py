@@ -465,5 +465,9 @@ def test_protocol_run_and_engine(spark, sf_dir, tmp_path):
     store.write_stage("base", p.df.select("date").distinct())
     read = protocol.run_profile(p, cal, profile, [Spec(specs.BASELINE_ID, ("legacy",))], 1, store=store).first()
     assert read["status"] == "ok" and read["val_corr"] == pytest.approx(rows[specs.BASELINE_ID]["val_corr"], abs=1e-3)
-    done = {("short_8d_2d", 0, "broken"), ("short_8d_2d", 0, specs.BASELINE_ID)}
-    assert protocol.run_profile(p, cal, profile, [broken], 1, done).count() == 0
+    results, both = str(tmp_path / "results"), [Spec(specs.BASELINE_ID, ("legacy",)), broken]
+    first = protocol.run_profile(p, cal, profile, both, 1, results=results, store=store)
+    again = protocol.run_profile(p, cal, profile, both, 1, results=results, store=store, workers=2)
+    assert {r["status"] for r in first.collect()} == {r["status"] for r in again.collect()} == {"ok", "error"}
+    # The finished job wasn't run again, the failed one was.
+    assert spark.read.parquet(results).groupBy("status").count().orderBy("status").collect() == [("error", 2), ("ok", 1)]
