@@ -77,7 +77,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch, texts in slices(batches):
             sets = sets_of(texts)
             flat = np.concatenate(sets)
-            counts += np.bincount((flat & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            at, n = np.unique(flat & U(COUNTERS - 1), return_counts=True)
+            counts[at.astype(np.int64)] += n.astype(np.uint32)
             h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             h2 = np.array([mix(s + U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             none = [None] * len(sets)
@@ -164,35 +165,76 @@ def entries(docs: DataFrame, classes: np.ndarray, small: int) -> DataFrame:
 
 
 def shared_lists(entered: DataFrame) -> DataFrame:
-    """Entries whose key another set has too, with ``miss``, ``hi`` and ``short``.
+    """Entries whose key another set has too, with ``miss``, ``hi``, ``short`` and ``left``.
 
     miss: tokens of the prefix before this one that nobody else entered; a partner in this list has none of
     them. hi: the largest partner size at which the overlap can still suffice (3 (a + b) <= 7 (b - miss)).
-    short: the token is among the first n/7 + 1, where the smaller set of a link has a shared one.
+    short: the token is among the first n/7 + 1, where the smaller set of a link has a shared one. left: the
+    set's entries from this one on; a link needs a number of shared ones, so its first has as many left.
     """
     alone = F.count(F.lit(1)).over(Window.partitionBy("key"))
     lists = entered.withColumn("df", alone).where("df > 1").drop("df")
     rank = F.row_number().over(Window.partitionBy("id", "kind").orderBy("pos", "key")) - 1
-    lists = lists.withColumn("miss", F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.col("pos") - rank))
+    own = F.count(F.lit(1)).over(Window.partitionBy("id", "kind"))
+    lists = lists.withColumn("left", own - rank).withColumn("miss", F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.col("pos") - rank))
     lists = lists.withColumn("hi", F.expr("(7 * (n - miss) - 3 * n) div 3")).withColumn("short", F.expr("pos <= n div 7"))
     return lists.where("4 * hi >= 3 * n")
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) that link, by their whole sets."""
+def possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) whose shared prefix keys leave enough.
+
+    The set whose prefix ends first in the common order has no other token in common with the other one's
+    prefix or before it, so outside the shared keys at most the longer rest counts. Pairs that met in a
+    subset and have no lists pass.
+    """
+    ids = _sent(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+    entered = lists.where("kind != 0").select("id", "n", "key").join(ids, "id", "left_semi")
+    keys = written(entered.groupBy("id").agg(F.max("n").alias("n"), F.collect_set("key").alias("keys")), "keys")
+    own = lambda side: keys.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("keys").alias(f"keys_{side}"))
+    both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    enough = F.expr("7 * (size(array_intersect(keys_a, keys_b)) + greatest(n_a - n_a div 4, n_b - n_b div 4) - 1) >= 3 * (n_a + n_b)")
+    return both.where(F.coalesce(enough, F.lit(True))).select("a", "b")
+
+
+#: Members that one task checks against one set.
+BLOCK = 1024
+
+
+def checked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their texts.
+
+    Sets are made anew from the texts of the pairs' ids. A set ``a`` stands at the head of each block of its
+    partners, which pass it one by one; many partners are dealt to several blocks.
+    """
+    ids = _sent(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
+    sets = written(_whole_sets(rows.join(ids, "doc_id", "left_semi")), "sets")
+    blocks = pairs.groupBy("a").agg(F.expr(f"count(1) div {BLOCK} + 1").alias("blocks"))
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    heads = heads.join(sets.withColumnRenamed("id", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
+    members = pairs.join(blocks, "a").select("a", F.expr("pmod(xxhash64(b), blocks)").alias("block"), "b")
+    members = members.join(sets.withColumnRenamed("id", "b"), "b").select("a", "block", "b", "tokens")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * same >= 75 * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+            found = []
+            for a, block, b, tokens in zip(*(batch.column(n).to_pylist() for n in ("a", "block", "b", "tokens"))):
+                other = np.frombuffer(tokens, np.uint64)
+                if b is None:  # texts of one id may have several sets
+                    own = [*own, other] if at == (a, block) else [other]
+                    at = (a, block)
+                    continue
+                for x in own:
+                    same = len(np.intersect1d(x, other, assume_unique=True))
+                    if 100 * same >= 75 * (len(x) + len(other) - same):
+                        found.append((a, b))
+                        break
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    dealt = heads.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,36 +250,33 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes, mean_list = token_classes(signed)
     firsts = rows.where("doc_id is not null").join(_sent(copies), "doc_id", "left_anti")
     lists = written(shared_lists(entries(firsts, classes, boundary(mean_list))), "lists")
-    members = lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(_whole_sets(rows.join(_sent(members), "doc_id", "left_semi")), "sets")
 
     # Every member against its list's least edited one.
-    best = lists.groupBy("key").agg(F.min(F.struct((F.col("miss") / F.col("n")).alias("edits"), "id", "n")).alias("best"))
-    stars = lists.join(best, "key").where("id != best.id and 4 * least(n, best.n) >= 3 * greatest(n, best.n)")
-    stars = written(stars.select(F.least("id", "best.id").alias("a"), F.greatest("id", "best.id").alias("b")).distinct(), "stars")
+    best = F.min(F.struct((F.col("miss") / F.col("n")).alias("edits"), "id", "n")).over(Window.partitionBy("key"))
+    stars = lists.withColumn("best", best).where("id != best.id and 4 * least(n, best.n) >= 3 * greatest(n, best.n)")
+    stars = written(stars.select(F.col("best.id").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    stars = written(possible(stars, lists), "stars")
     # Equal texts under different ids link through their class; so do the texts of a repeated id.
     same = classed.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(checked(stars, sets), "links")
+    links = written(checked(stars, rows), "links")
     labels = components(links)
 
     # Members of different components, within the bounds.
+    labels = F.broadcast(labels) if labels.count() <= MOST_SENT else labels
     placed = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    placed = placed.join(mixed, "key").withColumn("by_pair", F.expr("kind = 0"))
-    own = F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda e: e["key"]).alias("keys")
-    placed = written(placed.join(lists.groupBy("id", F.expr("kind = 0").alias("by_pair")).agg(own), ["id", "by_pair"]), "mixed")
-    # A pair comes out once, at the smaller set's first shared key, and only if the keys they share leave enough:
-    # outside the two prefixes they have at most the longer rest in common.
+    one_list = Window.partitionBy("key")
+    placed = placed.withColumn("lo", F.min("label").over(one_list)).withColumn("up", F.max("label").over(one_list)).where("lo != up")
+    x, y = placed.alias("x"), placed.alias("y")
     within = F.expr(
         "x.key = y.key and x.label != y.label and x.short and (x.n < y.n or (x.n = y.n and x.id < y.id)) and 4 * x.n >= 3 * y.n "
         "and x.n <= y.hi and y.n <= x.hi and not (x.kind = 2 and y.kind = 2) "
         "and 7 * (least(x.pos - x.miss, y.pos - y.miss) + least(x.n - x.pos, y.n - y.pos)) >= 3 * (x.n + y.n) "
-        "and get(array_intersect(x.keys, y.keys), 0) = x.key "
-        "and (x.by_pair or 7 * (size(array_intersect(x.keys, y.keys)) + greatest(x.n - x.n div 4, y.n - y.n div 4) - 1) >= 3 * (x.n + y.n))"
+        "and (x.kind = 0 or 7 * (least(x.left, y.left) + greatest(x.n - x.n div 4, y.n - y.n div 4) - 1) >= 3 * (x.n + y.n))"
     )
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, within).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-    more = checked(rest.join(stars, ["a", "b"], "left_anti"), sets)
+    rest = written(x.join(y, within).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "met")
+    tried = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = written(possible(rest, lists).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = checked(rest, rows)
     final = components(links.unionByName(more).unionByName(same))
     out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
@@ -263,5 +302,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row without id stays. Rows that repeat an id stay or go together.
     """
     found = linked_components(docs, id_col, text_col)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    gone = _sent(written(found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone"))
     return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")

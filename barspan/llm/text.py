@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 # Any odd multiplier serves a polynomial hash modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -29,7 +29,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * SLICE_BYTES), base & (2**64 - 1), np.uint64)
+        have = np.full(max(n, SLICE_BYTES + 2), base & (2**64 - 1), np.uint64)
         have[0] = 1
         _powers[base] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
