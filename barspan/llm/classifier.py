@@ -115,7 +115,8 @@ def train(
         # 2^63 times the share, taken from both ends of the hash.
         known = known.where(F.abs(draw.cast("double")) < F.lit(sample_rows / n * 2.0**63))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.join(known, "doc_id").select("label", "text", draw.alias("draw"))
+    # At most about ``sample_rows`` ids, so the texts stay where they are.
+    rows = rows.join(F.broadcast(known), "doc_id").select("label", "text", draw.alias("draw"))
     made = pa.schema([("label", pa.float64()), ("draw", pa.int64()), ("at", pa.binary()), ("value", pa.binary())])
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
