@@ -14,7 +14,7 @@ import numpy as np
 
 from barspan.llm.text import counts_to_offsets, word_hashes
 
-MOST_SEGMENTS = 1_000_000
+MOST_SEGMENTS = 400_000
 
 
 class SegmentStore:

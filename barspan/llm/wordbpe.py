@@ -41,7 +41,7 @@ class WordEncoder:
         if have is None:
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             have = [t.id for t in self.whole.model.tokenize(letters)]
-            if len(self.pieces) >= 100_000:
+            if len(self.pieces) >= 50_000:
                 self.pieces.clear()
             self.pieces[piece] = have
         return have
