@@ -1,10 +1,14 @@
 """A class-based n-gram language model after Brown: P(w_i | w_i-1) = P(c_i | c_i-1) P(w_i | c_i).
 
-Tokens are words (lower case A-Z) and one end per text, a class of its own. Exchange clustering gives words
-their classes: in each round one pass over all training texts counts, per unit, the classes before and after
-it; then units, most frequent first, go to the class that raises the likelihood of the class bigrams most. A unit is
-one of the HEAD most frequent words, or all rarer words (and unknown ones) whose last two bytes have the same
-hash, so every word has a class and the model's size is fixed while its counts come from all training text.
+Tokens are words (lower case A-Z) and one end per text, a class of its own. A unit is a word that the training
+texts have at least LEAST times, or all rarer words (and unknown ones) whose last two bytes have the same hash; so
+every word has a class, and both the units and the classes (half the root of the units) grow with the input.
+
+Exchange clustering gives units their classes. One pass over the training texts counts the pairs of neighbouring
+units into a table in which all pairs of a unit lie together, dealt over tasks; only the HEAVY most frequent units
+are spread over all of them. A round counts the class bigrams, moves the heavy units one after the other on the
+driver, then all others in their tasks, each to the class that raises the likelihood of the class bigrams most.
+Rounds run until one adds less than LEAST_GAIN of all that was gained.
 
 Transitions are smoothed towards the classes' own frequencies, emissions by ALPHA added to each word of the
 class and to one unknown word. The base score is the add-one unigram score of the same tokens.
@@ -19,6 +23,7 @@ alone; extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,15 +37,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barspan.llm.text import U, lowered, mix, raw, slices, word_bounds, word_hashes
 from barspan.plans.tables import written
 
-HEAD = 1 << 14
+#: Words seen this often have a unit of their own.
+LEAST = 3
 GROUPS = 1 << 10
+#: The fewest classes; see ``classes_for``.
 CLASSES = 64
-ROUNDS = 2
+LEAST_GAIN = 1e-3
+#: Units whose pairs are spread over all tasks.
+HEAVY = 1 << 10
 KNOWN = 1 << 19
 ALPHA = 0.5
 BETA = 10.0
-#: Units whose context counts travel together.
-CHUNK = 1 << 10
+#: Entries of a vector of counts that travel together.
+CHUNK = 1 << 16
+#: Tokens whose pairs a task counts before it sends them, pairs a task merges, pairs in a row of their table.
+TOKENS, MERGED, ROW = 1 << 22, 1 << 22, 1 << 16
+#: Entries of a dense matrix of units and classes.
+DENSE = 1 << 21
+
+
+def classes_for(units: int) -> int:
+    return max(CLASSES, math.isqrt(units) // 2)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,7 +77,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """The head words (hashes ascending) with their units, and the number of units."""
+    """The words with a unit of their own (hashes ascending), their units, and the number of units but the end."""
 
     hashes: np.ndarray
     unit: np.ndarray
@@ -88,52 +105,206 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word long, group int, n long").groupBy("word", "group").agg(F.sum("n").alias("n"))
 
 
-def contexts(train: DataFrame, vocabulary: Vocabulary, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per unit (the end is the last one), how often each class follows it and comes before it.
+_PAIRS = "part int, pairs binary"
+
+
+def _packed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
+    return np.concatenate((unit, other, n)).astype("<u4").tobytes()
+
+
+def _unpacked(pairs: bytes) -> np.ndarray:
+    """Rows unit, 2 * other unit + (0: it follows, 1: it comes before) and count."""
+    return np.frombuffer(pairs, "<u4").reshape(3, -1).astype(np.int64)
+
+
+def _summed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs as one, in order of unit and other."""
+    key = unit << 32 | other
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[new] >> 32, key[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new) if len(key) else n
 
-    Each task counts into two fixed matrices and sends them in compressed chunks; equal chunks are added one
-    at a time. The size depends on the model, not on the text.
+
+def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, tokens: int) -> DataFrame:
+    """Both sides of all pairs of neighbouring units (the end is the last unit) as packed rows.
+
+    All pairs of a unit are in one row, those of a heavy one in rows of many tasks.
     """
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, class_of))
-    width = CLASSES + 1
-    units = vocabulary.units + 1
+    shared = spark.sparkContext.broadcast((vocabulary, heavy))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // MERGED))
+    parts = 8 * tasks  # several for a task, so that tasks get about equally many
+
+    def send(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        heavy = shared.value[1]
+        first, second = np.concatenate([r[:-1] for r in rows]), np.concatenate([r[1:] for r in rows])
+        a, b, n = _summed(first, second, np.ones(len(first), np.int64))
+        unit, other, n = np.concatenate((a, b)), np.concatenate((2 * b, 2 * a + 1)), np.concatenate((n, n))
+        spread = np.where(np.isin(unit, heavy), other + 1, 0)
+        part = (mix((unit << 32 | spread).astype(np.uint64)) % U(parts)).astype(np.int64)
+        order = np.lexsort((other, unit, part))
+        part, unit, other, n = part[order], unit[order], other[order], n[order]
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)).tolist()
+        for k in range(0, len(cuts) - 1, 256):
+            spans = list(zip(cuts[k : k + 256], cuts[k + 1 : k + 257]))
+            yield pa.RecordBatch.from_arrays([pa.array([part[i] for i, _ in spans], pa.int32()), pa.array([_packed(unit[i:j], other[i:j], n[i:j]) for i, j in spans], pa.binary())], names=["part", "pairs"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, class_of = shared.value
-        after, before = np.zeros(units * width, np.int64), np.zeros(units * width, np.int64)
+        vocabulary = shared.value[0]
+        end, rows, held = vocabulary.units, [], 0
         for _, texts in slices(batches):
             words, groups, first = _words(texts)
             # An end before the slice and behind every text.
-            row = np.concatenate(([units - 1], np.insert(vocabulary.units_of(words, groups), first[1:], units - 1)))
-            classes = class_of[row]
-            after += np.bincount(row[:-1] * width + classes[1:], minlength=units * width)
-            before += np.bincount(row[1:] * width + classes[:-1], minlength=units * width)
-        for at in range(0, units * width, CHUNK * width):
-            parts = [x[at : at + CHUNK * width] for x in (after, before)]
-            if parts[0].any() or parts[1].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([zlib.compress(p.tobytes(), 1)], pa.binary()) for p in parts)], names=["at", "after", "before"])
+            rows.append(np.concatenate(([end], np.insert(vocabulary.units_of(words, groups), first[1:], end))))
+            held += len(rows[-1])
+            if held >= TOKENS:
+                yield from send(rows)
+                rows, held = [], 0
+        if rows:
+            yield from send(rows)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_unpacked(x) for batch in batches for x in batch.column("pairs").to_pylist()]
+        if not found:
+            return
+        unit, other, n = _summed(*np.concatenate(found, axis=1))
+        del found
+        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        at = 0
+        while at < len(unit):
+            later = np.searchsorted(starts, at + ROW)
+            end = int(starts[later]) if later < len(starts) else len(unit)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_packed(unit[at:end], other[at:end], n[at:end])], pa.binary())], names=["part", "pairs"])
+            at = end
+
+    return written(train.mapInArrow(count, _PAIRS).repartition(tasks, "part").mapInArrow(merge, _PAIRS), "unit-pairs")
+
+
+def class_counts(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class bigrams, and per heavy unit (ascending), how often each class follows it and comes before it.
+
+    Each task counts into one fixed vector and sends it in compressed chunks; equal chunks are added one at a
+    time. The size depends on the classes, not on the text.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast((class_of, heavy))
+    width = classes + 1
+    length = width * width + 2 * len(heavy) * width
+    schema = "at int, counts binary"
+
+    def sent(totals: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for at, part in totals:
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["at", "counts"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, heavy = shared.value
+        total = np.zeros(length, np.int64)
+        for batch in batches:
+            for row in batch.column("pairs").to_pylist():
+                unit, other, n = _unpacked(row)
+                side, near = other & 1, class_of[other >> 1]
+                after = side == 0
+                total[: width * width] += np.bincount(class_of[unit[after]] * width + near[after], n[after], width * width).astype(np.int64)
+                at = np.minimum(np.searchsorted(heavy, unit), len(heavy) - 1)
+                have = heavy[at] == unit
+                if have.any():
+                    np.add.at(total, width * width + (side[have] * len(heavy) + at[have]) * width + near[have], n[have])
+        yield from sent((at, total[at : at + CHUNK]) for at in range(0, length, CHUNK))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, list[np.ndarray]] = {}
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(zlib.decompress(part), np.int64)
+                totals[at] = totals[at] + part if at in totals else part
+        yield from sent(totals.items())
+
+    out = np.zeros(length)
+    for r in pairs.mapInArrow(count, schema).repartition(16, "at").mapInArrow(add, schema).collect():
+        part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+        out[r["at"] : r["at"] + len(part)] = part
+    shared.destroy()
+    after, before = out[width * width :].reshape(2, len(heavy), width)
+    return out[: width * width].reshape(width, width), after, before
+
+
+def best_classes(unit: np.ndarray, other: np.ndarray, n: np.ndarray, class_of: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units of some pairs, in order, and the class that suits each best while all others stay.
+
+    A unit's own counts are taken out of its own class first.
+    """
+    width = len(bigrams)
+    rows, columns = bigrams.sum(1), bigrams.sum(0)
+    prior_after, prior_before = (BETA * (x + 1) / (x.sum() + width) for x in (columns, rows))
+    follows = np.log((bigrams + prior_after) / (rows + BETA)[:, None])[:-1]
+    precedes = np.log((bigrams + prior_before[:, None]) / (columns + BETA))[:, :-1]
+    gains = np.concatenate((follows.T, precedes)).astype(np.float32)
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
+    units, bounds = unit[starts], np.append(starts, len(unit))
+    best = np.zeros(len(units), np.int64)
+    step = max(1, DENSE // (2 * width))
+    for k in range(0, len(units), step):
+        some = units[k : k + step]
+        a, b = bounds[k], bounds[k + len(some)]
+        local = np.searchsorted(some, unit[a:b])
+        at = local * 2 * width + (other[a:b] & 1) * width + class_of[other[a:b] >> 1]
+        counts = np.bincount(at, n[a:b], len(some) * 2 * width).reshape(len(some), 2, width)
+        score = counts.reshape(len(some), -1).astype(np.float32) @ gains
+        own = class_of[some]
+        out, into = counts[:, 0], counts[:, 1]
+        left_out, left_in = np.maximum(bigrams[own] - out, 0), np.maximum(bigrams.T[own] - into, 0)
+        score[np.arange(len(some)), own] = (out * np.log((left_out + prior_after) / (left_out.sum(1, keepdims=True) + BETA))).sum(1) + (
+            into * np.log((left_in + prior_before) / (left_in.sum(1, keepdims=True) + BETA))
+        ).sum(1)
+        best[k : k + step] = score.argmax(1)
+    return units, best
+
+
+def moved(pairs: DataFrame, class_of: np.ndarray, bigrams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Every unit that is not heavy in its best class."""
+    shared = pairs.sparkSession.sparkContext.broadcast((class_of, bigrams, heavy))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, bigrams, heavy = shared.value
         for batch in batches:
-            for at, *parts in zip(*(batch.column(n).to_pylist() for n in ("at", "after", "before"))):
-                parts = [np.frombuffer(zlib.decompress(p), np.int64) for p in parts]
-                totals[at] = [a + b for a, b in zip(totals[at], parts)] if at in totals else parts
-        for at, parts in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([zlib.compress(p.tobytes(), 1)], pa.binary()) for p in parts)], names=["at", "after", "before"])
+            for row in batch.column("pairs").to_pylist():
+                unit, other, n = _unpacked(row)
+                light = ~np.isin(unit, heavy)
+                units, best = best_classes(unit[light], other[light], n[light], class_of, bigrams)
+                new = best != class_of[units]
+                yield pa.RecordBatch.from_arrays([pa.array(units[new].astype(np.int32)), pa.array(best[new].astype(np.int32))], names=["unit", "class"])
+
+    found = pairs.mapInArrow(run, "unit int, class int").toArrow()
+    shared.destroy()
+    out = class_of.copy()
+    out[found.column("unit").to_numpy()] = found.column("class").to_numpy()
+    return out
+
 
-    schema = "at int, after binary, before binary"
-    after, before = np.zeros(units * width), np.zeros(units * width)
-    for r in train.mapInArrow(count, schema).repartition(16, "at").mapInArrow(add, schema).collect():
-        for total, name in ((after, "after"), (before, "before")):
-            part = np.frombuffer(zlib.decompress(bytes(r[name])), np.int64)
-            total[r["at"] : r["at"] + len(part)] = part
-    return after.reshape(units, width), before.reshape(units, width)
+def log_likelihood(bigrams: np.ndarray) -> float:
+    """Of the class bigrams, up to what no exchange changes."""
+    return float(_gain(bigrams).sum() - _gain(bigrams.sum(1)).sum() - _gain(bigrams.sum(0)).sum())
+
+
+def clustered(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes and class bigrams of the best round, and the likelihood of each."""
+    likelihoods: list[float] = []
+    best = class_of, np.zeros((classes + 1, classes + 1))
+    while True:
+        bigrams, after, before = class_counts(pairs, class_of, classes, heavy)
+        likelihoods.append(log_likelihood(bigrams))
+        if len(likelihoods) == 1 or likelihoods[-1] > max(likelihoods[:-1]):
+            best = class_of, bigrams
+        if len(likelihoods) > 1 and likelihoods[-1] - max(likelihoods[:-1]) <= LEAST_GAIN * (max(likelihoods) - likelihoods[0]):
+            return *best, likelihoods
+        class_of = class_of.copy()
+        class_of[heavy], bigrams = exchange_within(after, before, class_of[heavy], bigrams)
+        class_of = moved(pairs, class_of, bigrams, heavy)
 
 
 def class_bigrams(after: np.ndarray, class_of: np.ndarray) -> np.ndarray:
-    out = np.zeros((CLASSES + 1, CLASSES + 1))
+    out = np.zeros((after.shape[1], after.shape[1]))
     np.add.at(out, class_of, after)
     return out
 
@@ -144,9 +315,14 @@ def _gain(x: np.ndarray) -> np.ndarray:
 
 def exchange(after: np.ndarray, before: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     """One round: every unit but the end, most frequent first, moves to its best class."""
-    class_of = class_of.copy()
-    pairs = class_bigrams(after, class_of)
+    return exchange_within(after, before, class_of, class_bigrams(after, class_of))[0]
+
+
+def exchange_within(after: np.ndarray, before: np.ndarray, class_of: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for some units, the end last, among the class bigrams of all; also these after the moves."""
+    class_of, pairs = class_of.copy(), pairs.copy()
     sizes = after.sum(1)
+    plain = _gain(pairs)
     for unit in np.argsort(-sizes[:-1], kind="stable").tolist():
         out, into = after[unit], before[unit]
         if not sizes[unit] and not into.any():
@@ -154,19 +330,22 @@ def exchange(after: np.ndarray, before: np.ndarray, class_of: np.ndarray) -> np.
         own = class_of[unit]
         pairs[own] = np.maximum(pairs[own] - out, 0)
         pairs[:, own] = np.maximum(pairs[:, own] - into, 0)
+        plain[own], plain[:, own] = _gain(pairs[own]), _gain(pairs[:, own])
         rows, columns = pairs.sum(1), pairs.sum(0)
-        better = (_gain(pairs + out) - _gain(pairs)).sum(1) + (_gain(pairs + into[:, None]) - _gain(pairs)).sum(0)
+        follows, precedes = np.flatnonzero(out), np.flatnonzero(into)
+        better = (_gain(pairs[:, follows] + out[follows]) - plain[:, follows]).sum(1) + (_gain(pairs[precedes] + into[precedes, None]) - plain[precedes]).sum(0)
         better -= _gain(rows + out.sum()) - _gain(rows) + _gain(columns + into.sum()) - _gain(columns)
-        best = int(np.argmax(better[:CLASSES]))
+        best = int(np.argmax(better[:-1]))
         class_of[unit] = best
         pairs[best] += out
         pairs[:, best] += into
-    return class_of
+        plain[best], plain[:, best] = _gain(pairs[best]), _gain(pairs[:, best])
+    return class_of, pairs
 
 
 @dataclass
 class Model:
-    """Everything a task needs: fixed sizes, and the counts of the KNOWN most frequent words."""
+    """Everything a task needs; of the counts, those of the KNOWN most frequent words."""
 
     vocabulary: Vocabulary
     class_of: np.ndarray
@@ -178,6 +357,11 @@ class Model:
     types: int  # V
     ends: int
 
+    @property
+    def end(self) -> int:
+        """The end's class."""
+        return len(self.members) - 1
+
     def emission(self, n: np.ndarray, classes: np.ndarray) -> np.ndarray:
         return np.log10((n + ALPHA) / self.members[classes])
 
@@ -203,26 +387,29 @@ def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(word_counts(train), "word-counts")
     ends = train.count()
     top = most_frequent(counts)
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
-    head = min(HEAD, len(top))
-    order = np.argsort(hashes[:head])
-    vocabulary = Vocabulary(hashes[:head][order], order.astype(np.int64))
-    class_of = np.append(np.arange(head) % CLASSES, np.append(np.arange(GROUPS) % CLASSES, CLASSES))
-    for _ in range(ROUNDS):
-        class_of = exchange(*contexts(train, vocabulary, class_of), class_of)
-    pairs = class_bigrams(contexts(train, vocabulary, class_of)[0], class_of)
-
-    # Words and tokens per class: rarer words by their group (at most GROUPS rows), head words from the list.
+    # Words rarer than LEAST count with their group (at most GROUPS rows).
+    own = counts.where(F.col("n") >= LEAST).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     by_group = counts.groupBy("group").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).toPandas()
-    tokens, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    groups, n = top["group"].to_numpy(np.int64)[:head], top["n"].to_numpy(np.int64)[:head]
-    for at, t, k in ((class_of[head + by_group["group"].to_numpy(np.int64)], by_group["tokens"], by_group["types"]), (class_of[head + groups], -n, -np.ones(head)), (class_of[:head], n, np.ones(head))):
-        np.add.at(tokens, at, np.asarray(t, np.float64))
-        np.add.at(types, at, np.asarray(k, np.float64))
-    total = tokens.sum() + ends
-    tokens[CLASSES], types[CLASSES] = ends, 1
-    prior = (tokens + 1) / (total + CLASSES + 1)
+    n, groups, head = own["n"].to_numpy(np.int64), own["group"].to_numpy(np.int64), len(own)
+    sizes, kinds = np.append(n, np.zeros(GROUPS, np.int64)), np.append(np.ones(head, np.int64), np.zeros(GROUPS, np.int64))
+    for total, each, less in ((sizes, by_group["tokens"], n), (kinds, by_group["types"], np.ones(head, np.int64))):
+        total[head + by_group["group"].to_numpy(np.int64)] = each.to_numpy(np.int64)
+        np.subtract.at(total, head + groups, less)
+    words = own["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    vocabulary = Vocabulary(words[order], order.astype(np.int64))
+    classes = classes_for(vocabulary.units)
+    # The end, the last unit, is a heavy one.
+    heavy = np.append(np.sort(np.argsort(-sizes, kind="stable")[: HEAVY - 1]), vocabulary.units)
+    pairs_of = unit_pairs(train, vocabulary, heavy, int(sizes.sum()) + ends)
+    start = np.append(np.append(np.arange(head) % classes, np.arange(GROUPS) % classes), classes)
+    class_of, pairs, _ = clustered(pairs_of, start, classes, heavy)
+
+    tokens, types = (np.append(np.bincount(class_of[:-1], x, classes), last) for x, last in ((sizes, ends), (kinds, 1)))
+    total = tokens.sum()
+    prior = (tokens + 1) / (total + classes + 1)
     transition = np.log10((pairs + BETA * prior) / (pairs.sum(1, keepdims=True) + BETA))
+    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     by_hash = np.argsort(hashes)
     model = Model(
         vocabulary, class_of, transition, tokens + ALPHA * (types + 1), hashes[by_hash], top["n"].to_numpy(np.int64)[by_hash],
@@ -254,8 +441,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             size = len(texts)
             owner = np.repeat(np.arange(size), np.diff(first))
             classes = m.class_of[m.vocabulary.units_of(words, groups)]
-            line = np.insert(classes, first[1:], CLASSES)
-            steps = m.transition[np.concatenate(([CLASSES], line[:-1])), line] if len(line) else np.zeros(0)
+            line = np.insert(classes, first[1:], m.end)
+            steps = m.transition[np.concatenate(([m.end], line[:-1])), line] if len(line) else np.zeros(0)
             at = first + np.arange(size + 1)  # places of the texts in ``line``
             score = np.array([steps[a:b].sum() for a, b in zip(at[:-1], at[1:])])
             if len(m.known):
@@ -266,7 +453,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 have, n = np.zeros(len(words), bool), np.zeros(0)
             known = np.bincount(owner[have], minlength=size)
             base = np.bincount(owner[have], m.unigram(n), minlength=size)
-            score = score + np.bincount(owner[have], m.emission(n, classes[have]), minlength=size) + m.emission(np.array([m.ends]), np.array([CLASSES]))[0]
+            score = score + np.bincount(owner[have], m.emission(n, classes[have]), minlength=size) + m.emission(np.array([m.ends]), np.array([m.end]))[0]
             ids = np.arange(row, row + size)
             # A text's own row; its word hash only spreads the rows and is not looked at.
             yield pa.RecordBatch.from_arrays(

@@ -360,6 +360,47 @@ def test_exchange_finds_the_classes():
     assert not set(class_of[: units // 2]) & set(class_of[units // 2 : units])
 
 
+def test_every_repeated_word_is_clustered(spark, monkeypatch):
+    """20,000 words that come three times have a unit each; pairs of units are counted whole; rounds end where nothing rises."""
+    seen = {}
+    counted, rounds = classlm.unit_pairs, classlm.clustered
+    monkeypatch.setattr(classlm, "unit_pairs", lambda *a: seen.setdefault("pairs", counted(*a)))
+    monkeypatch.setattr(classlm, "clustered", lambda *a: seen.setdefault("rounds", rounds(*a)))
+    monkeypatch.setattr(classlm, "HEAVY", 50)
+    rng = random.Random(8)
+    words = [f"{'n' if k % 2 else 'v'}{k}" for k in range(20_000)]
+    texts = [" ".join(f"{rng.choice(['the', 'a']) if w[0] == 'n' else 'to'} {w}" for w in rng.sample(words, len(words))[j::40]) for _ in range(3) for j in range(40)] + ["rare words"]
+    model, _ = classlm.train_model(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert len(model.vocabulary.hashes) == 20_003 and model.end == classlm.classes_for(20_003 + classlm.GROUPS) > classlm.CLASSES
+    units = lambda ws: model.vocabulary.units_of(classlm.word_hashes(*hashable(ws)), np.full(len(ws), -1))
+    unit_of = dict(zip([*words, "the", "a", "to"], units([*words, "the", "a", "to"]).tolist()))
+    assert sorted(unit_of.values()) == list(range(20_003))
+    end, plain = model.vocabulary.units, collections.Counter()
+    for text in texts[:-1]:
+        line = [end, *(unit_of[w] for w in text.split()), end]
+        plain.update(zip(line, line[1:]))
+    found = collections.Counter()
+    for r in seen["pairs"].collect():
+        for a, b, n in classlm._unpacked(bytes(r["pairs"])).T.tolist():
+            found[(a, b >> 1) if b % 2 == 0 else (b >> 1, a)] += n
+    own = {k: n for k, n in found.items() if all(x < 20_003 or x == end for x in k)}
+    own[end, end] = own.get((end, end), 0)
+    # Both sides of a pair are there; the first end of a slice may follow another one.
+    assert {k: 2 * n for k, n in plain.items() if k[0] != end} == {k: n for k, n in own.items() if k[0] != end}
+    likelihoods = seen["rounds"][2]
+    assert len(likelihoods) > 2 and all(b > a for a, b in itertools.pairwise(likelihoods[:-1]))
+    nouns = collections.Counter(seen["rounds"][0][unit_of[w]] for w in words if w[0] == "n")
+    verbs = collections.Counter(seen["rounds"][0][unit_of[w]] for w in words if w[0] == "v")
+    assert sum(min(nouns[c], verbs[c]) for c in nouns) < 200
+
+
+def hashable(words):
+    data = " ".join(words).encode()
+    array = np.frombuffer(data, np.uint8)
+    starts, ends, _ = classlm.word_bounds(array, np.array([0, len(data)]))
+    return array, starts, ends
+
+
 # 9 packing
 
 
