@@ -14,7 +14,6 @@ itself; an empty table has no pieces; extra columns of the input are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -102,11 +101,11 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> tuple[l
 
 
 _PIECES = pa.schema(
-    [("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())]
+    [("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())]
 )
 
 
-def cut(docs: DataFrame, content: str, end_id: int, window: int, keep_ids: bool, id_col: str, text_col: str) -> DataFrame:
+def cut(docs: DataFrame, content: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces of every document; ``place`` numbers the pieces of one length within a task (``part``)."""
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
@@ -122,23 +121,23 @@ def cut(docs: DataFrame, content: str, end_id: int, window: int, keep_ids: bool,
                 for start in range(0, total, window):
                     piece = own[4 * start : 4 * (start + window)]
                     length = len(piece) // 4
-                    rows.append((part, doc_id, start, length, zlib.crc32(piece), total, seen[length], piece if keep_ids else None))
+                    rows.append((part, doc_id, start, length, total, seen[length], piece))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "part long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, place long, ids binary"
+        run, "part long, doc_id long, start long, length int, doc_tokens long, place long, ids binary"
     )
 
 
 def pack(
-    docs: DataFrame, content: str, end_id: int = END_ID, window: int = WINDOW, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, content: str, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if kept, ids.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (uint32 each).
 
     ``content`` is a tokenizers file. Texts are read once; the pieces are written, counted and placed.
     """
-    pieces = written(cut(docs, content, end_id, window, keep_ids, id_col, text_col), "pieces")
+    pieces = written(cut(docs, content, end_id, window, id_col, text_col), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
@@ -165,5 +164,5 @@ def pack(
 
     ranked = pieces.join(base, ["part", "length"]).withColumn("at", placed(F.col("length").cast("long"), F.col("base") + F.col("place")))
     return ranked.select(
-        "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "at.sequence_id", "at.offset", *(["ids"] if keep_ids else [])
+        "doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "at.sequence_id", "at.offset", "ids"
     )

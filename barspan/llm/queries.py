@@ -79,7 +79,7 @@ def op8_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary(WORD_MODEL).decode(), keep_ids=False)
+    return packing.pack(documents(spark, sf_dir), vocabulary(WORD_MODEL).decode())
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@
 2. quality classifier: documents that score below the threshold go
 3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays
 4. PII: personal data in the texts gives way to its kind
-5. packing: token ids of all that is left, in windows of 2048
+5. packing: token ids of all that is left, in windows of 2048; one row per piece, with its ids and place
 
 The first four return the columns of ``documents``; a column or row that a stage doesn't decide on passes
 unchanged, null or not. An empty table passes every stage as an empty table.
@@ -42,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary(WORD_MODEL).decode(), keep_ids=False)
+    return packing.pack(docs, vocabulary(WORD_MODEL).decode())
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -2,14 +2,16 @@
 
 import collections
 import os
+import zlib
 
+import numpy as np
 import pytest
 from compare import differences, duck
 
 import __spark_entry__
 import corpus_pipeline
-from barspan.llm import classifier, pii
-from barspan.llm.queries import QUERIES, SQL, documents
+from barspan.llm import classifier, packing, pii
+from barspan.llm.queries import QUERIES, SQL, WORD_MODEL, documents, vocabulary
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -49,6 +51,24 @@ def test_pipeline(spark, small_dir):
     assert set(pieces) == {r["doc_id"] for r in left.collect()}
 
 
+def test_packed_sequences_hold_their_ids(spark, small_dir):
+    """The pipeline and op9 return the sequences: a document's pieces decode to its text."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(vocabulary(WORD_MODEL).decode())
+    texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, small_dir).collect()}
+    for name in ("op9_packing", "pipeline"):
+        pieces = collections.defaultdict(dict)
+        for r in __spark_entry__.queries()[name](spark, small_dir).collect():
+            assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+            pieces[r["doc_id"]][r["start"]] = np.frombuffer(r["ids"], "<u4").tolist()
+        assert pieces
+        for doc_id, found in pieces.items():
+            ids = [i for _, piece in sorted(found.items()) for i in piece]
+            text = texts[doc_id] if name == "op9_packing" else pii.redacted(texts[doc_id], pii.find_spans(texts[doc_id]))
+            assert ids == [*model.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op5_quality_classifier"](spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in labels]
