@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing.
 
 Every run of GRAM code points is hashed; in every window of WINDOW consecutive hashes the smallest one is
-chosen, the rightmost of equal ones. Any passage of GRAM + WINDOW - 1 = 95 code points that two texts share
+chosen, the rightmost of equal ones. Any passage of GRAM + WINDOW - 1 = 15 code points that two texts share
 puts a common hash into both fingerprints, and no shared passage under GRAM code points does. Positions are
 kept, so a match can be traced back to its place.
 
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from barspan.llm.text import BASE, U, mix
 from barspan.plans.tables import written
 
-GRAM = 32
-WINDOW = 64
+GRAM = 8
+WINDOW = 8
 #: Neighbouring ids that travel together when texts are put in order of their ids.
 BLOCK_IDS = 1024
 #: Blocks up to this number (16 MB of ids) are sent to every task; more are joined.

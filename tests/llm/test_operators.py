@@ -120,6 +120,16 @@ def test_fingerprints_with_next(docs, texts, awkward, empty):
     assert fingerprints.fingerprints(docs).count() == len(texts)
 
 
+def test_short_texts_are_nearer_to_their_edited_form(spark):
+    """From 22 code points on, the two thirds that an edit leaves hold a hash in common."""
+    rng = random.Random(11)
+    texts = {n: sentence(rng, 60)[:n] for n in range(22, 150)}
+    rows = fingerprints.fingerprints_with_next(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["near_edited"] > max(0.05, 2 * r["near_next"]), r["n_chars"]
+
+
 def test_fingerprints_across_blocks(spark):
     rows = spark.range(0, 5000, 1, 4).selectExpr("id * 3 as doc_id", "concat('text number ', id) as text")
     found = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints_with_next(rows).collect()}
