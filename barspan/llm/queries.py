@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barspan.llm import bytebpe, classifier, classlm, fingerprints, idfiles, jaccard, packing, pii, rules, tokencounts
+from barspan.llm import bytebpe, chat, classifier, classlm, fingerprints, idfiles, jaccard, merkle, packing, pii, rules, runs, tokencounts
+from barspan.plans.tables import written
 
 MERGE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -86,9 +87,79 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.through_files(documents(spark, sf_dir), vocabulary(WORD_MODEL).decode())
 
 
+def crc(doc_id: Column) -> Column:
+    """Unsigned crc32 of the decimal digits; null for null."""
+    return F.crc32(doc_id.cast("string"))
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    tampered = F.when(crc(F.col("doc_id")) % 7 == 0, n_chars + 1).otherwise(n_chars)
+    found = merkle.manifest(documents(spark, sf_dir), MANIFEST_FIELDS, changed={"n_chars": tampered})
+    rows = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), merkle.folded(F.col("changed_leaf"), F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def periodic_text(doc_id: Column, text: Column) -> Column:
+    """In one of ten texts, the words from some place on are replaced by repeats of the first few of them."""
+
+    def repeated(ws: Column, g: Column) -> Column:
+        n = F.size(ws)
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        at = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.when(n > 0, F.array_join(F.transform(ws, lambda w, i: ws[at(i.cast("long")).cast("int")]), " ")).otherwise("")
+
+    changed = rules.let(rules.words(text), lambda ws: rules.let(F.floor(crc(doc_id) / 10), lambda g: repeated(ws, g)))
+    return F.when(crc(doc_id) % 10 == 0, changed).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", periodic_text(F.col("doc_id"), rules.text_or_empty(F.col("text"))).alias("text"))
+    found = runs.periodic_runs(docs)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(better(best, r), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+#: A conversation whose texts look like marks.
+MARKED_TEXT = f"{chat.END}{chat.START}assistant ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("id").alias("turn")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    marked = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn, role.alias("role"), F.lit(MARKED_TEXT).alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(marked)
+    out = written(chat.format_conversations(rows), "formatted")
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = out.select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("learned"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_winnowing, op2_jaccard_join, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts, op8_class_model, op9_packing, op10_id_files)
-}
+    f.__name__: f
+    for f in (
+        op1_winnowing, op2_jaccard_join, op3_quality_rules, op4_pii, op5_quality_classifier, op6_merge_replay, op7_token_counts,
+        op8_class_model, op9_packing, op10_id_files, op11_merkle, op12_periodic_runs, op13_chat_format,
+    )
+}
 
 OP3_SQL = r"""
 WITH w AS (
@@ -130,4 +201,67 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.id = doc_id
 """
 
-SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_quality_rules": OP3_SQL}
+#: crc32 bit by bit: for every byte, eight steps of the reflected polynomial 0xEDB88320.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST({0} AS VARCHAR), '')]),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), [CAST(z AS BIGINT) FOR z IN range(8)]),
+    lambda v, z: CASE WHEN v & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), v >> 1) ELSE v >> 1 END)))"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(n_chars if f == "n_chars" else f) for f in MANIFEST_FIELDS) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+         {_leaf_sql("(n_chars + CASE WHEN " + CRC_SQL.format("doc_id") + " % 7 = 0 THEN 1 ELSE 0 END)")} AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {_leaf_sql("n_chars")}) - 1 AS i
+  FROM documents),
+tree(k, lang, i, h) AS (
+  SELECT 0, lang, i, leaf FROM d
+  UNION ALL
+  SELECT k + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM tree) WHERE n > 1 GROUP BY k, lang, i // 2),
+subs AS (SELECT lang, k AS top, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM (SELECT *, count(*) OVER (PARTITION BY lang, k) AS n FROM tree) WHERE n = 1
+         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY k) = 1),
+crown(k, i, h) AS (
+  SELECT 0, i, subroot FROM subs
+  UNION ALL
+  SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM crown) WHERE n > 1 GROUP BY k, i // 2),
+steps AS (
+  SELECT d.doc_id, d.leaf, t.k, CASE WHEN t.i % 2 = 0 THEN t.h ELSE '' END AS l, CASE WHEN t.i % 2 = 1 THEN t.h ELSE '' END AS r
+  FROM d JOIN tree t ON t.lang IS NOT DISTINCT FROM d.lang AND t.i = xor(d.i >> t.k, 1)
+  UNION ALL
+  SELECT d.doc_id, d.leaf, s.top + t.k, CASE WHEN t.i % 2 = 0 THEN t.h ELSE '' END, CASE WHEN t.i % 2 = 1 THEN t.h ELSE '' END
+  FROM d JOIN subs s ON s.lang IS NOT DISTINCT FROM d.lang JOIN crown t ON t.i = xor(s.i >> t.k, 1)),
+depth AS (SELECT lang, top + (SELECT max(k) FROM crown) AS depth FROM subs),
+fold(doc_id, leaf, depth, k, h) AS (
+  SELECT d.doc_id, d.leaf, depth, CAST(0 AS BIGINT), changed FROM d JOIN depth ON depth.lang IS NOT DISTINCT FROM d.lang
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.depth, f.k + 1, sha256(coalesce(s.l, '') || f.h || coalesce(s.r, ''))
+  FROM fold f LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k WHERE f.k < f.depth),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY k) AS p FROM steps GROUP BY doc_id),
+root AS (SELECT h AS root FROM crown ORDER BY k DESC LIMIT 1)
+SELECT d.doc_id, d.leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM d JOIN subs s ON s.lang IS NOT DISTINCT FROM d.lang JOIN fold f ON f.doc_id = d.doc_id AND f.k = f.depth
+LEFT JOIN proofs p ON p.doc_id = d.doc_id CROSS JOIN root
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_quality_rules": OP3_SQL, "op11_merkle": OP11_SQL, "op13_chat_format": OP13_SQL}

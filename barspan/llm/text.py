@@ -17,6 +17,10 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 _powers: dict[int, np.ndarray] = {}
 
+#: Places whose numbers are kept between slices (8 bytes each).
+MOST_PLACES = 1 << 17
+_places = np.zeros(0, np.uint64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit (the splitmix64 finaliser)."""
@@ -25,6 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     have = _powers.get(base)
@@ -87,11 +94,62 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
+def flat_places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after another."""
+    offsets = counts_to_offsets(ends - starts)
+    return np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])
+
+
+def _factors(n: int) -> np.ndarray:
+    """An odd number for every place in a word."""
+    global _places
+    if n > len(_places):
+        made = mix(np.arange(max(n, 1 << 12), dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(1)) | U(1)
+        if len(made) > MOST_PLACES:
+            return made
+        _places = made
+    return _places
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word's bytes, from one running polynomial over the slice."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of every word's bytes (no word is empty).
+
+    Each byte stands for a random number, multiplied by another one for its place in the word; no pattern of
+    letters cancels, as it does in a polynomial of one base. Words that must be told apart for certain are
+    compared by their bytes as well (``word_codes``, ``SegmentStore``).
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = (ends - starts).astype(np.int32)
+    offsets = counts_to_offsets(sizes)
+    place = np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), sizes)
+    terms = _LETTERS[data[place + np.repeat(starts.astype(np.int32), sizes)]]
+    terms *= _factors(int(sizes.max()))[place]
+    return mix(np.add.reduceat(terms, offsets[:-1]) + sizes.astype(np.uint64))
+
+
+def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Numbers of the words whose bytes differ from those of their counterpart in ``other``."""
+    sizes = ends - starts
+    unlike = sizes != other_ends - other_starts
+    same = np.flatnonzero(~unlike)
+    a, b = flat_places(starts[same], ends[same]), flat_places(other_starts[same], other_ends[same])
+    wrong = np.flatnonzero(data[a] != other[b])
+    if len(wrong):
+        unlike[same[np.searchsorted(np.cumsum(sizes[same]), wrong, side="right")]] = True
+    return np.flatnonzero(unlike)
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for every word of a slice; equal numbers mean equal bytes."""
+    _, first, codes = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    like = first[codes]
+    unlike = differing(data, starts, ends, data, starts[like], ends[like])
+    if len(unlike):
+        known: dict[bytes, int] = {}
+        for k in unlike.tolist():
+            codes[k] = len(first) + known.setdefault(data[starts[k] : ends[k]].tobytes(), len(known))
+    return codes
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
