@@ -22,7 +22,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 def test_all_are_registered():
     known = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(known)
     assert known["pipeline"].__wrapped__ is corpus_pipeline.run
 
