@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, clean
 from barspan.plans.groups import attach, attach_bounded
-from barspan.plans.order_stats import quantiles, smallest_rows
+from barspan.plans.order_stats import quantiles, smallest_rows, value_bucket
 from barspan.plans.tables import written
 from barspan.sources.bars import Panel
 
@@ -73,6 +73,42 @@ def winsor_bounds(
     return quantiles(rows, groups, target, {"low_bound": low, "high_bound": high}, fits_task)
 
 
+def fold_bounds(rows: DataFrame, days: DataFrame, by: list[str], quantile: dict[str, float], target: str = LABEL) -> DataFrame:
+    """Exact quantiles of ``target`` over the dates of every fold, one row per ``by``; bars aren't copied per fold.
+
+    ``days`` lists the dates of each fold (``by`` and date). Values are counted once per date. Folds overlap, so
+    each adds up its dates' counts per bucket (the leading bits of a value) and finds the buckets that hold the
+    wanted positions; only the values of those few buckets are laid out per fold.
+    """
+    n_values, run = F.sum("n_equal"), Window.partitionBy(*by).orderBy("_high")
+    seen = rows.where(F.col(target).isNotNull()).select("date", F.col(target).cast("double").alias("value"))
+    counts = seen.groupBy("date", "value").agg(F.count(F.lit(1)).alias("n_equal"))
+    counts = written(counts.withColumn("_high", value_bucket(F.col("value"))), "date_counts")
+    buckets = counts.groupBy("date", "_high").agg(n_values.alias("n_equal")).join(days.select(*by, "date"), "date")
+    buckets = buckets.groupBy(*by, "_high").agg(n_values.alias("held"))
+    buckets = buckets.withColumn("through", F.sum("held").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = buckets.withColumn("n", F.sum("held").over(Window.partitionBy(*by)))
+    at = [F.lit(q) * (F.col("n") - F.lit(1)).cast("double") for q in quantile.values()]
+    first, last = F.col("through") - F.col("held"), F.col("through") - F.lit(1)
+    holds = F.lit(False)
+    for p in at:
+        holds = holds | ((first <= F.ceil(p)) & (last >= F.floor(p)))
+    needed = sized.where(holds).select(*by, "_high", "n", first.alias("_before"))
+    inside = counts.join(needed.join(days.select(*by, "date"), by), ["date", "_high"])
+    values = inside.groupBy(*by, "_high", "n", "_before", "value").agg(n_values.alias("n_equal"))
+    ordered = Window.partitionBy(*by, "_high").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_last", F.col("_before") + F.sum("n_equal").over(ordered) - F.lit(1))
+    begin = F.col("_last") - F.col("n_equal") + F.lit(1)
+    pick = lambda p: F.max(F.when((begin <= p) & (F.col("_last") >= p), F.col("value")))
+    found = values.groupBy(*by).agg(
+        *[pick(F.floor(p)).alias(f"_lo{i}") for i, p in enumerate(at)],
+        *[pick(F.ceil(p)).alias(f"_hi{i}") for i, p in enumerate(at)],
+        *[F.max(p - F.floor(p)).alias(f"_part{i}") for i, p in enumerate(at)],
+    )
+    between = lambda i: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")
+    return found.select(*by, *[between(i).alias(name) for i, name in enumerate(quantile)])
+
+
 def winsorized(target: str) -> Column:
     return F.greatest(F.least(F.col(target), F.col("high_bound")), F.col("low_bound"))
 

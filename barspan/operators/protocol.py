@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, R2_EPS, clean, zero
 from barspan.operators import blend, labels, leaderboard, models
@@ -13,9 +13,10 @@ from barspan.operators.folds import Profile, fold_table
 from barspan.operators.metrics import bundle, correlation, pooled
 from barspan.operators.specs import BASELINE_ID, Spec
 from barspan.plans.catalogue import CATALOGUE, build_features
-from barspan.plans.tables import written
+from barspan.plans.tables import fresh_path, written
 from barspan.sources.bars import Panel
-from barspan.sources.store import FeatureStore, append_results, by_date, finished_jobs
+from barspan.sources.journal import Journal
+from barspan.sources.store import FeatureStore, by_date, save_run
 
 
 def daily_moments(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -39,7 +40,10 @@ def _combined() -> dict[str, Column]:
     """Pooled moments of several dates from the moments of each."""
     n, whole = F.col("n"), F.sum("n")
     mean = lambda c: F.sum(n * F.col(c)) / whole
-    second = lambda v, a, b: F.sum(n * (F.col(v) + F.col(a) * F.col(b))) / whole - mean(a) * mean(b)
+    # Within dates plus between their means, which are centred before they are multiplied.
+    days = F.collect_list(F.struct("n", "mp", "my"))
+    between = lambda a, b: F.aggregate(days, F.lit(0.0), lambda sum, d: sum + d["n"] * (d[a] - mean(a)) * (d[b] - mean(b)))
+    second = lambda v, a, b: (F.sum(n * F.col(v)) + between(a, b)) / whole
     vp, vy, cpy = second("vp", "mp", "mp"), second("vy", "my", "my"), second("cpy", "mp", "my")
     varies = (F.max("p_high") > F.min("p_low")) & (F.max("y_high") > F.min("y_low"))
     return {
@@ -255,71 +259,102 @@ JOB = ["profile", "fold_id", "experiment_id"]
 
 def run_profile(
     panel: Panel, calendar: DataFrame, profile: Profile, specs: list[Spec], max_folds: int | None = None,
-    results: str | None = None, workers: int = 1, **options,
+    results: str | None = None, workers: int = 1, most: int | None = None, **options,
 ) -> DataFrame:
     """Fold results of the specs over one profile.
 
     A job is a (fold, spec) pair, a few dozen at most; all work on bars happens in the
-    Spark jobs of each pair, and ``workers`` pairs are in flight. With ``results`` every row is
-    appended there as its job finishes and jobs with an ``ok`` row are skipped, so a
-    run that broke off goes on where it stopped; a failed job runs again.
+    Spark jobs of each pair, and ``workers`` pairs are in flight. Every finished job is one row of the
+    journal under ``results``; jobs with an ``ok`` row are skipped, so a run that broke off (``most`` breaks
+    it off on purpose) goes on where it stopped, and a failed job runs again.
     """
-    spark = panel.spark
-    finished = finished_jobs(spark, results, JOB) if results else None
-    done = {tuple(r) for r in finished.collect()} if finished is not None else set()
+    journal = Journal(panel.spark, results or fresh_path(panel.spark, "results"), JOB, RESULT_SCHEMA)
     folds = [r.asDict() for r in fold_table(calendar, profile, max_folds).orderBy("fold_id").collect()]
-    jobs = [(f, s) for f in folds for s in specs if (profile.name, f["fold_id"], s.experiment_id) not in done]
-
-    if jobs and options.get("store") is None and options.get("features") is None:
-        options["features"] = shared_features(panel, groups_of([s for _, s in jobs]))
-
-    def run(job: tuple[dict, Spec]) -> dict:
-        row = run_fold(panel, profile.name, *job, **options)
-        if results:
-            append_results(spark.createDataFrame([row], RESULT_SCHEMA).coalesce(1), results)
-        return row
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        rows = list(pool.map(run, jobs))
-    if not results:
-        return spark.createDataFrame(rows, RESULT_SCHEMA)
-    wanted = spark.createDataFrame(
-        [(profile.name, f["fold_id"], s.experiment_id) for f in folds for s in specs],
-        "profile string, fold_id bigint, experiment_id string",
-    )
-    best = Window.partitionBy(*JOB).orderBy(F.desc(F.col("status") == "ok"), "runtime_sec")
-    kept = spark.read.schema(RESULT_SCHEMA).parquet(results).join(wanted, JOB, "left_semi")
-    return kept.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    jobs = [
+        {"profile": profile.name, "fold_id": f["fold_id"], "experiment_id": s.experiment_id, "fold": f, "spec": s}
+        for f in folds for s in specs
+    ]
+    done = journal.finished()
+    waiting = [j["spec"] for j in jobs if tuple(j[k] for k in JOB) not in done]
+    if waiting and options.get("store") is None and options.get("features") is None:
+        options["features"] = shared_features(panel, groups_of(waiting))
+    return journal.run(jobs, lambda job: run_fold(panel, profile.name, job["fold"], job["spec"], **options), workers, most)
+
+
+Holdouts = dict[str, tuple[tuple[int, int], tuple[int, int]]]
 
 
 def run_protocol(
     panel: Panel, calendar: DataFrame, profiles: list[Profile], specs: list[Spec], weights: dict[str, float],
-    baseline_id: str = BASELINE_ID, max_folds: int | None = None, **options,
+    baseline_id: str = BASELINE_ID, max_folds: int | None = None, holdouts: Holdouts | None = None,
+    results: str | None = None, save: tuple[str, str] | None = None, **options,
 ) -> dict[str, DataFrame]:
-    """Fold metrics, profile summary and leaderboard of a suite."""
-    results = None
+    """Fold metrics, profile summary, leaderboard and holdouts of a suite.
+
+    ``holdouts``: training and held days of ``review`` and ``final``; their scores stand in the leaderboard.
+    ``save``: a folder and a run id under which all tables, the folds, the resolved columns of each spec and the
+    configuration are kept.
+    """
+    if options.get("store") is None and options.get("features") is None:
+        options["features"] = shared_features(panel, groups_of(specs))
+    out: dict[str, DataFrame] = {}
     for profile in profiles:
-        part = run_profile(panel, calendar, profile, specs, max_folds, **options)
-        results = part if results is None else results.unionByName(part)
-    summary = leaderboard.summarize_profiles(results.where(F.col("status") == "ok"))
-    board = leaderboard.build_leaderboard(summary, baseline_id, weights)
-    return {"fold_metrics": results, "profile_summary": summary, "leaderboard": board}
+        part = run_profile(panel, calendar, profile, specs, max_folds, results, **options)
+        out["fold_metrics"] = part if "fold_metrics" not in out else out["fold_metrics"].unionByName(part)
+    held = {
+        name: run_holdout(panel, train, days, specs, name, f"{results}-holdouts" if results else None, **options)
+        for name, (train, days) in (holdouts or {}).items()
+    }
+    out["profile_summary"] = leaderboard.summarize_profiles(out["fold_metrics"].where(F.col("status") == "ok"))
+    out["leaderboard"] = leaderboard.build_leaderboard(
+        out["profile_summary"], baseline_id, weights, review=held.get("review"), final=held.get("final")
+    )
+    for name, rows in held.items():
+        out["holdouts"] = rows if "holdouts" not in out else out["holdouts"].unionByName(rows)
+    if save is not None:
+        root, run_id = save
+        tables = [fold_table(calendar, p, max_folds) for p in profiles]
+        folds = tables[0]
+        for t in tables[1:]:
+            folds = folds.unionByName(t)
+        config = {
+            "profiles": [vars(p) for p in profiles], "weights": weights, "baseline_id": baseline_id, "max_folds": max_folds,
+            "specs": [vars(s) for s in specs], "holdouts": {n: [list(a), list(b)] for n, (a, b) in (holdouts or {}).items()},
+        }
+        save_run(root, run_id, out | {"folds": folds, "resolved_columns": resolved_columns(panel.spark, specs)}, config)
+    return out
+
+
+def resolved_columns(spark: SparkSession, specs: list[Spec]) -> DataFrame:
+    """Per spec: its columns in order, their number and a hash of their names."""
+    rows = []
+    for s in specs:
+        columns = CATALOGUE.columns(s.groups or None)
+        rows.append((s.experiment_id, len(columns), hashlib.sha256(",".join(columns).encode()).hexdigest()[:16], columns))
+    return spark.createDataFrame(rows, "experiment_id string, n_columns long, columns_hash string, columns array<string>")
+
+
+HOLDOUT_SCHEMA = (
+    "holdout_name string, experiment_id string, holdout_corr double, holdout_mse double, holdout_r2 double, "
+    "status string, error_msg string"
+)
 
 
 def run_holdout(
-    panel: Panel, train: tuple[int, int], held: tuple[int, int], specs: list[Spec], name: str = "holdout", **options
+    panel: Panel, train: tuple[int, int], held: tuple[int, int], specs: list[Spec], name: str = "holdout",
+    results: str | None = None, workers: int = 1, most: int | None = None, **options,
 ) -> DataFrame:
-    rows = []
+    """Scores of each spec trained on ``train`` and held to ``held``; resumes like a profile."""
+    journal = Journal(panel.spark, results or fresh_path(panel.spark, "holdouts"), ["holdout_name", "experiment_id"], HOLDOUT_SCHEMA)
     fold = {"fold_id": 0, "train_start": train[0], "train_end": train[1], "val_start": held[0], "val_end": held[1],
             "n_train_days": None, "n_val_days": None}
-    for spec in specs:
-        r = run_fold(panel, name, fold, spec, **options)
-        rows.append((name, spec.experiment_id, r["val_corr"], r["val_mse"], r["val_r2"], r["status"], r["error_msg"]))
-    return panel.spark.createDataFrame(
-        rows,
-        "holdout_name string, experiment_id string, holdout_corr double, holdout_mse double, holdout_r2 double, "
-        "status string, error_msg string",
-    )
+
+    def work(job: dict) -> dict:
+        r = run_fold(panel, name, fold, job["spec"], **options)
+        return {f"holdout_{m}": r[f"val_{m}"] for m in ("corr", "mse", "r2")} | {"status": r["status"], "error_msg": r["error_msg"]}
+
+    jobs = [{"holdout_name": name, "experiment_id": s.experiment_id, "spec": s} for s in specs]
+    return journal.run(jobs, work, workers, most)
 
 
 # -- submission engine -----------------------------------------------------------------

@@ -101,13 +101,17 @@ def champion(trials: DataFrame) -> DataFrame:
     return _usable(trials).orderBy(F.desc("screen_corr_min"), F.desc("screen_corr_mean"), "trial_id").limit(1)
 
 
+def all_pairs(trials: DataFrame, slots: DataFrame) -> DataFrame:
+    """Every trial with every (fold_id, seed). Both lists are parameters of a run, not data."""
+    pairs = slots.agg(F.collect_list(F.struct("fold_id", "seed")).alias("p")).select("p").scalar()
+    return trials.withColumn("_p", pairs).select("trial_id", F.inline("_p"))
+
+
 def screening_jobs(trials: DataFrame, folds: DataFrame, seeds: list[int], n_folds: int = 2, n_seeds: int = 2) -> DataFrame:
     """Tier one: every trial on the latest folds and the first seeds."""
     last = folds.agg(F.max("fold_id").alias("m")).select("m").scalar()
     recent = folds.where(F.col("fold_id") > last - F.lit(n_folds)).select("fold_id")
-    slots = recent.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds[:n_seeds]])))
-    pairs = slots.agg(F.collect_list(F.struct("fold_id", "seed")).alias("p")).select("p").scalar()
-    return trials.withColumn("_p", pairs).select("trial_id", F.inline("_p"))
+    return all_pairs(trials, recent.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds[:n_seeds]]))))
 
 
 def certification_jobs(best: DataFrame, folds: DataFrame, seeds: list[int]) -> DataFrame:

@@ -40,6 +40,11 @@ def _bucket_columns(value: Column) -> dict[str, Column]:
     }
 
 
+def value_bucket(value: Column) -> Column:
+    """The leading bits of a number; ascending with it."""
+    return _bucket_columns(value)["_high"]
+
+
 def _earlier(partition: list[str], order: str):
     spec = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
     return spec.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL
-from barspan.operators import models, protocol, scans, search
-from barspan.operators.folds import date_range, fold_days
+from barspan.operators import gram, models, protocol, scans, search
+from barspan.operators.folds import date_range, delivery_fold, fold_days
 from barspan.operators.metrics import correlation, pooled
 from barspan.operators.sequences import gather_windows
 from barspan.operators.specs import MEMBERS, Spec
 from barspan.plans.catalogue import BASE, CATALOGUE, CROSS_Z, build_features
 from barspan.plans.tables import fresh_path, written
 from barspan.queries.common import (
+    BASELINE,
     SCALED_PROFILES,
     Query,
     both_members,
@@ -24,6 +25,7 @@ from barspan.queries.common import (
     tall_members,
 )
 from barspan.sources.bars import Panel
+from barspan.sources.journal import BrokenOff
 from barspan.sources.predictions import append_oof, dump_scored, load_member
 from barspan.sources.store import FeatureStore
 
@@ -229,20 +231,50 @@ def h13_seed_average(p: Panel) -> DataFrame:
     return present(models.seed_average(rows, KEYS), ["pred_dl"], [*KEYS, "n_seeds"])
 
 
+SCORES = [
+    "train_corr", "train_mse", "train_r2", "val_corr", "val_mse", "val_r2", "daily_corr_mean", "daily_corr_std",
+    "train_val_corr_gap",
+]
+R00, R02 = Spec("R00_ridge_legacy", ("legacy",)), Spec(BASELINE, ("legacy", "norm_core"))
+
+
+def _fold_scores(rows: DataFrame) -> DataFrame:
+    return present(rows, SCORES, ["profile", "fold_id", "experiment_id", "n_train_days", "n_val_days"])
+
+
 @over_panel
 def h14_protocol_run(p: Panel) -> DataFrame:
     """The ridge reference spec trained and scored on the folds of the short profile."""
-    out = protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], [Spec("R00_ridge_legacy", ("legacy",))])
-    return out.drop("runtime_sec")
+    return _fold_scores(protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], [R00]))
 
 
 @over_panel
 def h14_resumed_run(p: Panel) -> DataFrame:
-    """The same run, broken off after one fold and resumed from its results, two jobs in flight."""
-    specs, results = [Spec("R00_ridge_legacy", ("legacy",))], fresh_path(p.spark, "results")
-    protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], specs, max_folds=1, results=results)
-    out = protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], specs, results=results, workers=2)
-    return out.drop("runtime_sec")
+    """The same run, broken off after two jobs and resumed from its journal with four jobs in flight."""
+    results = fresh_path(p.spark, "results")
+    try:
+        protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], [R00], results=results, workers=2, most=2)
+    except BrokenOff:
+        pass
+    return _fold_scores(protocol.run_profile(p, calendar_of(p), SCALED_PROFILES[0], [R00], results=results, workers=4))
+
+
+def _gram_run(p: Panel) -> DataFrame:
+    features = protocol.shared_features(p, ["legacy", "norm_core"])
+    return gram.linear_protocol(features, calendar_of(p), SCALED_PROFILES[:2], [R00, R02])
+
+
+@over_panel
+def h14_gram_run(p: Panel) -> DataFrame:
+    """Two ridge specs on all folds of two profiles, from one pass over the features."""
+    return _fold_scores(_gram_run(p))
+
+
+@over_panel
+def h14_coefficients(p: Panel) -> DataFrame:
+    """Standardized coefficients (times 1e6) of both specs in every fold."""
+    rows = gram.weights(_gram_run(p)).withColumns({c: F.col(c) * 1e6 for c in ("coef", "abs_coef")})
+    return present(rows, ["coef", "abs_coef"], ["profile", "fold_id", "experiment_id", "feature"])
 
 
 @over_panel
@@ -307,7 +339,77 @@ def l07_ridge_scan(p: Panel) -> DataFrame:
 def l10_feature_probe(p: Panel) -> DataFrame:
     old, new = Spec("old", ("legacy",)), Spec("new", ("legacy", "rx_micro"))
     out = scans.feature_probe(p, calendar_of(p), SCALED_PROFILES[1], old, new)
-    return present(out, ["old_val_corr", "new_val_corr", "delta_val_corr"], ["fold_id"])
+    return present(out, ["old_val_corr", "new_val_corr", "delta_val_corr", "old_val_mse", "new_val_mse"], ["fold_id"])
+
+
+# Ridge strengths as a search space; a seed leaves out the training dates with date + seed divisible by 7.
+SPACE, SEEDS = {"alpha": {"type": "choice", "values": [0.5, 2.0, 200.0]}}, [42, 43, 44]
+DELIVERY_TRAIN_END = 20240124
+
+
+def _stages(p: Panel) -> tuple[scans.Stages, DataFrame, int]:
+    """Search stages over ridge fits on the short profile's folds, four jobs in flight; the folds; the delivery fold."""
+    columns = CATALOGUE.columns(["legacy"])
+    blocks = written(gram.date_blocks(protocol.shared_features(p, ["legacy"]), columns), "blocks")
+    calendar = calendar_of(p)
+    days: dict[int, dict[str, list[int]]] = {}
+    for r in fold_days(calendar, SCALED_PROFILES[:1]).collect():
+        days.setdefault(r["fold_id"], {"train": [], "val": []})[r["segment"]].append(r["date"])
+    last = max(days) + 1
+    names = {"train_core": "train", "earlystop": "train", "scoring": "val"}
+    for r in delivery_fold(calendar, DELIVERY_TRAIN_END, 20240130, 1, last).where("segment != 'embargo'").collect():
+        days.setdefault(last, {"train": [], "val": []})[names[r["segment"]]].append(r["day"])
+
+    def evaluate(point: dict, fold_id: int, seed: int) -> tuple[float, float]:
+        train = [d for d in days[fold_id]["train"] if (d + seed) % 7]
+        fit = gram.fit_dates(blocks, columns, R00, train, point["alpha"])
+        found = gram.score_dates(blocks, columns, fit, days[fold_id]["val"])
+        return found["corr"], found["r2"]
+
+    folds = p.spark.createDataFrame([(f,) for f in sorted(days) if f < last], "fold_id long")
+    return scans.Stages(p.spark, evaluate, fresh_path(p.spark, "stages"), workers=4), folds, last
+
+
+def _broken_sweep(p: Panel) -> dict[str, DataFrame]:
+    """A sweep broken off twice, in its first and in its second tier, and resumed."""
+    stages, folds, delivery = _stages(p)
+    for most in (5, 12, None):
+        stages.left = most
+        try:
+            return stages.sweep(SPACE, folds, SEEDS, delivery_fold=delivery)
+        except BrokenOff:
+            continue
+    raise AssertionError("the last run has no bound")
+
+
+@over_panel
+def l04_sweep_folds(p: Panel) -> DataFrame:
+    """The champion on all folds and seeds, and on the delivery fold."""
+    return present(_broken_sweep(p)["folds"], ["corr", "val_r2"], ["profile", "trial_id", "fold_id", "seed"])
+
+
+CERTIFICATE = ["mean", "std", "min", "max", "positive_rate", "val_r2_mean", "val_r2_min"]
+
+
+@over_panel
+def l04_sweep_certificate(p: Panel) -> DataFrame:
+    return present(_broken_sweep(p)["certificate"], CERTIFICATE, ["n_folds"])
+
+
+@over_panel
+def l05_search_trials(p: Panel) -> DataFrame:
+    """All trials of the search stage and its winner."""
+    stages, folds, _ = _stages(p)
+    out = stages.search(search.grid(p.spark, SPACE), folds, SEEDS[:2])
+    picked = out["best"].drop("alpha").withColumn("pick", F.lit("best"))
+    return present(out["trials"].withColumn("pick", F.lit("all")).unionByName(picked), TRIAL, ["pick", "trial_id", "n_evals"])
+
+
+@over_panel
+def l05_validation(p: Panel) -> DataFrame:
+    """The summary of one frozen configuration on all folds and seeds."""
+    stages, folds, _ = _stages(p)
+    return present(stages.validate({"alpha": 2.0}, folds, SEEDS)["certificate"], CERTIFICATE, ["n_folds"])
 
 
 @over_panel

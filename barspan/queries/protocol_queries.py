@@ -294,7 +294,8 @@ def g02_interval_baseline(p: Panel) -> DataFrame:
 def g03_winsorized_labels(p: Panel) -> DataFrame:
     days = folds.fold_days(calendar_of(p), SCALED_PROFILES[:1]).where(F.col("segment") == "train")
     train = folds.attach_folds(bars.keys_and_label(p), days).withColumn("target", F.col(LABEL))
-    bounds = labels.winsor_bounds(train, "target", ["fold_id"], fits_task=p.total_fits)
+    limits = {"low_bound": labels.WINSORIZE[0], "high_bound": labels.WINSORIZE[1]}
+    bounds = labels.fold_bounds(bars.keys_and_label(p), days, ["fold_id"], limits)
     clipped = train.join(bounds, "fold_id").withColumn("target", labels.winsorized("target"))
     return present(clipped, ["target"], ["fold_id", *KEYS])
 

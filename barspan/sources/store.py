@@ -245,16 +245,3 @@ def save_run(root: str, run_id: str, tables: dict[str, DataFrame], config: dict
         spark = next(iter(tables.values())).sparkSession
         frame = spark.createDataFrame([(run_id, json.dumps(config, sort_keys=True))], "run_id string, config string")
         frame.coalesce(1).write.mode("append").json(f"{root}/config")
-
-
-def append_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
-def finished_jobs(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """Keys with an ``ok`` result, or None before the first result."""
-    try:
-        results = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return results.where(F.col("status") == "ok").select(*keys).distinct()

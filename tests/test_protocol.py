@@ -13,7 +13,8 @@ from barspan.plans.layout import Layout, Limits
 from barspan.sources.bars import Panel, panel_from_events
 from barspan.sources.calendar import calendar_table
 from barspan.sources.predictions import append_oof, load_member
-from barspan.sources.store import FeatureStore, Staleness, append_results, finished_jobs, save_run
+from barspan.sources.journal import BrokenOff, Journal
+from barspan.sources.store import FeatureStore, Staleness, save_run
 
 KEYS = ["date", "symbol", "bar"]
 
@@ -273,10 +274,11 @@ def test_oof_round_trip(spark, panel, tmp_path):
 
 
 def test_resume_and_artefacts(spark, tmp_path):
-    path = str(tmp_path / "results")
-    assert finished_jobs(spark, path, ["fold_id"]) is None
-    append_results(frame(spark, [(0, "ok"), (1, "error")], "fold_id int, status string"), path)
-    assert [r["fold_id"] for r in finished_jobs(spark, path, ["fold_id"]).collect()] == [0]
+    journal = Journal(spark, str(tmp_path / "results"), ["fold_id"], "fold_id int, status string")
+    assert journal.finished() == set()
+    journal.record({"fold_id": 0, "status": "ok"})
+    journal.record({"fold_id": 1, "status": "error"})
+    assert journal.finished() == {(0,)}
     save_run(str(tmp_path / "run"), "r1", {"folds": spark.range(3).toDF("fold_id")}, {"a": 1})
     assert spark.read.parquet(str(tmp_path / "run" / "folds")).where("run_id = 'r1'").count() == 3
 
@@ -330,6 +332,31 @@ def test_sweep_picks_the_best_worst_fold(spark):
     assert row["n_folds"] == 12 and row["min"] == pytest.approx(0.1)
 
 
+def test_sweep_resumes_and_reports_delivery(spark, tmp_path):
+    calls = []
+
+    def evaluate(point, fold_id, seed):
+        calls.append((point["a"], fold_id, seed))
+        return (9.0 if fold_id == 4 else point["a"] / 10 - fold_id / 100, 0.0)
+
+    fold_list = spark.range(4).select(F.col("id").alias("fold_id"))
+    stages = scans.Stages(spark, evaluate, str(tmp_path / "j"), workers=4)
+    for most in (5, 9, None):
+        stages.left = most
+        try:
+            out = stages.sweep({"a": SPACE["a"]}, fold_list, [42, 43, 44], delivery_fold=4)
+            break
+        except BrokenOff:
+            assert most is not None
+    assert len(calls) == len(set(calls)) + 4  # the champion's screening jobs come again as certification jobs
+    assert out["champion"].first()["trial_id"] == 2 and out["certificate"].first()["n_folds"] == 12
+    assert out["folds"].count() == 13 and out["delivery"].first()["corr"] == 9.0 and out["certificate"].first()["max"] < 1
+    found = stages.search(search.grid(spark, {"a": SPACE["a"]}), fold_list, [1])
+    assert found["best"].first()["a"] == 3 and found["trials"].count() == 3
+    checked = stages.validate({"a": 2}, fold_list, [1, 2])
+    assert checked["certificate"].first()["n_folds"] == 8 and checked["folds"].count() == 8
+
+
 def test_early_stop(spark):
     rows = [([1.0, 0.9, 0.8, 0.7], 0.5, False), ([1.0, 0.9, 0.8, 0.9], 0.5, True), ([1.0, 0.9], 0.1, False), ([1.0, 1.0, 1.0], None, False)]
     df = frame(spark, rows, "curve array<double>, best double, want boolean")
@@ -470,4 +497,15 @@ def test_protocol_run_and_engine(spark, sf_dir, tmp_path):
     again = protocol.run_profile(p, cal, profile, both, 1, results=results, store=store, workers=2)
     assert {r["status"] for r in first.collect()} == {r["status"] for r in again.collect()} == {"ok", "error"}
     # The finished job wasn't run again, the failed one was.
-    assert spark.read.parquet(results).groupBy("status").count().orderBy("status").collect() == [("error", 2), ("ok", 1)]
+    held = {"review": ((20240101, 20240115), (20240116, 20240120)), "final": ((20240101, 20240120), (20240121, 20240130))}
+    saved = protocol.run_protocol(
+        p, cal, [profile], both, folds.PROFILE_WEIGHTS, max_folds=1, holdouts=held, results=results, save=(str(tmp_path / "runs"), "r1")
+    )
+    board = {r["experiment_id"]: r for r in saved["leaderboard"].collect()}
+    assert board[specs.BASELINE_ID]["review_holdout_corr"] is not None and board[specs.BASELINE_ID]["final_holdout_mse"] > 0
+    for name, n in (("folds", 1), ("fold_metrics", 2), ("profile_summary", 1), ("leaderboard", 1), ("holdouts", 4), ("resolved_columns", 2)):
+        assert spark.read.parquet(str(tmp_path / "runs" / name)).where("run_id = 'r1'").count() == n
+    journal = Journal(spark, results, protocol.JOB, protocol.RESULT_SCHEMA)
+    assert journal.all_rows().groupBy("status").count().orderBy("status").collect() == [("error", 1), ("ok", 1)]
+    before, after = ({r["status"]: r["runtime_sec"] for r in rows.collect()} for rows in (first, again))
+    assert before["ok"] == after["ok"]
