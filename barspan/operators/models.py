@@ -2,7 +2,7 @@
 
 Linear models need the data only through one matrix of second moments, which
 tasks build with numpy on Arrow batches and Spark adds up; a small solve on the
-driver follows. Trees come from Spark ML. Predictions are column expressions or
+driver follows. Forests and depth-wise boosting come from Spark ML, leaf-wise boosting from ``boosting``. Predictions are column expressions or
 ML transforms, so scoring is one narrow pass.
 """
 
@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, total, zero
-from barspan.operators import labels
+from barspan.operators import boosting, labels
 from barspan.sources.bars import Panel
 
 RIDGE_ALPHA = 2.0
@@ -48,8 +48,7 @@ def moments(df: DataFrame, columns: list[str], targets: list[str]) -> Moments:
     """Two passes: means and scales first, then products of centred values.
 
     Features may differ by 15 orders of magnitude, so nothing is summed raw. Each
-    task sends one matrix whatever its row count; tasks are merged to a small
-    multiple of the cluster's cores so that the matrices stay few.
+    task sends one matrix, whatever its row count.
     """
     names = [*columns, *targets]
     x = {c: zero(F.col(c)).cast("double") for c in names}
@@ -183,8 +182,8 @@ BOOSTED = {
     "gbdt": dict(maxIter=30, stepSize=0.05, maxDepth=2, minInstancesPerNode=200, subsamplingRate=0.8),
     "histgb": dict(maxIter=200, stepSize=0.05, maxDepth=8, minInstancesPerNode=50),
     "histgb_shallow": dict(maxIter=300, stepSize=0.05, maxDepth=4, minInstancesPerNode=200),
-    "lgbm": dict(maxIter=300, stepSize=0.05, maxDepth=6, minInstancesPerNode=200, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
 }
+LEAF_WISE = {"lgbm"}
 EARLY_STOPPED = {"histgb", "histgb_shallow"}
 VALIDATION_SHARE = 0.1
 TREE_SEED = 42
@@ -254,6 +253,8 @@ def fit_columns(df: DataFrame, columns: list[str], target: str, name: str, param
         return elastic_net(moments(df, columns, [target]), **params)
     if name == "huber":
         return huber(df, columns, target, **params)
+    if name in LEAF_WISE:
+        return boosting.boost(df, columns, target, boosting.settings(params))
     if name in FORESTS or name in BOOSTED:
         return fit_trees(df, columns, target, name, params)
     raise ValueError(f"unknown model {name!r}")

@@ -112,3 +112,32 @@ SQL["l05_search_trials"] = query(f"""SELECT pick, trial_id, n_evals, {qs('screen
   WITH t AS (SELECT trial_id, {TRIAL} FROM st_rows WHERE fold_id <= last AND seed IN (42, 43) GROUP BY trial_id)
   SELECT 'all' AS pick, t.* FROM t UNION ALL (SELECT 'best', t.* FROM t ORDER BY screen_corr_mean DESC, trial_id LIMIT 1))""", "st_rows")
 SQL["l05_validation"] = query(certificate("(SELECT * FROM st_rows WHERE trial_id = 1 AND fold_id <= last)"), "st_rows")
+
+# the first leaf-wise tree: the best of all cuts, then the better of the best cuts of its two sides
+COUNTS = ["nTradeBuy", "nTradeSell", "nAddBuy", "nAddSell", "nCxlBuy", "nCxlSell"]
+PENALTY, RIDGE, LEAST = "1e-4", "0.1", 50
+shrunk = lambda g: f"(sign({g}) * greatest(abs({g}) - {PENALTY}, 0.0))"
+gain = lambda g, n: f"({shrunk(g)} * {shrunk(g)} / ({n} + {RIDGE}))"
+cte("tree_rows", "bars", f"""SELECT date, symbol, bar, {', '.join(COUNTS)}, (SELECT avg(fret12) FROM bars WHERE date BETWEEN 20240101 AND 20240120) - fret12 AS g,
+  date BETWEEN 20240101 AND 20240120 AS used FROM bars""")
+
+
+def cuts(source: str, by: str) -> str:
+    """All cuts of the rows of each group, best first, with the sums of both sides."""
+    tall = " UNION ALL ".join(f"SELECT {by}, {k} AS k, {c} AS v, g FROM {source} WHERE used" for k, c in enumerate(COUNTS))
+    return f"""SELECT *, {gain('gl', 'nl')} + {gain('(gp - gl)', '(np - nl)')} - {gain('gp', 'np')} AS gain FROM (
+  SELECT {by}, k, v, sum(sg) OVER (PARTITION BY {by}, k ORDER BY v) AS gl, sum(n) OVER (PARTITION BY {by}, k ORDER BY v) AS nl,
+    sum(sg) OVER (PARTITION BY {by}, k) AS gp, sum(n) OVER (PARTITION BY {by}, k) AS np
+  FROM (SELECT {by}, k, v, sum(g) AS sg, CAST(count(*) AS DOUBLE) AS n FROM ({tall}) GROUP BY {by}, k, v)) WHERE nl >= {LEAST} AND np - nl >= {LEAST}"""
+
+
+value = f"-{shrunk('gp')} / (np + {RIDGE})"
+chosen = lambda cut: "CASE " + " ".join(f"WHEN {cut}.k = {k} THEN {c}" for k, c in enumerate(COUNTS)) + f" END <= {cut}.v"
+cte("tree_root", "tree_rows", f"SELECT * FROM ({cuts('(SELECT *, 0 AS side FROM tree_rows)', 'side')}) ORDER BY gain DESC, k, v LIMIT 1")
+cte("tree_sides", ("tree_rows", "tree_root"), f"SELECT r.*, CASE WHEN {chosen('t')} THEN 0 ELSE 1 END AS side FROM tree_rows r, tree_root t")
+cte("tree_next", "tree_sides", f"SELECT * FROM ({cuts('tree_sides', 'side')}) WHERE gain > 0 ORDER BY gain DESC, side, k, v LIMIT 1")
+cte("tree_leaves", ("tree_sides", "tree_next"), f"""SELECT r.*, CASE WHEN r.side <> t.side THEN 0 WHEN {chosen('t')} THEN 1 ELSE 2 END AS leaf
+  FROM tree_sides r, tree_next t""")
+SQL["h05_first_tree"] = query(f"""SELECT date, symbol, bar, {q('pred')} FROM (SELECT date, symbol, bar, base + {value} AS pred FROM tree_leaves
+  JOIN (SELECT leaf, sum(g) AS gp, count(*) AS np FROM tree_leaves WHERE used GROUP BY leaf) USING (leaf),
+  (SELECT avg(fret12) AS base FROM bars WHERE date BETWEEN 20240101 AND 20240120))""", "bars", "tree_leaves")
