@@ -244,7 +244,7 @@ def encoded(batches: Iterable[pa.RecordBatch], content: bytes, pattern: str) ->
             yield batch, *store.tokens(slots, first)
         held.clear()
         if store.full():
-            store.clear()
+            store.shrink()
 
     for batch, texts in slices(batches):
         data, offsets = raw(texts)

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barspan.llm import wordbpe
+from barspan.llm.text import counts_to_offsets
 from barspan.plans.tables import written
 
 WINDOW = 2048
@@ -111,19 +112,27 @@ def cut(docs: DataFrame, content: str, end_id: int, window: int, id_col: str, te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seen = [0] * (window + 1)
+        seen = np.zeros(window + 1, np.int64)
         for batch, ids, offsets in wordbpe.encoded(batches, shared.value):
-            rows: list[tuple] = []
-            whole = ids.astype("<u4").tobytes()
-            end = int(end_id).to_bytes(4, "little")
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                own, total = whole[4 * a : 4 * b] + end, b - a + 1
-                for start in range(0, total, window):
-                    piece = own[4 * start : 4 * (start + window)]
-                    length = len(piece) // 4
-                    rows.append((part, doc_id, start, length, total, seen[length], piece))
-                    seen[length] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+            total = np.diff(offsets) + 1
+            whole = np.insert(ids, offsets[1:], end_id).astype("<u4")
+            pieces = -(-total // window)
+            doc = np.repeat(np.arange(len(total)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(counts_to_offsets(pieces)[:-1], pieces)) * window
+            length = np.minimum(total[doc] - start, window)
+            order = np.argsort(length, kind="stable")
+            each = np.bincount(length, minlength=window + 1)
+            place = np.empty(len(doc), np.int64)
+            place[order] = seen[length[order]] + np.arange(len(doc)) - counts_to_offsets(each)[length[order]]
+            seen += each
+            cuts = pa.array(4 * counts_to_offsets(length), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(doc), part)), batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)),
+                    pa.array(total[doc]), pa.array(place), pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, cuts.buffers()[1], pa.py_buffer(whole)]),
+                ],
+                schema=_PIECES,
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "part long, doc_id long, start long, length int, doc_tokens long, place long, ids binary"

@@ -17,16 +17,33 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 _powers: dict[int, np.ndarray] = {}
 
-#: Places whose numbers are kept between slices (8 bytes each).
-MOST_PLACES = 1 << 17
-_places = np.zeros(0, np.uint64)
+#: Words of up to so many bytes are hashed and compared eight bytes at a time.
+LONG = 128
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit (the splitmix64 finaliser)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each in ``x``, and each element's number among them.
+
+    As np.unique, without its stable sort.
+    """
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
 
 
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
@@ -102,49 +119,68 @@ def flat_places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _factors(n: int) -> np.ndarray:
     """An odd number for every place in a word."""
-    global _places
-    if n > len(_places):
-        made = mix(np.arange(max(n, 1 << 12), dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(1)) | U(1)
-        if len(made) > MOST_PLACES:
-            return made
-        _places = made
-    return _places
+    return mix(np.arange(n, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(1)) | U(1)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number (zeros behind the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every word's bytes (no word is empty).
 
-    Each byte stands for a random number, multiplied by another one for its place in the word; no pattern of
-    letters cancels, as it does in a polynomial of one base. Words that must be told apart for certain are
-    compared by their bytes as well (``word_codes``, ``SegmentStore``).
+    Words of up to LONG bytes are taken eight bytes at a time, each step mixing all bits, so no pattern of letters
+    cancels, as it does in a polynomial of one base. In longer ones each byte stands for a random number,
+    multiplied by another one for its place. Words that must be told apart for certain are compared by their
+    bytes as well (``word_codes``, ``SegmentStore``).
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = (ends - starts).astype(np.int32)
-    offsets = counts_to_offsets(sizes)
-    place = np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), sizes)
-    terms = _LETTERS[data[place + np.repeat(starts.astype(np.int32), sizes)]]
-    terms *= _factors(int(sizes.max()))[place]
-    return mix(np.add.reduceat(terms, offsets[:-1]) + sizes.astype(np.uint64))
+    sizes = ends - starts
+    at_8 = eights(data)
+    out = at_8[starts]
+    out &= _MASKS[np.minimum(sizes, 8)]
+    out += sizes.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    out = mix(out)
+    rest = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    at, left = starts[rest], sizes[rest]
+    while len(rest):
+        at, left = at + 8, left - 8
+        out[rest] = mix(out[rest] ^ (at_8[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        rest, at, left = rest[more], at[more], left[more]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        word = _LETTERS[data[starts[k] : ends[k]]]
+        out[k] = mix(out[k : k + 1] ^ (word * _factors(len(word))).sum(dtype=np.uint64))[0]
+    return out
 
 
-def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+def differing(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
     """Numbers of the words whose bytes differ from those of their counterpart in ``other``."""
-    sizes = ends - starts
-    unlike = sizes != other_ends - other_starts
-    same = np.flatnonzero(~unlike)
-    a, b = flat_places(starts[same], ends[same]), flat_places(other_starts[same], other_ends[same])
-    wrong = np.flatnonzero(data[a] != other[b])
-    if len(wrong):
-        unlike[same[np.searchsorted(np.cumsum(sizes[same]), wrong, side="right")]] = True
+    unlike = sizes != other_sizes
+    a, b = eights(data), eights(other)
+    # Places behind the end of a shorter counterpart are not looked at: its size differs already.
+    unlike |= ((a[starts] ^ b[other_starts]) & _MASKS[np.minimum(sizes, 8)]) != 0
+    rest = np.flatnonzero(~unlike & (sizes > 8) & (sizes <= LONG))
+    at, to, left = starts[rest], other_starts[rest], sizes[rest]
+    while len(rest):
+        at, to, left = at + 8, to + 8, left - 8
+        wrong = ((a[at] ^ b[to]) & _MASKS[np.minimum(left, 8)]) != 0
+        unlike[rest[wrong]] = True
+        more = (left > 8) & ~wrong
+        rest, at, to, left = rest[more], at[more], to[more], left[more]
+    for k in np.flatnonzero(~unlike & (sizes > LONG)).tolist():
+        n = sizes[k]
+        unlike[k] = not np.array_equal(data[starts[k] : starts[k] + n], other[other_starts[k] : other_starts[k] + n])
     return np.flatnonzero(unlike)
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for every word of a slice; equal numbers mean equal bytes."""
-    _, first, codes = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    _, first, codes = distinct(word_hashes(data, starts, ends))
     like = first[codes]
-    unlike = differing(data, starts, ends, data, starts[like], ends[like])
+    unlike = differing(data, starts, ends - starts, data, starts[like], (ends - starts)[like])
     if len(unlike):
         known: dict[bytes, int] = {}
         for k in unlike.tolist():

@@ -104,6 +104,6 @@ def token_counts(docs: DataFrame, content: bytes, id_col: str = "doc_id", text_c
             upto = counts_to_offsets(counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(np.diff(upto[first]))], schema=schema)
             if store.full():
-                store.clear()
+                store.shrink()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
