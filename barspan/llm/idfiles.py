@@ -28,11 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barspan.llm import wordbpe
+from barspan.llm.text import eights
 from barspan.plans.tables import fresh_path, written
 
 END_ID = 2
 MAGIC = b"EFIDS001"
 SAMPLE = 64
+#: Number of 1s of a byte, and the place of its k-th one.
+_ONES = np.array([b.bit_count() for b in range(256)], np.int64)
+_PLACE = np.array([[*(k for k in range(8) if b >> k & 1), *[0] * (8 - b.bit_count())] for b in range(256)], np.int64)
 _HEAD = struct.Struct("<8sIQQqQQ")
 _SECTION = struct.Struct("<IQQQQ")
 
@@ -68,25 +72,35 @@ class EliasFano:
             at += size
         return cls(low_bits, n, *parts)
 
-    def _low(self, i: int) -> int:
-        first, last = i * self.low_bits, (i + 1) * self.low_bits
-        chunk = int.from_bytes(self.low[first // 8 : (last + 7) // 8].tobytes(), "little")
-        return chunk >> (first % 8) & ((1 << self.low_bits) - 1)
-
-    def select(self, i: int) -> int:
-        """Place of the i-th 1 of the high bits, from the nearest sample on."""
-        place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, rest = place // 8, int(self.high[place // 8]) >> (place % 8) << (place % 8)
-        while left >= rest.bit_count():
-            left -= rest.bit_count()
-            byte += 1
-            rest = int(self.high[byte])
-        for _ in range(left):
-            rest &= rest - 1
-        return byte * 8 + (rest & -rest).bit_length() - 1
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        bit = i * self.low_bits
+        at_8 = eights(np.concatenate([self.low, np.zeros(16, np.uint8)]))
+        shift = (bit % 8).astype(np.uint64)
+        behind = np.where(shift > 0, at_8[bit // 8 + 8] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return (at_8[bit // 8] >> shift | behind) & np.uint64((1 << self.low_bits) - 1)
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Places of the i-th 1s of the high bits, each from the nearest sample on, all together."""
+        place, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        byte = place // 8
+        rest = self.high[byte] >> (place % 8).astype(np.uint8) << (place % 8).astype(np.uint8)
+        going = np.flatnonzero(left >= _ONES[rest])
+        while len(going):
+            left[going] -= _ONES[rest[going]]
+            byte[going] += 1
+            rest[going] = self.high[byte[going]]
+            going = going[left[going] >= _ONES[rest[going]]]
+        return byte * 8 + _PLACE[rest, left]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The i-th numbers of the sequence."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        return (self.select(i) - i).astype(np.uint64) << np.uint64(self.low_bits) | self._lows(i)
 
     def __getitem__(self, i: int) -> int:
-        return (self.select(i) - i) << self.low_bits | self._low(i)
+        return int(self.at(np.array([i]))[0])
 
     def all(self) -> np.ndarray:
         """The whole sequence at once."""
@@ -120,7 +134,11 @@ class Shard:
         self.ids = np.frombuffer(content, f"<u{self.width}", offset=at + names + bounds)
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + (self.names.all().astype(np.int64) + self.least).tolist()
+        return [None] * self.unnamed + (self.names.at(np.arange(self.names.n)).astype(np.int64) + self.least).tolist()
+
+    def offsets(self) -> np.ndarray:
+        """Where each document starts, and the end of the last one."""
+        return self.bounds.at(np.arange(self.n + 1)).astype(np.int64)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, by two selects."""
@@ -183,7 +201,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 number = int(re.search(r"shard-(\d+)\.ids$", path)[1])
                 shard = Shard(content.as_buffer().to_pybytes())
-                bounds = shard.bounds.all().astype(np.int64)
+                bounds = shard.offsets()
                 ids = shard.ids.astype("<u4").tobytes()
                 cuts = (4 * bounds).tolist()
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
