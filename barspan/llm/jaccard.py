@@ -22,7 +22,7 @@ Shingles are SHINGLE words (lower case A-Z; a text with fewer words has one shin
 hashes: two different ones coincide with probability 2^-64.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; a row without doc_id links with
-nothing; rows that repeat a doc_id are one document that links if any of them does; extra columns of the input
+nothing; rows that repeat a doc_id are one document that links if any of its texts does; extra columns of the input
 are ignored.
 """
 
@@ -245,7 +245,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = texts.where("doc_id is not null and n > 0")
     heads = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("head"))
     classed = written(named.join(heads, ["n", "h1", "h2"]).select("doc_id", "head"), "classes")
-    copies = classed.where("doc_id != head").select("doc_id")
+    # An id whose texts are all copies is left out; one that is the head of any class stays.
+    copies = classed.where("doc_id != head").select("doc_id").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_anti")
 
     classes, mean_list = token_classes(signed)
     firsts = rows.where("doc_id is not null").join(_sent(copies), "doc_id", "left_anti")
