@@ -379,7 +379,8 @@ def test_every_repeated_word_is_clustered(spark, monkeypatch):
     monkeypatch.setattr(classlm, "HEAVY", 50)
     rng = random.Random(8)
     words = [f"{'n' if k % 2 else 'v'}{k}" for k in range(20_000)]
-    texts = [" ".join(f"{rng.choice(['the', 'a']) if w[0] == 'n' else 'to'} {w}" for w in rng.sample(words, len(words))[j::40]) for _ in range(3) for j in range(40)] + ["rare words"]
+    passes = [rng.sample(words, len(words)) for _ in range(3)]  # each has every word once
+    texts = [" ".join(f"{rng.choice(['the', 'a']) if w[0] == 'n' else 'to'} {w}" for w in one[j::40]) for one in passes for j in range(40)] + ["rare words"]
     model, _ = classlm.train_model(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     assert len(model.vocabulary.hashes) == 20_003 and model.end == classlm.classes_for(20_003 + classlm.GROUPS) > classlm.CLASSES
     units = lambda ws: model.vocabulary.units_of(classlm.word_hashes(*hashable(ws)), np.full(len(ws), -1))
@@ -480,7 +481,9 @@ def test_elias_fano():
         values = np.cumsum(rng.integers(0, step, n)) if n else np.zeros(0, np.int64)
         packed = idfiles.EliasFano.of(values).to_bytes()
         read = idfiles.EliasFano.from_bytes(packed)
-        assert read.all().tolist() == values.tolist() == [read[i] for i in range(n)]
+        assert read.all().tolist() == values.tolist() == [read[i] for i in range(n)] == read.at(np.arange(n)).tolist()
+        some = rng.integers(0, max(n, 1), min(n, 50))
+        assert read.at(some).tolist() == values[some].tolist() if n else True
     assert len(idfiles.EliasFano.of(np.cumsum(rng.integers(0, 5000, 10_000))).to_bytes()) < 10_000 * 16 / 8
 
 
@@ -506,3 +509,101 @@ def test_ranks_are_read_as_given():
     ranks = bytebpe.read_ranks(vocabulary(MERGE_RANKS))
     first = vocabulary(MERGE_RANKS).split(b"\n", 1)[0].split()
     assert ranks[base64.b64decode(first[0])] == int(first[1])
+
+
+# identity of words, caches
+
+
+def thue_morse(n):
+    """Two words of 2^n letters whose hashes are equal in every polynomial with an odd base."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Texts that differ in one long word each, in both directions and with the words alone."""
+    texts = [f"x {w} y" for n in (3, 6, 7, 8, 10, 12) for w in thue_morse(n)] + [w for n in (7, 10) for w in thue_morse(n)]
+    return texts, spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+
+
+def test_words_of_equal_patterns_stay_apart(spark, alike):
+    import sentencepiece
+    import tiktoken
+
+    texts, docs = alike
+    ranks = bytebpe.read_ranks(vocabulary(MERGE_RANKS))
+    merges = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bytebpe.encode(docs, vocabulary(MERGE_RANKS), public_tokenizers.PATTERN).collect():
+        assert r["ids"] == merges.encode_ordinary(texts[r["doc_id"]])
+    model = sentencepiece.SentencePieceProcessor(model_proto=vocabulary(PIECE_MODEL))
+    for r in tokencounts.token_counts(docs, vocabulary(PIECE_MODEL)).collect():
+        assert r["n_tokens"] == len(model.encode(texts[r["doc_id"]]))
+    ids = word_ids(dict(enumerate(texts)))
+    for r in idfiles.through_files(docs, vocabulary(WORD_MODEL).decode()).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array([*ids[r["doc_id"]], idfiles.END_ID], "<u4").tobytes())
+    for r in packing.pack(docs, vocabulary(WORD_MODEL).decode()).collect():
+        own = [*ids[r["doc_id"]], packing.END_ID]
+        assert bytes(r["ids"]) == np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+    assert all(r["component_id"] == r["doc_id"] for r in jaccard.linked_components(docs).collect())
+
+
+@pytest.mark.parametrize("most", [100, 3000, 20_000])
+def test_tokens_do_not_depend_on_the_cache(monkeypatch, most):
+    """A store that is full after every slice, and one whose segments all have one hash."""
+    import pyarrow as pa
+
+    from barspan.llm import segments, text, wordbpe
+
+    rng = random.Random(9)
+    texts = [sentence(rng, rng.randint(0, 60)) for _ in range(150)] + ["It's, THE. the, The... É é,", "1,234.5 a.b,c", ",,,", "." * 300, "ÀÉ÷×ß.,"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    want = word_ids(dict(enumerate(texts)))
+
+    def found():
+        out = []
+        for _, ids, offsets in wordbpe.encoded([batch], vocabulary(WORD_MODEL).decode()):
+            out += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        return out
+
+    monkeypatch.setattr(segments, "MOST_BYTES", most)
+    monkeypatch.setattr(text, "SLICE_BYTES", 500)
+    monkeypatch.setattr(wordbpe, "slices", lambda batches: text.slices(batches, 500))
+    wordbpe._stores.clear()
+    assert found() == [want[k] for k in range(len(texts))]
+    monkeypatch.setattr(segments, "word_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    wordbpe._stores.clear()
+    assert found() == [want[k] for k in range(len(texts))]
+    wordbpe._stores.clear()
+
+
+def test_repeated_ids_keep_their_links(spark):
+    """An id whose one text is a copy and whose other text has a near copy links to both."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    near = b.replace("b59", "other")
+    rows = [(1, a), (5, a), (5, b), (9, near), (20, "nothing like the others at all here"), (None, a), (None, None), (30, None), (30, "")]
+    found = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str)
+    want = [(1, 56, 1), (5, 56, 1), (5, 56, 1), (9, 56, 1), (20, 3, 20), (None, 56, None), (None, 0, None), (30, 0, 30), (30, 0, 30)]
+    assert got == sorted(want, key=str)
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 20, 30, 30]
+
+
+def test_repeated_and_missing_ids_have_their_own_results(spark, awkward):
+    """Values, not numbers of rows, of rows without id and of rows that repeat one."""
+    rows = [(r["doc_id"], r["text"] or "") for r in awkward.collect()]
+    ids = word_ids({k: t for k, (_, t) in enumerate(rows)})
+    by_text = {t: ids[k] for k, (_, t) in enumerate(rows)}
+    crc = lambda t, end: zlib.crc32(np.array([*by_text[t], end], "<u4").tobytes())
+    key = lambda r: str(r)
+    files = [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in idfiles.through_files(awkward, vocabulary(WORD_MODEL).decode()).collect()]
+    assert sorted(files, key=key) == sorted(((d, len(by_text[t]) + 1, crc(t, idfiles.END_ID)) for d, t in rows), key=key)
+    packed = [(r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack(awkward, vocabulary(WORD_MODEL).decode()).collect()]
+    assert sorted(packed, key=key) == sorted(((d, len(by_text[t]) + 1, crc(t, packing.END_ID)) for d, t in rows), key=key)
+    report = [(r["doc_id"], r["n_words"]) for r in rules.quality_report(awkward).collect()]
+    assert sorted(report, key=key) == sorted(((d, len(WORDS.findall(t))) for d, t in rows), key=key)
+    counted = [(r["doc_id"], r["n_bytes"]) for r in tokencounts.token_counts(awkward, vocabulary(PIECE_MODEL)).collect()]
+    assert sorted(counted, key=key) == sorted(((d, len(t.encode())) for d, t in rows), key=key)
