@@ -51,7 +51,7 @@ BETA = 10.0
 #: Entries of a vector of counts that travel together.
 CHUNK = 1 << 16
 #: Tokens whose pairs a task counts before it sends them, pairs a task merges, pairs in a row of their table.
-TOKENS, MERGED, ROW = 1 << 22, 1 << 22, 1 << 16
+TOKENS, MERGED, ROW = 1 << 19, 1 << 22, 1 << 16
 #: Entries of a dense matrix of units and classes.
 DENSE = 1 << 21
 
