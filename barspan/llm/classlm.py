@@ -5,8 +5,8 @@ texts have at least LEAST times, or all rarer words (and unknown ones) whose las
 every word has a class, and both the units and the classes (half the root of the units) grow with the input.
 
 Exchange clustering gives units their classes. One pass over the training texts counts the pairs of neighbouring
-units into a table in which all pairs of a unit lie together, dealt over tasks; only the HEAVY most frequent units
-are spread over all of them. A round counts the class bigrams, moves the heavy units one after the other on the
+units into a table in which all pairs of a unit lie together, dealt over tasks. The HEAVY most frequent units have
+no rows of their own there: their pairs with others lie with these, those among themselves once. A round counts the class bigrams, moves the heavy units one after the other on the
 driver, then all others in their tasks, each to the class that raises the likelihood of the class bigrams most.
 Rounds run until one adds less than LEAST_GAIN of all that was gained.
 
@@ -43,7 +43,7 @@ GROUPS = 1 << 10
 #: The fewest classes; see ``classes_for``.
 CLASSES = 64
 LEAST_GAIN = 1e-3
-#: Units whose pairs are spread over all tasks.
+#: Units whose pairs lie with their neighbours.
 HEAVY = 1 << 10
 KNOWN = 1 << 19
 ALPHA = 0.5
@@ -51,7 +51,7 @@ BETA = 10.0
 #: Entries of a vector of counts that travel together.
 CHUNK = 1 << 16
 #: Tokens whose pairs a task counts before it sends them, pairs a task merges, pairs in a row of their table.
-TOKENS, MERGED, ROW = 1 << 19, 1 << 22, 1 << 16
+TOKENS, MERGED, ROW = 1 << 19, 1 << 20, 1 << 16
 #: Entries of a dense matrix of units and classes.
 DENSE = 1 << 21
 
@@ -126,10 +126,17 @@ def _summed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return key[new] >> 32, key[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new) if len(key) else n
 
 
+def _places(heavy: np.ndarray) -> np.ndarray:
+    """For every unit (the last of ``heavy`` is the last of all), its place among the heavy ones or -1."""
+    out = np.full(heavy[-1] + 1, -1)
+    out[heavy] = np.arange(len(heavy))
+    return out
+
+
 def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, tokens: int) -> DataFrame:
     """Both sides of all pairs of neighbouring units (the end is the last unit) as packed rows.
 
-    All pairs of a unit are in one row, those of a heavy one in rows of many tasks.
+    All pairs of a unit that is not heavy are in one row; pairs of two heavy units are there once, spread over tasks.
     """
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, heavy))
@@ -137,13 +144,15 @@ def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, toke
     parts = 8 * tasks  # several for a task, so that tasks get about equally many
 
     def send(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        heavy = shared.value[1]
-        first, second = np.concatenate([r[:-1] for r in rows]), np.concatenate([r[1:] for r in rows])
-        a, b, n = _summed(first, second, np.ones(len(first), np.int64))
-        unit, other, n = np.concatenate((a, b)), np.concatenate((2 * b, 2 * a + 1)), np.concatenate((n, n))
-        spread = np.where(np.isin(unit, heavy), other + 1, 0)
-        part = (mix((unit << 32 | spread).astype(np.uint64)) % U(parts)).astype(np.int64)
-        order = np.lexsort((other, unit, part))
+        heavy = _places(shared.value[1]) >= 0
+        key = np.sort(np.concatenate([r[:-1] << 32 | r[1:] for r in rows]))
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        a, b, n = key[new] >> 32, key[new] & 0xFFFFFFFF, np.diff(np.append(new, len(key)))
+        first, second = ~heavy[a] | heavy[b], ~heavy[b]
+        unit, other, n = np.concatenate((a[first], b[second])), np.concatenate((2 * b[first], 2 * a[second] + 1)), np.concatenate((n[first], n[second]))
+        spread = np.where(heavy[unit], other + 1, 0)
+        part = (mix((unit << 32 | spread).astype(np.uint64)) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")
         part, unit, other, n = part[order], unit[order], other[order], n[order]
         cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)).tolist()
         for k in range(0, len(cuts) - 1, 256):
@@ -165,11 +174,13 @@ def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, toke
             yield from send(rows)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_unpacked(x) for batch in batches for x in batch.column("pairs").to_pylist()]
+        found = [np.frombuffer(x, "<u4").reshape(3, -1) for batch in batches for x in batch.column("pairs").to_pylist()]
         if not found:
             return
-        unit, other, n = _summed(*np.concatenate(found, axis=1))
+        together = np.concatenate(found, axis=1)
         del found
+        unit, other, n = _summed(*(x.astype(np.int64) for x in together))
+        del together
         starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         at = 0
         while at < len(unit):
@@ -199,17 +210,20 @@ def class_counts(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_of, heavy = shared.value
-        total = np.zeros(length, np.int64)
+        places, total = _places(heavy), np.zeros(length, np.int64)
         for batch in batches:
             for row in batch.column("pairs").to_pylist():
                 unit, other, n = _unpacked(row)
-                side, near = other & 1, class_of[other >> 1]
-                after = side == 0
-                total[: width * width] += np.bincount(class_of[unit[after]] * width + near[after], n[after], width * width).astype(np.int64)
-                at = np.minimum(np.searchsorted(heavy, unit), len(heavy) - 1)
-                have = heavy[at] == unit
-                if have.any():
-                    np.add.at(total, width * width + (side[have] * len(heavy) + at[have]) * width + near[have], n[have])
+                follows, other = (other & 1) == 0, other >> 1
+                own, place, near = class_of[unit], places[unit], places[other]
+                light = follows & (place < 0)
+                total[: width * width] += np.bincount(own[light] * width + class_of[other[light]], n[light], width * width).astype(np.int64)
+                # What follows a unit has it before: the second part counts what comes before heavy units.
+                have = near >= 0
+                np.add.at(total, width * width + (follows[have] * len(heavy) + near[have]) * width + own[have], n[have])
+                both = place >= 0
+                if both.any():
+                    np.add.at(total, width * width + place[both] * width + class_of[other[both]], n[both])
         yield from sent((at, total[at : at + CHUNK]) for at in range(0, length, CHUNK))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,39 +240,52 @@ def class_counts(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np
         out[r["at"] : r["at"] + len(part)] = part
     shared.destroy()
     after, before = out[width * width :].reshape(2, len(heavy), width)
-    return out[: width * width].reshape(width, width), after, before
-
-
-def best_classes(unit: np.ndarray, other: np.ndarray, n: np.ndarray, class_of: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The units of some pairs, in order, and the class that suits each best while all others stay.
-
-    A unit's own counts are taken out of its own class first.
-    """
-    width = len(bigrams)
-    rows, columns = bigrams.sum(1), bigrams.sum(0)
-    prior_after, prior_before = (BETA * (x + 1) / (x.sum() + width) for x in (columns, rows))
-    follows = np.log((bigrams + prior_after) / (rows + BETA)[:, None])[:-1]
-    precedes = np.log((bigrams + prior_before[:, None]) / (columns + BETA))[:, :-1]
-    gains = np.concatenate((follows.T, precedes)).astype(np.float32)
-    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
-    units, bounds = unit[starts], np.append(starts, len(unit))
-    best = np.zeros(len(units), np.int64)
-    step = max(1, DENSE // (2 * width))
-    for k in range(0, len(units), step):
-        some = units[k : k + step]
-        a, b = bounds[k], bounds[k + len(some)]
-        local = np.searchsorted(some, unit[a:b])
-        at = local * 2 * width + (other[a:b] & 1) * width + class_of[other[a:b] >> 1]
-        counts = np.bincount(at, n[a:b], len(some) * 2 * width).reshape(len(some), 2, width)
-        score = counts.reshape(len(some), -1).astype(np.float32) @ gains
-        own = class_of[some]
-        out, into = counts[:, 0], counts[:, 1]
-        left_out, left_in = np.maximum(bigrams[own] - out, 0), np.maximum(bigrams.T[own] - into, 0)
-        score[np.arange(len(some)), own] = (out * np.log((left_out + prior_after) / (left_out.sum(1, keepdims=True) + BETA))).sum(1) + (
-            into * np.log((left_in + prior_before) / (left_in.sum(1, keepdims=True) + BETA))
-        ).sum(1)
-        best[k : k + step] = score.argmax(1)
-    return units, best
+    bigrams = out[: width * width].reshape(width, width)
+    np.add.at(bigrams, class_of[heavy], after)
+    return bigrams, after, before
+
+
+class Exchange:
+    """What a unit gains in a class while all others stay, from the class bigrams."""
+
+    def __init__(self, bigrams: np.ndarray) -> None:
+        self.bigrams, self.width = bigrams, len(bigrams)
+        self.totals = np.concatenate((bigrams.sum(1), bigrams.sum(0)))
+        rows, columns = self.totals.reshape(2, -1)
+        after, before = (BETA * (x + 1) / (x.sum() + self.width) for x in (columns, rows))
+        follows = np.log((bigrams + after) / (rows + BETA)[:, None])[:-1]
+        precedes = np.log((bigrams + before[:, None]) / (columns + BETA))[:, :-1]
+        self.prior = np.concatenate((after, before))
+        self.gains = np.concatenate((follows.T, precedes)).astype(np.float32)
+
+    def stay(self, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The score of units in their own classes, with their counts taken out first; places without a count add nothing."""
+        line, place = np.nonzero(counts)
+        n = counts[line, place]
+        before, near, home = place >= self.width, place % self.width, own[line]
+        left = np.where(before, self.bigrams[near, home], self.bigrams[home, near]) - n
+        side = 2 * line + before
+        rest = np.maximum(self.totals[home + before * self.width] - np.bincount(side, n, 2 * len(own))[side], 0)
+        return np.bincount(line, n * np.log((np.maximum(left, 0) + self.prior[place]) / (rest + BETA)), len(own))
+
+    def best(self, unit: np.ndarray, other: np.ndarray, n: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of some pairs, in order, and the class that suits each best."""
+        width = self.width
+        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
+        units, bounds = unit[starts], np.append(starts, len(unit))
+        place = (other & 1) * width + class_of[other >> 1]
+        best = np.zeros(len(units), np.int64)
+        step = max(1, DENSE // (2 * width))
+        for k in range(0, len(units), step):
+            own = class_of[units[k : k + step]]
+            upto = bounds[k : k + len(own) + 1]
+            line = np.repeat(np.arange(len(own)), np.diff(upto))
+            some = slice(upto[0], upto[-1])
+            counts = np.bincount(line * 2 * width + place[some], n[some], len(own) * 2 * width).reshape(len(own), -1)
+            score = counts.astype(np.float32) @ self.gains
+            score[np.arange(len(own)), own] = self.stay(counts, own)
+            best[k : k + step] = score.argmax(1)
+        return units, best
 
 
 def moved(pairs: DataFrame, class_of: np.ndarray, bigrams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -267,11 +294,11 @@ def moved(pairs: DataFrame, class_of: np.ndarray, bigrams: np.ndarray, heavy: np
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_of, bigrams, heavy = shared.value
+        gains, light = Exchange(bigrams), _places(heavy) < 0
         for batch in batches:
             for row in batch.column("pairs").to_pylist():
-                unit, other, n = _unpacked(row)
-                light = ~np.isin(unit, heavy)
-                units, best = best_classes(unit[light], other[light], n[light], class_of, bigrams)
+                pairs = _unpacked(row)
+                units, best = gains.best(*pairs[:, light[pairs[0]]], class_of)
                 new = best != class_of[units]
                 yield pa.RecordBatch.from_arrays([pa.array(units[new].astype(np.int32)), pa.array(best[new].astype(np.int32))], names=["unit", "class"])
 
