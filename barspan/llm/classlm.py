@@ -52,8 +52,10 @@ BETA = 10.0
 CHUNK = 1 << 16
 #: Tokens whose pairs a task counts before it sends them, pairs a task merges, pairs in a row of their table.
 TOKENS, MERGED, ROW = 1 << 19, 1 << 20, 1 << 16
-#: Entries of a dense matrix of units and classes.
-DENSE = 1 << 21
+#: Entries of a dense matrix of units and classes, and of lines of gains that are added up together.
+DENSE, LINES = 1 << 21, 1 << 18
+#: Units that have neighbours in up to one class of so many add up lines.
+FEW = 6
 
 
 def classes_for(units: int) -> int:
@@ -258,10 +260,8 @@ class Exchange:
         self.prior = np.concatenate((after, before))
         self.gains = np.concatenate((follows.T, precedes)).astype(np.float32)
 
-    def stay(self, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The score of units in their own classes, with their counts taken out first; places without a count add nothing."""
-        line, place = np.nonzero(counts)
-        n = counts[line, place]
+    def stay(self, line: np.ndarray, place: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The score of units in their own classes, with their counts taken out first."""
         before, near, home = place >= self.width, place % self.width, own[line]
         left = np.where(before, self.bigrams[near, home], self.bigrams[home, near]) - n
         side = 2 * line + before
@@ -269,22 +269,39 @@ class Exchange:
         return np.bincount(line, n * np.log((np.maximum(left, 0) + self.prior[place]) / (rest + BETA)), len(own))
 
     def best(self, unit: np.ndarray, other: np.ndarray, n: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The units of some pairs, in order, and the class that suits each best."""
+        """The units of some pairs, in order, and the class that suits each best.
+
+        Units with few neighbouring classes add up their lines of gains, others are multiplied as dense lines.
+        """
         width = self.width
-        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
-        units, bounds = unit[starts], np.append(starts, len(unit))
-        place = (other & 1) * width + class_of[other >> 1]
-        best = np.zeros(len(units), np.int64)
-        step = max(1, DENSE // (2 * width))
-        for k in range(0, len(units), step):
-            own = class_of[units[k : k + step]]
-            upto = bounds[k : k + len(own) + 1]
-            line = np.repeat(np.arange(len(own)), np.diff(upto))
-            some = slice(upto[0], upto[-1])
-            counts = np.bincount(line * 2 * width + place[some], n[some], len(own) * 2 * width).reshape(len(own), -1)
-            score = counts.astype(np.float32) @ self.gains
-            score[np.arange(len(own)), own] = self.stay(counts, own)
-            best[k : k + step] = score.argmax(1)
+        if not len(unit):
+            return unit, unit
+        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        units = unit[starts]
+        line = np.repeat(np.arange(len(units)), np.diff(np.append(starts, len(unit))))
+        line, place, n = _summed(line, (other & 1) * width + class_of[other >> 1], n)
+        own, held = class_of[units], np.bincount(line)
+        stay = self.stay(line, place, n, own)
+        first = np.append(0, np.cumsum(held))
+        few, best = held <= width // FEW, np.zeros(len(units), np.int64)
+
+        def settle(some: np.ndarray, score: np.ndarray) -> None:
+            score[np.arange(len(some)), own[some]] = stay[some]
+            best[some] = score.argmax(1)
+
+        for chosen, entries in ((few, LINES // width), (~few, DENSE // (2 * width) * (width // FEW))):
+            some = np.flatnonzero(chosen)
+            group = np.cumsum(held[some]) // max(1, entries)
+            for some in np.split(some, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(some) else ():
+                size = held[some]
+                upto = np.append(0, np.cumsum(size))
+                at = np.arange(upto[-1]) + np.repeat(first[some] - upto[:-1], size)
+                if few[some[0]]:
+                    settle(some, np.add.reduceat(self.gains[place[at]] * n[at, None].astype(np.float32), upto[:-1], axis=0))
+                else:
+                    dense = np.zeros((len(some), 2 * width), np.float32)
+                    dense[np.repeat(np.arange(len(some)), size), place[at]] = n[at]
+                    settle(some, dense @ self.gains)
         return units, best
 
 
