@@ -2,7 +2,8 @@
 
 Linear models need the data only through one matrix of second moments, which
 tasks build with numpy on Arrow batches and Spark adds up; a small solve on the
-driver follows. Forests and depth-wise boosting come from Spark ML, leaf-wise boosting from ``boosting``. Predictions are column expressions or
+driver follows. Forests come from ``extra_trees``, leaf-wise boosting
+from ``boosting``, depth-wise boosting from Spark ML. Predictions are column expressions, vectorised functions or
 ML transforms, so scoring is one narrow pass.
 """
 
@@ -15,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, total, zero
-from barspan.operators import boosting, labels
+from barspan.operators import boosting, extra_trees, labels
+from barspan.operators.extra_trees import Forest
 from barspan.sources.bars import Panel
 
 RIDGE_ALPHA = 2.0
@@ -172,11 +174,11 @@ def huber(
 
 # -- trees -------------------------------------------------------------------------
 
-# The presets, in Spark ML parameter names.
+# The presets of the extra-random forests, and of boosting in Spark ML parameter names.
 FORESTS = {
-    "tree": dict(numTrees=40, maxDepth=16, minInstancesPerNode=50, featureSubsetStrategy="0.3", subsamplingRate=0.7),
-    "tree_big": dict(numTrees=120, maxDepth=20, minInstancesPerNode=20, featureSubsetStrategy="0.5", subsamplingRate=0.8),
-    "tree_shallow": dict(numTrees=300, maxDepth=5, minInstancesPerNode=500, featureSubsetStrategy="0.4", subsamplingRate=0.7),
+    "tree": Forest(trees=40, depth=16, least_rows=50, column_share=0.3, sample_share=0.7),
+    "tree_big": Forest(trees=120, depth=20, least_rows=20, column_share=0.5, sample_share=0.8),
+    "tree_shallow": Forest(trees=300, depth=5, least_rows=500, column_share=0.4, sample_share=0.7),
 }
 BOOSTED = {
     "gbdt": dict(maxIter=30, stepSize=0.05, maxDepth=2, minInstancesPerNode=200, subsamplingRate=0.8),
@@ -209,17 +211,19 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("_features", array_to_vector(F.array(*[zero(F.col(c)).cast("double") for c in columns])))
 
 
-def fit_trees(df: DataFrame, columns: list[str], target: str, name: str, params: dict | None = None) -> TreeFit:
+def fit_trees(
+    df: DataFrame, columns: list[str], target: str, name: str, params: dict | None = None
+) -> TreeFit | extra_trees.ForestFit:
+    if name in FORESTS:
+        identity = KEYS if set(KEYS) <= set(df.columns) else None
+        return extra_trees.fit_forest(df, columns, target, extra_trees.settings(FORESTS[name], params), identity)
     common = dict(featuresCol="_features", labelCol=target, predictionCol="_tree", seed=TREE_SEED)
     rows = _vectors(df, columns)
-    if name in FORESTS:
-        model = RandomForestRegressor(**common, **(FORESTS[name] | (params or {})))
-    else:
-        model = GBTRegressor(**common, **(BOOSTED[name] | (params or {})))
-        if name in EARLY_STOPPED:
-            held = labels.sample_key(TREE_SEED) < F.lit(VALIDATION_SHARE * 2**52)
-            rows = rows.withColumn("_held", held)
-            model = model.setValidationIndicatorCol("_held")
+    model = GBTRegressor(**common, **(BOOSTED[name] | (params or {})))
+    if name in EARLY_STOPPED:
+        held = labels.sample_key(TREE_SEED) < F.lit(VALIDATION_SHARE * 2**52)
+        rows = rows.withColumn("_held", held)
+        model = model.setValidationIndicatorCol("_held")
     return TreeFit(list(columns), model.fit(rows))
 
 

@@ -141,3 +141,32 @@ cte("tree_leaves", ("tree_sides", "tree_next"), f"""SELECT r.*, CASE WHEN r.side
 SQL["h05_first_tree"] = query(f"""SELECT date, symbol, bar, {q('pred')} FROM (SELECT date, symbol, bar, base + {value} AS pred FROM tree_leaves
   JOIN (SELECT leaf, sum(g) AS gp, count(*) AS np FROM tree_leaves WHERE used GROUP BY leaf) USING (leaf),
   (SELECT avg(fret12) AS base FROM bars WHERE date BETWEEN 20240101 AND 20240120))""", "bars", "tree_leaves")
+
+
+# -- three extra-random trees on the order counts: cuts between the ends of a node's columns, drawn by a digest -------
+
+
+def random_split(level: str) -> str:
+    """Rows of a level with the node they go to: the doubled path, plus one above the cut."""
+    tall = " UNION ALL ".join(f"SELECT tree, path, {k} AS k, CAST({c} AS DOUBLE) AS x, y FROM {level} WHERE used" for k, c in enumerate(COUNTS))
+    drawn = "CAST('0x' || substr(md5('42:' || tree || ':' || path || ':' || k || ':cut'), 1, 13) AS BIGINT) / 4503599627370496.0"
+    ends = f"SELECT tree, path, k, min(x) AS lo, max(x) AS hi, count(*) AS n, sum(y) AS s FROM ({tall}) GROUP BY tree, path, k"
+    nodes = f"SELECT *, lo + {drawn} * (hi - lo) AS cut FROM ({ends}) WHERE lo < hi AND n >= 100"
+    sums = f"""SELECT tree, path, k, cut, n, s, count(*) AS nl, sum(y) AS sl FROM ({tall}) JOIN ({nodes}) USING (tree, path, k)
+      WHERE x <= cut GROUP BY tree, path, k, cut, n, s"""
+    gains = f"""SELECT tree, path, k, cut, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM ({sums})
+      WHERE nl >= 50 AND n - nl >= 50"""
+    best = f"""SELECT tree, path, arg_min(k, k) AS k, arg_min(cut, k) AS cut FROM (
+      SELECT *, max(gain) OVER (PARTITION BY tree, path) AS top FROM ({gains})) WHERE top > 0 AND gain >= top * (1 - 1e-9) GROUP BY tree, path"""
+    own = "CASE k " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(COUNTS)) + " END"
+    return f"""SELECT r.* REPLACE (CASE WHEN k IS NULL THEN r.path WHEN {own} <= cut THEN 2 * r.path ELSE 2 * r.path + 1 END AS path)
+      FROM {level} r LEFT JOIN ({best}) b ON r.tree = b.tree AND r.path = b.path"""
+
+
+cte("cuts_0", "bars", f"""SELECT CAST(t AS BIGINT) AS tree, CAST(1 AS BIGINT) AS path, date, symbol, bar, {', '.join(COUNTS)}, base, fret12 - base AS y,
+  date BETWEEN 20240101 AND 20240120 AS used FROM bars, (SELECT unnest(generate_series(0, 2)) AS t),
+  (SELECT avg(fret12) AS base FROM bars WHERE date BETWEEN 20240101 AND 20240120)""")
+cte("cuts_1", "cuts_0", random_split("cuts_0"))
+cte("cuts_2", "cuts_1", random_split("cuts_1"))
+SQL["h04_random_cuts"] = query(f"""SELECT date, symbol, bar, {q('pred')} FROM (SELECT date, symbol, bar, avg(base + value) AS pred FROM cuts_2
+  JOIN (SELECT tree, path, avg(y) AS value FROM cuts_2 WHERE used GROUP BY tree, path) USING (tree, path) GROUP BY date, symbol, bar)""", "cuts_2")

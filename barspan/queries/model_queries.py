@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL
 from barspan.operators import boosting, gram, models, protocol, scans, search
+from barspan.operators.extra_trees import Forest, fit_forest
 from barspan.operators.folds import date_range, delivery_fold, fold_days
 from barspan.operators.metrics import correlation, pooled
 from barspan.operators.sequences import gather_windows
@@ -32,6 +33,7 @@ from barspan.sources.store import FeatureStore
 QUERIES: dict[str, Query] = {}
 TRAIN, VAL = (20240101, 20240120), (20240122, 20240130)
 RIDGE_COLUMNS = ["obi0", "trade_imb"]
+COUNTS = ["nTradeBuy", "nTradeSell", "nAddBuy", "nAddSell", "nCxlBuy", "nCxlSell"]
 
 
 def over_panel(build):
@@ -128,12 +130,21 @@ def h03_huber(p: Panel) -> DataFrame:
 
 @over_panel
 def h04_forest(p: Panel) -> DataFrame:
+    """The shallow preset as it is: 300 extra-random trees."""
     rows = _features(p, ["legacy"])
-    small = {"numTrees": 10, "minInstancesPerNode": 50}
-    fit = models.fit_model(p, date_range(rows, *TRAIN), CATALOGUE.columns(["legacy"]), "tree_shallow", params=small)
+    fit = models.fit_model(p, date_range(rows, *TRAIN), CATALOGUE.columns(["legacy"]), "tree_shallow")
     return _scored(fit.predict(rows))
 
 
+RANDOM_CUTS = Forest(trees=3, depth=2, least_rows=50, column_share=1.0, sample_share=None)
+
+
+@over_panel
+def h04_random_cuts(p: Panel) -> DataFrame:
+    """Three extra-random trees of two levels on the order counts, every row once."""
+    return _scored(fit_forest(date_range(p.df, *TRAIN), COUNTS, LABEL, RANDOM_CUTS, KEYS).predict(p.df))
+
+
 @over_panel
 def h05_boosted_trees(p: Panel) -> DataFrame:
     """Leaf-wise boosting on all training rows: 31 leaves, depth 6, fewer rounds and smaller leaves than the preset's.
@@ -146,7 +157,6 @@ def h05_boosted_trees(p: Panel) -> DataFrame:
     return _scored(fit.predict(rows))
 
 
-COUNTS = ["nTradeBuy", "nTradeSell", "nAddBuy", "nAddSell", "nCxlBuy", "nCxlSell"]
 FIRST_TREE = boosting.Boosting(rounds=1, rate=1.0, leaves=3, depth=2, least_rows=50, column_share=1.0, l1=1e-4, l2=0.1)
 
 
@@ -181,8 +191,7 @@ def h07_common_residual(p: Panel) -> DataFrame:
 @over_panel
 def h08_soft_regime(p: Panel) -> DataFrame:
     rows = _features(p, ["base", "lag", "roll", "cross", "regime"])
-    small = {"numTrees": 4, "maxDepth": 4}
-    out = protocol.soft_regime(p, date_range(rows, *TRAIN), date_range(rows, *VAL), small, {"numTrees": 4, "minInstancesPerNode": 50})
+    out = protocol.soft_regime(p, date_range(rows, *TRAIN), date_range(rows, *VAL))
     return _scored(out["val"])
 
 
