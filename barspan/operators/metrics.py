@@ -52,7 +52,11 @@ def daily_ic(df: DataFrame, by: list[str] | None = None, pred: str = "pred", lab
     """Mean, population std and minimum of the per-date correlation. Dates whose
     correlation is undefined count in n_days and nowhere else."""
     by = by or []
-    days = group_correlation(df, [*by, "date"], pred, label)
+    return summarized_ic(group_correlation(df, [*by, "date"], pred, label), by)
+
+
+def summarized_ic(days: DataFrame, by: list[str]) -> DataFrame:
+    """The same of correlations ``ic`` that are known per date."""
     grouped = days.groupBy(*by) if by else days
     return grouped.agg(
         zero(F.avg("ic")).alias("daily_corr_mean"),

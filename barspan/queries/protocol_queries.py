@@ -550,22 +550,21 @@ def _joined(p: Panel) -> DataFrame:
 
 @over_panel
 def j15_member_correlation(p: Panel) -> DataFrame:
-    j = _joined(p)
-    mixed = blend.global_zscores(j, ["pred_a", "pred_b"]).withColumns(
-        {"z_equal": F.col("pred_a_z") * 0.5 + F.col("pred_b_z") * 0.5, "raw_equal": F.col("pred_a") * 0.5 + F.col("pred_b") * 0.5}
-    )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(n).alias("pair"), F.col(x).alias("pred"), F.col(y).alias("label"))
-            for n, x, y in (
-                ("a_b", "pred_a", "pred_b"), ("a_label", "pred_a", "label"), ("b_label", "pred_b", "label"),
-                ("z_label", "z_equal", "label"), ("raw_label", "raw_equal", "label"),
-            )
-        ]
+    columns = ["pred_a", "pred_b", "label"]
+    moments = blend.moments_by_date(_joined(p), columns)
+    overall = blend.merged_moments(moments, columns)
+    z = {c: F.col(f"_s.{c}") * F.lit(0.5) for c in columns[:2]}
+    pairs = {
+        "a_b": ({"pred_a": 1.0}, {"pred_b": 1.0}), "a_label": ({"pred_a": 1.0}, {"label": 1.0}),
+        "b_label": ({"pred_b": 1.0}, {"label": 1.0}), "z_label": (z, {"label": 1.0}),
+        "raw_label": ({"pred_a": 0.5, "pred_b": 0.5}, {"label": 1.0}),
+    }
+    scored = F.inline(
+        F.array(*[F.struct(F.lit(n).alias("pair"), blend.mix_correlation(x, y, columns).alias("ic")) for n, (x, y) in pairs.items()])
     )
-    tall = mixed.select("date", F.inline(pairs))
-    overall = tall.groupBy("pair").agg(metrics.correlation(F.col("pred"), F.col("label")).alias("overall"))
-    out = overall.join(metrics.daily_ic(tall, ["pair"]), "pair")
+    scales = blend.z_scales(overall, columns[:2])
+    daily = metrics.summarized_ic(moments.withColumn("_s", scales).select("date", "n", scored), ["pair"])
+    out = overall.withColumn("_s", scales).select(scored).withColumnRenamed("ic", "overall").join(daily, "pair")
     return present(out, ["overall", "daily_corr_mean", "daily_corr_std", "daily_corr_min"], ["pair", "n_days"])
 
 
@@ -641,10 +640,8 @@ def k07_postprocess_grid(p: Panel) -> DataFrame:
 
 @over_panel
 def k08_weight_sweep(p: Panel) -> DataFrame:
-    j = _joined(p)
-    pooled = blend.weight_sweep(j, "pred_a", "pred_b").select("weight", "corr")
-    daily = blend.weight_sweep_daily(blend.global_zscores(j, ["pred_a", "pred_b"]), "pred_a_z", "pred_b_z")
-    return present(pooled.join(daily, "weight"), ["weight", "corr", "daily_ic_mean"])
+    moments = blend.moments_by_date(_joined(p), ["pred_a", "pred_b", "label"])
+    return present(blend.weight_sweeps(moments, "pred_a", "pred_b"), ["weight", "corr", "daily_ic_mean"])
 
 
 @over_panel
