@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barspan.functions.scalars import KEYS, LABEL, zero
+from barspan.plans.digests import compared
 from barspan.plans.groups import CROSS, attach_bounded
 from barspan.plans.order_stats import value_positions
 from barspan.plans.series import Series
 from barspan.plans.tables import written
 from barspan.sources.bars import Panel
+from barspan.sources.store import FeatureStore
 
 # Scale floors of the normalizer and of the snapshot z-score.
 MIN_SCALE = 1e-8
@@ -55,6 +57,19 @@ def flat_vectors(df: DataFrame, channels: list[str]) -> DataFrame:
     return df.select(*KEYS, vector.alias("x"), label.alias("label"), F.lit(has_label).alias("has_label"))
 
 
+def stored_vectors(store: FeatureStore, groups: list[str], labels: DataFrame) -> DataFrame:
+    """Flat vectors of the columns of stored groups with the labels of another table.
+
+    Both must hold the same keys equally often; a digest per date tells without joining rows, and names the dates where they
+    don't. The labels replace the store's own.
+    """
+    features = store.load(groups=groups, dtype="float64").drop(LABEL)
+    uneven = compared(features, labels, ["date"], KEYS).where(~F.col("same")).orderBy("date").limit(5).collect()
+    if uneven:
+        raise ValueError(f"features and labels differ in their keys: {[(r['date'], r['n_left'], r['n_right']) for r in uneven]}")
+    return flat_vectors(features.join(labels.select(*KEYS, LABEL), KEYS), store.catalogue.columns(groups))
+
+
 def only_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
     return df.join(dates.select("date"), "date", "left_semi")
 

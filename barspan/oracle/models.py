@@ -25,6 +25,21 @@ SQL["a07_loaded_groups"] = query(
     "group_set")
 SQL["a08_alignment"] = query(
     "SELECT CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM (SELECT count(*) FROM bars)", "bars")
+SQL["a08_verified_dates"] = query("""SELECT kind, date, CAST(n + CASE WHEN date % 3 <> 0 THEN 0 ELSE extra END AS BIGINT) AS n_left, n AS n_right,
+  CAST(CASE WHEN kind = 'whole' OR date % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS same FROM (SELECT date, count(*) AS n FROM bars GROUP BY date),
+  (VALUES ('whole', 0), ('changed', 0), ('missing', -1), ('doubled', 1)) AS k(kind, extra)""", "bars")
+SQL["a09_stale_stages"] = query("""SELECT step, code, CASE WHEN code = 'days' THEN CAST(n - n // 2 AS VARCHAR) ELSE '' END AS detail,
+  CAST(CASE step WHEN 'new' THEN 0 WHEN 'half' THEN n // 2 ELSE n END AS BIGINT) AS n_days FROM (SELECT count(DISTINCT date) AS n FROM bars),
+  (VALUES ('new', 'unrecorded'), ('half', 'unrecorded'), ('more', 'days'), ('again', 'ok'), ('version', 'version'), ('force', 'forced')) AS s(step, code)""",
+  "bars")
+SQL["a10_incremental_build"] = query("""SELECT date, count(*) AS n_stored, count(*) AS n_wanted, CAST(1 AS BIGINT) AS same FROM bars
+  GROUP BY date""", "bars")
+SQL["a12_appended_predictions"] = query(f"""SELECT experiment_id, fold_id, n_rows, {q('pred')} FROM (SELECT experiment_id, fold_id,
+  count(*) AS n_rows, avg(pred) AS pred FROM tall JOIN fold_days USING (date) WHERE profile = 'short_8d_2d' AND segment = 'val'
+  AND experiment_id IN ('R02_ridge_legacy_plus_norm_core', 'X1_book') GROUP BY experiment_id, fold_id)""", "tall", "fold_days")
+STORED = CATALOGUE.columns(["base"])
+SQL["i09_stored_vectors"] = query(f"SELECT {K}, {qs(*[f'x_{c}' for c in STORED], 'label')} FROM (SELECT {K}, "
+    f"{columns({f'x_{c}': f'coalesce({f32(c)}, 0.0)' for c in STORED})}, coalesce(fret12, 0.0) AS label FROM base)", "base")
 SIZES = {"base": 21, "ofi": 46, "rx_micro": 49, "lag": 24, "roll": 50, "patch": 140, "regime": 11, "trade_impact": 90,
          "cross": 38, "conditional_momentum": 43}
 SQL["a11_store_status"] = query("SELECT stage, state, reason, CAST(CASE WHEN state = 'ok' THEN n ELSE 0 END AS BIGINT) AS n_days, "

@@ -9,9 +9,10 @@ from barspan.operators import boosting, gram, models, protocol, scans, search
 from barspan.operators.extra_trees import Forest, fit_forest
 from barspan.operators.folds import date_range, delivery_fold, fold_days
 from barspan.operators.metrics import correlation, pooled
-from barspan.operators.sequences import gather_windows
+from barspan.operators.sequences import gather_windows, stored_vectors
 from barspan.operators.specs import MEMBERS, Spec
 from barspan.plans.catalogue import BASE, CATALOGUE, CROSS_Z, build_features
+from barspan.plans.digests import compared
 from barspan.plans.tables import fresh_path, written
 from barspan.queries.common import (
     BASELINE,
@@ -70,6 +71,73 @@ def a08_alignment(p: Panel) -> DataFrame:
     return store.misaligned("base")
 
 
+@over_panel
+def a08_verified_dates(p: Panel) -> DataFrame:
+    """A stored stage against its recomputation: as written, and with the first row of every third day of the month
+    changed, missing or doubled."""
+    store = FeatureStore(p, fresh_path(p.spark, "store"))
+    store.write_stage("base", p.df.select("date").distinct())
+    stored = store.read_stage("base")
+    hit = stored.where(F.col("date") % 3 == 0).groupBy("date").agg(F.min(F.struct("symbol", "bar")).alias("_first"))
+    marked = stored.join(hit, "date", "left").withColumn("_hit", F.struct("symbol", "bar").eqNullSafe(F.col("_first")))
+    changed = F.when(F.col("_hit"), F.col(BASE[0]) + F.lit(1.0)).otherwise(F.col(BASE[0])).cast("float")
+    kinds = {
+        "whole": marked, "changed": marked.withColumn(BASE[0], changed), "missing": marked.where(~F.col("_hit")),
+        "doubled": marked.unionByName(marked.where("_hit")),
+    }
+    wanted = store.computed("base", p.df.select("date").distinct())
+    found, by, columns = None, ["kind", "date"], [*KEYS[1:], *BASE]
+    for kind, df in kinds.items():
+        rows = compared(df.withColumn("kind", F.lit(kind)), wanted.withColumn("kind", F.lit(kind)), by, columns)
+        found = rows if found is None else found.unionByName(rows)
+    return found.select(*by, "n_left", "n_right", F.col("same").cast("bigint").alias("same"))
+
+
+@over_panel
+def a09_stale_stages(p: Panel) -> DataFrame:
+    """Why a stage is stale, step by step: nothing built, half of the days built, all built, another version, forced."""
+    root = fresh_path(p.spark, "store")
+    store = FeatureStore(p, root)
+    days = sorted(r["date"] for r in p.df.select("date").distinct().collect())
+    half, rows = days[: len(days) // 2], []
+
+    def step(name: str, stale: dict) -> None:
+        found = stale.get("rx_micro")
+        rows.append((name, found.code if found else "ok", str(found.detail or "") if found else "", store.built_days("rx_micro").count()))
+
+    step("new", store.dirty(half, stages=["rx_micro"]))
+    step("half", store.build(half, stages=["rx_micro"]))
+    step("more", store.build(stages=["rx_micro"]))
+    step("again", store.build(stages=["rx_micro"]))
+    step("version", FeatureStore(p, root, version="2").dirty(stages=["rx_micro"]))
+    step("force", store.dirty(force=True, stages=["rx_micro"]))
+    return p.spark.createDataFrame(rows, "step string, code string, detail string, n_days bigint")
+
+
+@over_panel
+def a10_incremental_build(p: Panel) -> DataFrame:
+    """A stage built in two parts holds what one build gives, date by date."""
+    store = FeatureStore(p, fresh_path(p.spark, "store"))
+    days = sorted(r["date"] for r in p.df.select("date").distinct().collect())
+    store.build(days[::2], stages=["rx_micro"])
+    store.build(stages=["rx_micro"])
+    return store.verify("rx_micro").withColumn("same", F.col("same").cast("bigint"))
+
+
+@over_panel
+def a12_appended_predictions(p: Panel) -> DataFrame:
+    """Predictions appended fold by fold, counted by member and fold."""
+    root = fresh_path(p.spark, "oof")
+    days = fold_days(calendar_of(p), SCALED_PROFILES[:1]).where(F.col("segment") == "val")
+    rows = written(tall_members(p).withColumnRenamed("label", LABEL).join(days, "date"), "predictions")
+    for fold in sorted(r["fold_id"] for r in days.select("fold_id").distinct().collect()):
+        append_oof(rows.where(F.col("fold_id") == fold), root, "run_1")
+    members = [load_member(p.spark, root, "run_1", "short_8d_2d", m).withColumn("experiment_id", F.lit(m)) for m in (BASELINE, "X1_book")]
+    both = members[0].unionByName(members[1])
+    out = both.groupBy("experiment_id", "fold_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("pred").alias("pred"))
+    return present(out, ["pred"], ["experiment_id", "fold_id", "n_rows"])
+
+
 @over_panel
 def a11_store_status(p: Panel) -> DataFrame:
     store = FeatureStore(p, fresh_path(p.spark, "store"))
@@ -434,6 +502,16 @@ def l05_validation(p: Panel) -> DataFrame:
     return present(stages.validate({"alpha": 2.0}, folds, SEEDS)["certificate"], CERTIFICATE, ["n_folds"])
 
 
+@over_panel
+def i09_stored_vectors(p: Panel) -> DataFrame:
+    """Flat vectors of stored columns with the labels of the bars, keys proven equal."""
+    store = FeatureStore(p, fresh_path(p.spark, "store"))
+    store.write_stage("base", p.df.select("date").distinct())
+    out = stored_vectors(store, ["base"], p.df.select(*KEYS, LABEL))
+    cells = {f"x_{c}": F.col("x")[i] for i, c in enumerate(CATALOGUE.columns(["base"]))}
+    return present(out.withColumns(cells), [*cells, "label"], KEYS)
+
+
 @over_panel
 def c06_feature_families(p: Panel) -> DataFrame:
     """Family of every built column, with the rows that hold it."""

@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from barspan.functions.scalars import KEYS, LABEL, clean
 from barspan.plans.catalogue import CATALOGUE, Catalogue
+from barspan.plans.digests import compared
 from barspan.sources.bars import Panel
 
 DTYPES = ("float32", "float64", None)
@@ -156,21 +157,23 @@ class FeatureStore:
 
     def write_stage(self, stage: str, days: DataFrame) -> None:
         """Overwrite only the partitions of the given days. The stage is computed
-        from raw bars with its upstream columns in the same plan, so a build
-        reads the bars once and joins nothing. A date's rows meet in as many tasks
+        from raw bars with its upstream columns in the same plan, so it reads
+        the bars once and joins nothing. A date's rows meet in as many tasks
         as it needs files, not in one file per task and date."""
-        bars = self.panel.df.join(days, "date", "left_semi")
-        frame = self.catalogue.with_stages(self.panel.with_df(bars), [stage])
-        columns = [F.col(c).cast("float").alias(c) for c in self.catalogue.stages[stage].columns]
-        out = frame.select("date", "symbol", "bar", *columns)
         (
-            by_date(out, self.panel.layout.date_rows)
+            by_date(self.computed(stage, days), self.panel.layout.date_rows)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("date")
             .parquet(self.path(stage))
         )
 
+    def computed(self, stage: str, days: DataFrame) -> DataFrame:
+        """Rows of a stage from raw bars, at the precision a store keeps."""
+        bars = self.panel.df.join(days, "date", "left_semi")
+        frame = self.catalogue.with_stages(self.panel.with_df(bars), [stage])
+        return frame.select(*KEYS, *[F.col(c).cast("float").alias(c) for c in self.catalogue.stages[stage].columns])
+
     # -- reading ----------------------------------------------------------------
 
     def read_stage(self, stage: str, where: Column | None = None) -> DataFrame:
@@ -218,6 +221,17 @@ class FeatureStore:
             F.count(F.when(F.col("kind") == "extra", 1)).alias("n_extra"),
         )
 
+    def verify(self, stage: str, dates: list[int] | None = None) -> DataFrame:
+        """Per date: rows stored and rows the bars give today, and whether they are the same in every column.
+
+        Both sides shrink to one digest per date before they meet; no row is joined.
+        """
+        days = self.wanted_days(dates)
+        stored = self.read_stage(stage).join(days, "date", "left_semi")
+        columns = [*KEYS[1:], *self.catalogue.stages[stage].columns]
+        out = compared(stored, self.computed(stage, days), ["date"], columns)
+        return out.withColumnsRenamed({"n_left": "n_stored", "n_right": "n_wanted"})
+
     def check_alignment(self, stage: str) -> None:
         row = self.misaligned(stage).first()
         if row["n_missing"] or row["n_extra"]:
