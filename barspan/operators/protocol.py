@@ -120,13 +120,34 @@ def _scored(rows: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.col(LABEL).alias("label"), F.col("pred").cast("double").alias("pred"))
 
 
+def lambda_grid(rows: DataFrame) -> DataFrame:
+    """weight, corr, mse, r2 of residual + weight x common for all weights of the grid, from one row of second moments.
+
+    Rows without a label are left out; a prediction that does not vary has correlation 0. Without rows the scores are null, 0 for the correlation.
+    """
+    columns = ["common", "residual", "label"]
+    x = {c: clean(F.col(c)) for c in columns[:2]} | {"label": F.col("label")}
+    pairs = [(c, d) for i, c in enumerate(columns) for d in columns[i:]]
+    moments = rows.where(F.col("label").isNotNull()).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.avg(x[c]).alias(f"m_{c}") for c in columns],
+        *[F.covar_pop(x[c], x[d]).alias(f"c_{c}_{d}") for c, d in pairs],
+    )
+    grid = moments.select("*", F.explode(F.array(*[F.lit(w) for w in LAMBDAS])).alias("weight"))
+    w, vy = F.col("weight"), F.col("c_label_label")
+    off = w * F.col("m_common") + F.col("m_residual") - F.col("m_label")
+    spread = w * w * F.col("c_common_common") + F.lit(2.0) * w * F.col("c_common_residual") + F.col("c_residual_residual")
+    with_label = w * F.col("c_common_label") + F.col("c_residual_label")
+    mse = spread + vy - F.lit(2.0) * with_label + off * off
+    both = F.sqrt(F.greatest(spread, F.lit(0.0))) * F.sqrt(vy)
+    corr = F.coalesce(F.try_divide(with_label, F.when(both > 0, both)), F.lit(0.0))
+    r2 = F.lit(1.0) - mse * F.col("n") / (vy * F.col("n") + F.lit(R2_EPS))
+    return grid.select("weight", corr.alias("corr"), mse.alias("mse"), r2.alias("r2"))
+
+
 def best_lambda(rows: DataFrame) -> float:
     """Weight of the common part with the best (corr, -mse, r2) on the rows."""
-    grid = F.explode(F.array(*[F.lit(x) for x in LAMBDAS])).alias("weight")
-    mixed = rows.select("label", "common", "residual", grid)
-    mixed = mixed.withColumn("pred", F.col("residual") + F.col("weight") * F.col("common"))
-    scores = mixed.groupBy("weight").agg(*pooled())
-    return float(scores.orderBy(F.desc("corr"), "mse", F.desc("r2"), "weight").first()["weight"])
+    return float(lambda_grid(rows).orderBy(F.desc("corr"), "mse", F.desc("r2"), "weight").first()["weight"])
 
 
 def common_residual(

@@ -125,3 +125,9 @@ SQL["l06_early_stop"] = query("""SELECT experiment_id, count(*) AS n,
   GROUP BY experiment_id""", "tall")
 SQL["c07_member_tokens"] = query(f"""SELECT {K}, 'run_' || date AS run_id, 'exp_' || symbol AS experiment_id,
   CAST(symbol AS VARCHAR) AS alpha, CAST(bar AS VARCHAR) AS depth FROM bars""", "bars")
+
+SQL["h07_lambda_grid"] = query(f"""SELECT {qs('weight', 'corr', 'mse', 'r2')} FROM (SELECT weight, corr, mse * 1e9 AS mse, r2 FROM (
+  SELECT weight, {columns(POOLED)} FROM (SELECT weight, fret12 AS label, residual + weight * common AS pred FROM (
+    SELECT fret12, common, pred_b + pred_a - common AS residual FROM (SELECT *, avg(pred_a) OVER (PARTITION BY date, bar) AS common FROM (
+      SELECT date, symbol, bar, fret12, midpx / open - 1 AS pred_a, (bsize0 - asize0) / (bsize0 + asize0) / 1000 AS pred_b FROM bars))),
+    (VALUES (0.1), (0.2), (0.3), (0.5), (0.8), (1.0)) AS l(weight)) GROUP BY weight))""", "bars")

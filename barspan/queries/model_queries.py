@@ -256,6 +256,16 @@ def h07_common_residual(p: Panel) -> DataFrame:
     return _scored(out["val"])
 
 
+@over_panel
+def h07_lambda_grid(p: Panel) -> DataFrame:
+    """Scores of the weights of a common part: the cross-section mean of one member beside what it leaves of the other."""
+    rows = both_members(p)
+    means = rows.groupBy("date", "bar").agg(F.avg("pred_a").alias("common"))
+    rows = rows.join(means, ["date", "bar"]).withColumn("residual", F.col("pred_b") + F.col("pred_a") - F.col("common"))
+    out = protocol.lambda_grid(rows).withColumn("mse", F.col("mse") * F.lit(1e9))
+    return present(out, ["weight", "corr", "mse", "r2"])
+
+
 @over_panel
 def h08_soft_regime(p: Panel) -> DataFrame:
     rows = _features(p, ["base", "lag", "roll", "cross", "regime"])
