@@ -277,3 +277,18 @@ def test_clip_and_grid_agree_with_direct_scores(panels):
         assert np.allclose(a[c], b[c], rtol=1e-9)
     best = blend.best_candidate(blend.postprocess_grid(plain, rows)).first()
     assert best["corr"] == a["corr"].max()
+
+
+def test_tasks_of_window_chains_hold_a_bounded_number_of_rows(spark, sf_dir):
+    """Adaptive execution packs small shuffled groups together; chains of sorts get tasks sized by rows instead."""
+    from pyspark.sql import functions as F
+
+    small, whole = (panel_from_events(spark, sf_dir, limits) for limits in (Limits(task_rows=400), Limits()))
+    assert whole.df.count() > 20 * 400
+    largest = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest(small.df) < 6 * 400
+    ranks = [fx.cross_rank(p, fx.cross_z(p, CATALOGUE.with_stages(p, {n: [] for n in ("base", "ofi", "trade_impact")}))) for p in (small, whole)]
+    assert largest(ranks[0]) < 3 * 400
+    columns = ["date", "symbol", "bar", "midpx_cs_z", "ofi_total_cs_rank"]
+    same = [r.select(*columns).orderBy("date", "symbol", "bar").toPandas() for r in ranks]
+    pd.testing.assert_frame_equal(*same)
