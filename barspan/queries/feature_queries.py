@@ -41,6 +41,18 @@ def _impact(panel: Panel) -> DataFrame:
     return CATALOGUE.with_stages(panel, {n: [] for n in ("base", "ofi", "trade_impact")})
 
 
+def _cross_sources(panel: Panel) -> DataFrame:
+    """What the cross-section scores read and nothing beside it: a split panel writes rows between its steps."""
+    df = fx.impact_static(fx.ofi_levels(panel, fx.base_static(panel.df)))
+    return df.select(*panel.carried(), *fx.CROSS_SOURCES)
+
+
+def _regime(panel: Panel) -> DataFrame:
+    """The regime stage over the columns that it reads."""
+    own = ["midpx", "spread", "order_pressure", "trade_activity", "cxl_imb"]
+    return fx.regime(panel, fx.mid_returns(panel, fx.base_static(panel.df).select(*panel.carried(), *own)))
+
+
 LEVELS = list(fx.BOOK_LEVELS)
 _DYNAMIC = lambda names: [f"{c}_{k}{w}" for c in names for w in fx.FLOW_WINDOWS for k in ("ema", "sum", "mean", "z")]
 
@@ -72,7 +84,7 @@ QUERIES: dict[str, Query] = {
     ),
     "d16_trade_impact_interactions": stage_query(_impact, cat.IMPACT_INTERACTION),
     "d17_trade_impact_dynamics": stage_query(_upto("trade_impact"), _DYNAMIC(fx.IMPACT_COLUMNS)),
-    "d18_cross_zscores": stage_query(lambda p: fx.cross_z(p, _impact(p)), cat.CROSS_Z),
+    "d18_cross_zscores": stage_query(lambda p: fx.cross_z(p, _cross_sources(p)), cat.CROSS_Z),
     "d19_cross_ranks": stage_query(lambda p: fx.cross_rank(p, _impact(p)), cat.CROSS_RANK),
     "d20_time_of_day": stage_query(
         lambda p: fx.time_of_day(p, p.df), ["interval_pos", "interval_norm", "is_morning", "is_afternoon"]
@@ -88,11 +100,11 @@ QUERIES: dict[str, Query] = {
         _upto("conditional_momentum"), ["momentum_state", "reversal_state", "conditional_momentum_rank"]
     ),
     "d24_regime_score": stage_query(_upto("regime"), ["regime_score"]),
-    "d25_regime_buckets": stage_query(_upto("regime"), ["regime_low", "regime_mid", "regime_high"]),
+    "d25_regime_buckets": stage_query(_regime, ["regime_low", "regime_mid", "regime_high"]),
     "d26_regime_states": stage_query(
         _upto("regime"), ["state_momentum", "state_reversal", "state_pressure", "state_liquidity"]
     ),
-    "d27_date_volatility": stage_query(lambda p: fx.date_volatility(p, fx.base_core(p, p.df)), ["state_vol_cs"]),
+    "d27_date_volatility": stage_query(lambda p: fx.date_volatility(p, fx.mid_returns(p, p.df.select(*p.carried(), "midpx"))), ["state_vol_cs"]),
     "d28_date_means": stage_query(_upto("regime"), ["state_spread_cs", "state_activity_cs"]),
     "d29_order_rates": stage_query(lambda p: p.df.withColumns(fx.micro_orders()), fx.micro_orders),
     "d30_book_shape": stage_query(lambda p: p.df.withColumns(fx.micro_book()), fx.micro_book),

@@ -292,3 +292,20 @@ def test_tasks_of_window_chains_hold_a_bounded_number_of_rows(spark, sf_dir):
     columns = ["date", "symbol", "bar", "midpx_cs_z", "ofi_total_cs_rank"]
     same = [r.select(*columns).orderBy("date", "symbol", "bar").toPandas() for r in ranks]
     pd.testing.assert_frame_equal(*same)
+
+
+@pytest.mark.parametrize("name, most", [("d18_cross_zscores", 45), ("d25_regime_buckets", 30), ("d27_date_volatility", 10)])
+def test_split_queries_write_only_columns_they_use(spark, small_dir, monkeypatch, name, most):
+    from barspan.plans import groups
+    from barspan.queries.feature_queries import QUERIES
+
+    panel, widths = panel_from_events(spark, small_dir, TIGHT), []
+
+    def seen(df, label):
+        widths.append(len(df.columns))
+        return df
+
+    for module in (groups, series_module, fx):
+        monkeypatch.setattr(module, "written", seen)
+    QUERIES[name].over(panel)
+    assert widths and max(widths) <= most
