@@ -294,12 +294,12 @@ def test_tasks_of_window_chains_hold_a_bounded_number_of_rows(spark, sf_dir):
     pd.testing.assert_frame_equal(*same)
 
 
-@pytest.mark.parametrize("name, most", [("d18_cross_zscores", 45), ("d25_regime_buckets", 30), ("d27_date_volatility", 10)])
-def test_split_queries_write_only_columns_they_use(spark, small_dir, monkeypatch, name, most):
+@pytest.mark.parametrize("name, most", [("d18_cross_zscores", 45), ("d25_regime_buckets", 45), ("d27_date_volatility", 10)])
+def test_split_queries_write_only_columns_they_use(spark, sf_dir, monkeypatch, name, most):
     from barspan.plans import groups
     from barspan.queries.feature_queries import QUERIES
 
-    panel, widths = panel_from_events(spark, small_dir, TIGHT), []
+    panel, widths = panel_from_events(spark, sf_dir, TIGHT), []
 
     def seen(df, label):
         widths.append(len(df.columns))
@@ -308,4 +308,4 @@ def test_split_queries_write_only_columns_they_use(spark, small_dir, monkeypatch
     for module in (groups, series_module, fx):
         monkeypatch.setattr(module, "written", seen)
     QUERIES[name].over(panel)
-    assert widths and max(widths) <= most
+    assert widths and max(widths) <= most, widths
