@@ -27,6 +27,7 @@ import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -52,10 +53,16 @@ BETA = 10.0
 CHUNK = 1 << 16
 #: Tokens whose pairs a task counts before it sends them, pairs a task merges, pairs in a row of their table.
 TOKENS, MERGED, ROW = 1 << 19, 1 << 20, 1 << 16
-#: Entries of a dense matrix of units and classes, and of lines of gains that are added up together.
-DENSE, LINES = 1 << 21, 1 << 18
-#: Units that have neighbours in up to one class of so many add up lines.
-FEW = 6
+#: Entries of a dense matrix of units and classes.
+DENSE = 1 << 19
+#: Units that have neighbours in up to one class of so many add up lines, others are multiplied as dense ones.
+FEW = 20
+#: Units whose cells (units times classes) are up to so many times their pairs are counted in cells.
+SPARSE = 8
+#: Places that a word is looked for in turn before a search.
+NEXT = 8
+#: Pairs of neighbouring units that are counted together.
+COUNTED = 1 << 20
 
 
 def classes_for(units: int) -> int:
@@ -77,6 +84,30 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), (mix(tail) % U(GROUPS)).astype(np.int64), first
 
 
+class Places:
+    """Where words are among ascending hashes: the first bits of a hash lead next to it."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes, bits = hashes, max(1, len(hashes).bit_length())
+        self.shift = U(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``searchsorted``, the last place at most; and whether the word is there."""
+        at = self.first.take((words >> self.shift).view(np.int64), mode="clip")
+        last = len(self.hashes) - 1
+        found = self.hashes.take(at, mode="clip")
+        more = np.flatnonzero(found < words)
+        for _ in range(NEXT):
+            at[more] += 1
+            more = more.take(np.flatnonzero(self.hashes.take(at.take(more), mode="clip") < words.take(more)))
+            if not len(more):
+                break
+        at[more] = np.searchsorted(self.hashes, words.take(more))
+        at = np.minimum(at, last)
+        return at, self.hashes.take(at, mode="clip") == words
+
+
 @dataclass
 class Vocabulary:
     """The words with a unit of their own (hashes ascending), their units, and the number of units but the end."""
@@ -84,6 +115,10 @@ class Vocabulary:
     hashes: np.ndarray
     unit: np.ndarray
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
+
     @property
     def units(self) -> int:
         return len(self.hashes) + GROUPS
@@ -91,8 +126,8 @@ class Vocabulary:
     def units_of(self, words: np.ndarray, groups: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return groups
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.unit[at], len(self.hashes) + groups)
+        at, have = self.places.of(words)
+        return np.where(have, self.unit.take(at, mode="clip"), len(self.hashes) + groups)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -123,7 +158,7 @@ def _summed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     """Equal pairs as one, in order of unit and other."""
     key = unit << 32 | other
     order = np.argsort(key)
-    key = key[order]
+    key = key.take(order)
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     return key[new] >> 32, key[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new) if len(key) else n
 
@@ -212,20 +247,33 @@ def class_counts(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_of, heavy = shared.value
-        places, total = _places(heavy), np.zeros(length, np.int64)
+        places, class_of, total = _places(heavy).astype(np.int16), class_of.astype(np.int32), np.zeros(length, np.int64)
+
+        def counted(rows: list[np.ndarray]) -> None:
+            unit, other, n = np.concatenate(rows, axis=1).astype(np.int64)
+            follows, other = (other & 1) == 0, other >> 1
+            own, place, near = class_of.take(unit, mode="clip"), places.take(unit, mode="clip"), places.take(other, mode="clip")
+            light = np.flatnonzero(follows & (place < 0))
+            # What follows a unit has it before: the second part counts what comes before heavy units.
+            have, both = np.flatnonzero(near >= 0), np.flatnonzero(place >= 0)
+            for start, stop, at, first, second in (
+                (0, width * width, light, own.take(light), class_of.take(other.take(light), mode="clip")),
+                (width * width, length, have, follows.take(have) * len(heavy) + near.take(have), own.take(have)),
+                (width * width, length, both, place.take(both), class_of.take(other.take(both), mode="clip")),
+            ):
+                if len(at):
+                    total[start:stop] += np.bincount(first.astype(np.int64) * width + second, n.take(at), stop - start).astype(np.int64)
+
+        rows, held = [], 0
         for batch in batches:
             for row in batch.column("pairs").to_pylist():
-                unit, other, n = _unpacked(row)
-                follows, other = (other & 1) == 0, other >> 1
-                own, place, near = class_of[unit], places[unit], places[other]
-                light = follows & (place < 0)
-                total[: width * width] += np.bincount(own[light] * width + class_of[other[light]], n[light], width * width).astype(np.int64)
-                # What follows a unit has it before: the second part counts what comes before heavy units.
-                have = near >= 0
-                np.add.at(total, width * width + (follows[have] * len(heavy) + near[have]) * width + own[have], n[have])
-                both = place >= 0
-                if both.any():
-                    np.add.at(total, width * width + place[both] * width + class_of[other[both]], n[both])
+                rows.append(np.frombuffer(row, "<u4").reshape(3, -1))
+                held += rows[-1].shape[1]
+                if held >= COUNTED:
+                    counted(rows)
+                    rows, held = [], 0
+        if rows:
+            counted(rows)
         yield from sent((at, total[at : at + CHUNK]) for at in range(0, length, CHUNK))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,29 +327,37 @@ class Exchange:
         starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
         units = unit[starts]
         line = np.repeat(np.arange(len(units)), np.diff(np.append(starts, len(unit))))
-        line, place, n = _summed(line, (other & 1) * width + class_of[other >> 1], n)
+        place = (other & 1) * width + class_of.take(other >> 1, mode="clip")
+        if len(units) * 2 * width <= SPARSE * len(unit):
+            # Counting cells takes no sort.
+            cells = np.bincount(line * (2 * width) + place, n, len(units) * 2 * width)
+            at = np.flatnonzero(cells)
+            (line, place), n = np.divmod(at, 2 * width), cells.take(at)
+        else:
+            line, place, n = _summed(line, place, n)
         own, held = class_of[units], np.bincount(line)
         stay = self.stay(line, place, n, own)
         first = np.append(0, np.cumsum(held))
         few, best = held <= width // FEW, np.zeros(len(units), np.int64)
 
-        def settle(some: np.ndarray, score: np.ndarray) -> None:
+        weight = n.astype(np.float32)
+        at_once = max(1, DENSE // (2 * width))
+        for start in range(0, len(units), at_once):
+            some = np.arange(start, min(start + at_once, len(units)))
+            score = np.empty((len(some), width - 1), np.float32)
+            for k in np.flatnonzero(few[some]).tolist():
+                near = slice(first[start + k], first[start + k + 1])
+                np.dot(weight[near], self.gains.take(place[near], axis=0), out=score[k])
+            many = np.flatnonzero(~few[some])
+            if len(many):
+                dense = np.zeros((len(many), 2 * width), np.float32)
+                size, upto = held[some[many]], first[some[many]]
+                line_of = np.repeat(np.arange(len(many)), size)
+                at = np.arange(len(line_of)) + np.repeat(upto - np.cumsum(size) + size, size)
+                dense[line_of, place[at]] = weight[at]
+                score[many] = dense @ self.gains
             score[np.arange(len(some)), own[some]] = stay[some]
             best[some] = score.argmax(1)
-
-        for chosen, entries in ((few, LINES // width), (~few, DENSE // (2 * width) * (width // FEW))):
-            some = np.flatnonzero(chosen)
-            group = np.cumsum(held[some]) // max(1, entries)
-            for some in np.split(some, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(some) else ():
-                size = held[some]
-                upto = np.append(0, np.cumsum(size))
-                at = np.arange(upto[-1]) + np.repeat(first[some] - upto[:-1], size)
-                if few[some[0]]:
-                    settle(some, np.add.reduceat(self.gains[place[at]] * n[at, None].astype(np.float32), upto[:-1], axis=0))
-                else:
-                    dense = np.zeros((len(some), 2 * width), np.float32)
-                    dense[np.repeat(np.arange(len(some)), size), place[at]] = n[at]
-                    settle(some, dense @ self.gains)
         return units, best
 
 
@@ -401,6 +457,10 @@ class Model:
     types: int  # V
     ends: int
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.known)
+
     @property
     def end(self) -> int:
         """The end's class."""
@@ -490,8 +550,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             at = first + np.arange(size + 1)  # places of the texts in ``line``
             score = np.array([steps[a:b].sum() for a, b in zip(at[:-1], at[1:])])
             if len(m.known):
-                place = np.minimum(np.searchsorted(m.known, words), len(m.known) - 1)
-                have = m.known[place] == words
+                place, have = m.places.of(words)
                 n = m.known_n[place[have]]
             else:
                 have, n = np.zeros(len(words), bool), np.zeros(0)

@@ -422,6 +422,38 @@ def test_every_repeated_word_is_clustered(spark, monkeypatch):
     assert sum(min(nouns[c], verbs[c]) for c in nouns) < 200
 
 
+@pytest.mark.parametrize("sparse", [0, 8])
+def test_best_classes_of_counted_and_sorted_pairs(monkeypatch, sparse):
+    """Units with few and with many neighbouring classes get the class of a plain sum over their neighbours."""
+    monkeypatch.setattr(classlm, "SPARSE", sparse)
+    rng = np.random.default_rng(3)
+    classes, units = 70, 400
+    class_of = np.append(rng.integers(0, classes, units), classes)
+    bigrams = rng.integers(0, 50, (classes + 1, classes + 1)).astype(float)
+    pairs = {(int(u), int(o)): int(rng.integers(1, 5)) for u in range(units) for o in rng.integers(0, 2 * units + 2, 3 if u % 2 else 120)}
+    unit, other, n = np.array([(u, o, k) for (u, o), k in sorted(pairs.items())]).T
+    gains = classlm.Exchange(bigrams)
+    score = np.zeros((units, classes))
+    for (u, o), k in pairs.items():
+        score[u] += k * gains.gains[(o & 1) * (classes + 1) + class_of[o >> 1]].astype(float)
+    line, place, total = classlm._summed(unit, (other & 1) * (classes + 1) + class_of[other >> 1], n)
+    score[np.arange(units), class_of[:-1]] = gains.stay(line, place, total, class_of[:-1])
+    found, best = gains.best(unit, other, n, class_of)
+    assert (found == np.arange(units)).all()
+    assert np.allclose(score[found, best], score.max(1), rtol=1e-5)
+
+
+def test_places_are_those_of_a_search():
+    rng = np.random.default_rng(6)
+    even = np.sort(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    near = np.arange(1000, 2000, dtype=np.uint64)  # all in one bucket
+    for hashes in (even, near, even[:1]):
+        words = rng.permutation(np.concatenate([hashes, hashes + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]))
+        want = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+        at, have = classlm.Places(hashes).of(words)
+        assert (at == want).all() and (have == np.isin(words, hashes)).all()
+
+
 def hashable(words):
     data = " ".join(words).encode()
     array = np.frombuffer(data, np.uint8)
