@@ -53,8 +53,12 @@ BETA = 10.0
 CHUNK = 1 << 16
 #: Tokens whose pairs a task counts before it sends them, pairs a task merges, pairs in a row of their table.
 TOKENS, MERGED, ROW = 1 << 19, 1 << 20, 1 << 16
+#: Pairs, before equal ones are merged, in a file of their table, which one task of a round reads.
+READ = 1 << 23
 #: Entries of a dense matrix of units and classes.
 DENSE = 1 << 19
+#: Numbers in a block of lines of gains that are added up.
+LINES = 1 << 17
 #: Units that have neighbours in up to one class of so many add up lines, others are multiplied as dense ones.
 FEW = 20
 #: Units whose cells (units times classes) are up to so many times their pairs are counted in cells.
@@ -73,6 +77,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+#: The spelling group of each number that two bytes make.
+_GROUP = (mix(np.arange(1 << 16, dtype=np.uint64)) % U(GROUPS)).astype(np.int64)
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and spelling group of every word of a slice, and the first word of every text (len + 1)."""
     data, offsets = raw(texts)
@@ -80,8 +88,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     data = lowered(data)
     starts, ends, first = word_bounds(data, offsets)
-    tail = data[ends - 1].astype(np.uint64) * U(256) + np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
-    return word_hashes(data, starts, ends), (mix(tail) % U(GROUPS)).astype(np.int64), first
+    tail = data.take(ends - 1).astype(np.uint16) * np.uint16(256) + data.take(ends - 2, mode="clip") * (ends - starts > 1)
+    return word_hashes(data, starts, ends), _GROUP.take(tail), first
 
 
 class Places:
@@ -134,10 +142,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word (hash), group, n of every word of the training texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, texts in slices(batches):
-            words, groups, _ = _words(texts)
-            names, first, n = np.unique(words, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(groups[first].astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
+            held.append(_words(texts)[:2])
+            size += len(held[-1][0])
+            if size >= TOKENS:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, groups = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(words)
+        words = words.take(order)
+        new = _starts(words)
+        n = np.diff(np.append(new, len(words)))
+        return pa.RecordBatch.from_arrays([pa.array(words.take(new).view(np.int64)), pa.array(groups.take(order.take(new)).astype(np.int32)), pa.array(n)], names=["word", "group", "n"])
 
     return train.mapInArrow(run, "word long, group int, n long").groupBy("word", "group").agg(F.sum("n").alias("n"))
 
@@ -145,22 +166,62 @@ def word_counts(train: DataFrame) -> DataFrame:
 _PAIRS = "part int, pairs binary"
 
 
-def _packed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
+def _sent(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
     return np.concatenate((unit, other, n)).astype("<u4").tobytes()
 
 
+#: Counts from here on lie apart in a row of pairs.
+LARGE = 255
+
+
+def _packed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs in order of their units: each unit once with its number of pairs, counts in a byte where they fit."""
+    starts = _starts(unit)
+    large = np.flatnonzero(n >= LARGE)
+    numbers = ([len(starts), len(unit), len(large)], unit[starts], np.diff(np.append(starts, len(unit))), other, large, n[large])
+    return np.concatenate(numbers).astype("<u4").tobytes() + np.minimum(n, LARGE).astype(np.uint8).tobytes()
+
+
+def _grouped(pairs: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of pairs the units, their numbers of pairs, and of each pair
+    2 * other unit + (0: it follows, 1: it comes before) and its count."""
+    units, size, large = np.frombuffer(pairs, "<u4", 3).tolist()
+    numbers = np.frombuffer(pairs, "<u4", 2 * units + size + 2 * large, 12)
+    n = np.frombuffer(pairs, np.uint8, size, 12 + numbers.nbytes)
+    if large:
+        n = n.astype(np.int64)
+        n[numbers[-2 * large : -large]] = numbers[-large:]
+    return numbers[:units], numbers[units : 2 * units], numbers[2 * units : 2 * units + size], n
+
+
 def _unpacked(pairs: bytes) -> np.ndarray:
     """Rows unit, 2 * other unit + (0: it follows, 1: it comes before) and count."""
-    return np.frombuffer(pairs, "<u4").reshape(3, -1).astype(np.int64)
+    units, sizes, other, n = _grouped(pairs)
+    return np.stack((np.repeat(units, sizes), other, n)).astype(np.int64)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
 
 
 def _summed(unit: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal pairs as one, in order of unit and other."""
-    key = unit << 32 | other
-    order = np.argsort(key)
-    key = key.take(order)
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return key[new] >> 32, key[new] & 0xFFFFFFFF, np.add.reduceat(n[order], new) if len(key) else n
+    if not len(unit):
+        return unit, other, n
+    low, bits = int(other.max()).bit_length(), int(n.max()).bit_length()
+    key = unit << low | other
+    if int(unit.max()).bit_length() + low + bits < 64:
+        # A count that fits beside its pair is sorted with it, which is faster than by an order.
+        key = np.sort(key << bits | n)
+        n = key & (1 << bits) - 1
+        key >>= bits
+    else:
+        order = np.argsort(key)
+        key, n = key.take(order), n.take(order)
+    new = _starts(key)
+    key = key.take(new)
+    return key >> low, key & (1 << low) - 1, np.add.reduceat(n, new)
 
 
 def _places(heavy: np.ndarray) -> np.ndarray:
@@ -183,7 +244,7 @@ def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, toke
     def send(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         heavy = _places(shared.value[1]) >= 0
         key = np.sort(np.concatenate([r[:-1] << 32 | r[1:] for r in rows]))
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        new = _starts(key)
         a, b, n = key[new] >> 32, key[new] & 0xFFFFFFFF, np.diff(np.append(new, len(key)))
         first, second = ~heavy[a] | heavy[b], ~heavy[b]
         unit, other, n = np.concatenate((a[first], b[second])), np.concatenate((2 * b[first], 2 * a[second] + 1)), np.concatenate((n[first], n[second]))
@@ -191,10 +252,10 @@ def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, toke
         part = (mix((unit << 32 | spread).astype(np.uint64)) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
         order = np.argsort(part, kind="stable")
         part, unit, other, n = part[order], unit[order], other[order], n[order]
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)).tolist()
+        cuts = np.append(_starts(part), len(part)).tolist()
         for k in range(0, len(cuts) - 1, 256):
             spans = list(zip(cuts[k : k + 256], cuts[k + 1 : k + 257]))
-            yield pa.RecordBatch.from_arrays([pa.array([part[i] for i, _ in spans], pa.int32()), pa.array([_packed(unit[i:j], other[i:j], n[i:j]) for i, j in spans], pa.binary())], names=["part", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array([part[i] for i, _ in spans], pa.int32()), pa.array([_sent(unit[i:j], other[i:j], n[i:j]) for i, j in spans], pa.binary())], names=["part", "pairs"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value[0]
@@ -218,7 +279,7 @@ def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, toke
         del found
         unit, other, n = _summed(*(x.astype(np.int64) for x in together))
         del together
-        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        starts = _starts(unit)
         at = 0
         while at < len(unit):
             later = np.searchsorted(starts, at + ROW)
@@ -226,7 +287,11 @@ def unit_pairs(train: DataFrame, vocabulary: Vocabulary, heavy: np.ndarray, toke
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_packed(unit[at:end], other[at:end], n[at:end])], pa.binary())], names=["part", "pairs"])
             at = end
 
-    return written(train.mapInArrow(count, _PAIRS).repartition(tasks, "part").mapInArrow(merge, _PAIRS), "unit-pairs")
+    merged = train.mapInArrow(count, _PAIRS).repartition(tasks, "part").mapInArrow(merge, _PAIRS)
+    # A task merges its parts one after the other and writes one file: each round starts a task for a file.
+    table = written(merged.coalesce(max(spark.sparkContext.defaultParallelism, -(-2 * tokens // READ))), "unit-pairs")
+    shared.destroy()
+    return table
 
 
 def class_counts(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,63 +300,77 @@ def class_counts(pairs: DataFrame, class_of: np.ndarray, classes: int, heavy: np
     Each task counts into one fixed vector and sends it in compressed chunks; equal chunks are added one at a
     time. The size depends on the classes, not on the text.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((class_of, heavy))
+    shared = pairs.sparkSession.sparkContext.broadcast((class_of.astype(np.int32), heavy))
     width = classes + 1
-    length = width * width + 2 * len(heavy) * width
-    schema = "at int, counts binary"
+    square, lines = width * width, len(heavy) * width
+    length = square + 2 * lines
+    schema = "at int, bytes int, counts binary"
 
     def sent(totals: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for at, part in totals:
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["at", "counts"])
+                kind = np.min_scalar_type(min(int(part.min()), -int(part.max()) - 1))
+                packed = zlib.compress(part.astype(kind).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([kind.itemsize], pa.int32()), pa.array([packed], pa.binary())], names=["at", "bytes", "counts"])
+
+    def received(size: int, counts: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(counts), f"i{size}")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_of, heavy = shared.value
-        places, class_of, total = _places(heavy).astype(np.int16), class_of.astype(np.int32), np.zeros(length, np.int64)
-
-        def counted(rows: list[np.ndarray]) -> None:
-            unit, other, n = np.concatenate(rows, axis=1).astype(np.int64)
-            follows, other = (other & 1) == 0, other >> 1
-            own, place, near = class_of.take(unit, mode="clip"), places.take(unit, mode="clip"), places.take(other, mode="clip")
-            light = np.flatnonzero(follows & (place < 0))
-            # What follows a unit has it before: the second part counts what comes before heavy units.
-            have, both = np.flatnonzero(near >= 0), np.flatnonzero(place >= 0)
-            for start, stop, at, first, second in (
-                (0, width * width, light, own.take(light), class_of.take(other.take(light), mode="clip")),
-                (width * width, length, have, follows.take(have) * len(heavy) + near.take(have), own.take(have)),
-                (width * width, length, both, place.take(both), class_of.take(other.take(both), mode="clip")),
-            ):
-                if len(at):
-                    total[start:stop] += np.bincount(first.astype(np.int64) * width + second, n.take(at), stop - start).astype(np.int64)
+        places, total = _places(heavy), np.zeros(length + width)
+        # Where a pair's counter is, less the class of its unit: among the bigrams (the second class first) of units that
+        # are not heavy, or in the line of a heavy neighbour. What such a unit has before it, another has behind it: that
+        # goes behind the end.
+        first = np.full(2 * len(places), length)
+        first[::2] = class_of * np.int64(width)
+        first[2 * heavy] = square + lines + np.arange(len(heavy)) * width
+        first[2 * heavy + 1] = square + np.arange(len(heavy)) * width
+
+        def counted(rows: list[tuple[np.ndarray, ...]]) -> None:
+            units, sizes, other, n = (np.concatenate(x) for x in zip(*rows))
+            at = first.take(other)
+            at += np.repeat(class_of[units], sizes)
+            total[:] += np.bincount(at, n, length + width)
+            if (places[units] >= 0).any():
+                # Two heavy ones are in the lines of both, so once less among the bigrams.
+                both = np.flatnonzero(np.repeat(places[units] >= 0, sizes))
+                unit, near, n = np.repeat(units, sizes)[both], class_of[other[both] >> 1].astype(np.int64), n[both]
+                total[square : square + lines] += np.bincount(places[unit] * width + near, n, lines)
+                total[:square] -= np.bincount(near * width + class_of[unit], n, square)
 
         rows, held = [], 0
         for batch in batches:
-            for row in batch.column("pairs").to_pylist():
-                rows.append(np.frombuffer(row, "<u4").reshape(3, -1))
-                held += rows[-1].shape[1]
+            for row in batch.column("pairs"):
+                rows.append(_grouped(row.as_buffer()))
+                held += len(rows[-1][-1])
                 if held >= COUNTED:
                     counted(rows)
                     rows, held = [], 0
         if rows:
             counted(rows)
-        yield from sent((at, total[at : at + CHUNK]) for at in range(0, length, CHUNK))
+        yield from sent((at, total[at : min(at + CHUNK, length)].astype(np.int64)) for at in range(0, length, CHUNK))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, part in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(part), np.int64)
-                totals[at] = totals[at] + part if at in totals else part
+            for row in batch.to_pylist():
+                at, part = row["at"], received(row["bytes"], row["counts"])
+                if at in totals:
+                    totals[at] += part.astype(np.int64)
+                else:
+                    totals[at] = part.astype(np.int64)
         yield from sent(totals.items())
 
     out = np.zeros(length)
-    for r in pairs.mapInArrow(count, schema).repartition(16, "at").mapInArrow(add, schema).collect():
-        part = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    for r in pairs.mapInArrow(count, schema).repartition(min(16, -(-length // (4 * CHUNK))), "at").mapInArrow(add, schema).collect():
+        part = received(r["bytes"], bytes(r["counts"]))
         out[r["at"] : r["at"] + len(part)] = part
     shared.destroy()
-    after, before = out[width * width :].reshape(2, len(heavy), width)
-    bigrams = out[: width * width].reshape(width, width)
+    after, before = out[square:].reshape(2, len(heavy), width)
+    bigrams = out[:square].reshape(width, width).T.copy()
     np.add.at(bigrams, class_of[heavy], after)
+    np.add.at(bigrams.T, class_of[heavy], before)
     return bigrams, after, before
 
 
@@ -300,6 +379,7 @@ class Exchange:
 
     def __init__(self, bigrams: np.ndarray) -> None:
         self.bigrams, self.width = bigrams, len(bigrams)
+        self.sides = np.concatenate((bigrams.T, bigrams)).ravel()
         self.totals = np.concatenate((bigrams.sum(1), bigrams.sum(0)))
         rows, columns = self.totals.reshape(2, -1)
         after, before = (BETA * (x + 1) / (x.sum() + self.width) for x in (columns, rows))
@@ -310,69 +390,92 @@ class Exchange:
 
     def stay(self, line: np.ndarray, place: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
         """The score of units in their own classes, with their counts taken out first."""
-        before, near, home = place >= self.width, place % self.width, own[line]
-        left = np.where(before, self.bigrams[near, home], self.bigrams[home, near]) - n
-        side = 2 * line + before
-        rest = np.maximum(self.totals[home + before * self.width] - np.bincount(side, n, 2 * len(own))[side], 0)
-        return np.bincount(line, n * np.log((np.maximum(left, 0) + self.prior[place]) / (rest + BETA)), len(own))
+        side = 2 * line + (place >= self.width)
+        left = self.sides.take(place * self.width + own.take(line)) - n
+        rest = np.maximum(self.totals.reshape(2, -1)[:, own].T.ravel() - np.bincount(side, n, 2 * len(own)), 0) + BETA
+        return np.bincount(line, n * np.log((np.maximum(left, 0) + self.prior.take(place)) / rest.take(side)), len(own))
 
     def best(self, unit: np.ndarray, other: np.ndarray, n: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The units of some pairs, in order, and the class that suits each best.
 
         Units with few neighbouring classes add up their lines of gains, others are multiplied as dense lines.
         """
-        width = self.width
-        if not len(unit):
-            return unit, unit
-        starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        starts = _starts(unit)
         units = unit[starts]
-        line = np.repeat(np.arange(len(units)), np.diff(np.append(starts, len(unit))))
-        place = (other & 1) * width + class_of.take(other >> 1, mode="clip")
-        if len(units) * 2 * width <= SPARSE * len(unit):
+        return units, self.best_of(class_of[units], np.diff(np.append(starts, len(unit))), self.places(class_of).take(other), n)
+
+    def places(self, class_of: np.ndarray) -> np.ndarray:
+        """For 2 * unit + (0: it follows, 1: it comes before), the line of gains."""
+        return np.stack((class_of, class_of + self.width), 1).ravel().astype(np.int64)
+
+    def best_of(self, own: np.ndarray, sizes: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same of units by their own classes, their numbers of pairs and the places of these."""
+        width, units = self.width, own
+        if not len(units):
+            return units
+        line = np.repeat(np.arange(len(units)), sizes)
+        if len(units) * 2 * width <= SPARSE * len(line):
             # Counting cells takes no sort.
             cells = np.bincount(line * (2 * width) + place, n, len(units) * 2 * width)
             at = np.flatnonzero(cells)
             (line, place), n = np.divmod(at, 2 * width), cells.take(at)
         else:
-            line, place, n = _summed(line, place, n)
-        own, held = class_of[units], np.bincount(line)
+            line, place, n = _summed(line, place, n.astype(np.int64))
+        held = np.bincount(line)
         stay = self.stay(line, place, n, own)
         first = np.append(0, np.cumsum(held))
         few, best = held <= width // FEW, np.zeros(len(units), np.int64)
 
-        weight = n.astype(np.float32)
-        at_once = max(1, DENSE // (2 * width))
-        for start in range(0, len(units), at_once):
-            some = np.arange(start, min(start + at_once, len(units)))
-            score = np.empty((len(some), width - 1), np.float32)
-            for k in np.flatnonzero(few[some]).tolist():
-                near = slice(first[start + k], first[start + k + 1])
-                np.dot(weight[near], self.gains.take(place[near], axis=0), out=score[k])
-            many = np.flatnonzero(~few[some])
-            if len(many):
-                dense = np.zeros((len(many), 2 * width), np.float32)
-                size, upto = held[some[many]], first[some[many]]
-                line_of = np.repeat(np.arange(len(many)), size)
-                at = np.arange(len(line_of)) + np.repeat(upto - np.cumsum(size) + size, size)
-                dense[line_of, place[at]] = weight[at]
-                score[many] = dense @ self.gains
+        def chosen(some: np.ndarray, score: np.ndarray) -> None:
             score[np.arange(len(some)), own[some]] = stay[some]
             best[some] = score.argmax(1)
-        return units, best
+
+        weight = n.astype(np.float32)
+        # Units with equally many neighbouring classes are multiplied together; their lines of gains lie in one block.
+        order = np.flatnonzero(few)
+        order = order.take(np.argsort(held.take(order), kind="stable"))
+        cuts = np.append(_starts(held.take(order)), len(order)).tolist()
+        block = np.empty(max(LINES, width // FEW * (width - 1)), np.float32)
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            size = int(held[order[start]])
+            at_once = max(1, len(block) // (size * (width - 1)))
+            for upto in range(start, stop, at_once):
+                some = order[upto : min(upto + at_once, stop)]
+                at = first.take(some)[:, None] + np.arange(size)
+                lines = self.gains.take(place.take(at.ravel()), 0, block[: at.size * (width - 1)].reshape(at.size, width - 1), "clip")
+                chosen(some, np.matmul(weight.take(at)[:, None], lines.reshape(len(some), size, width - 1))[:, 0])
+
+        many = np.flatnonzero(~few)
+        at_once = max(1, DENSE // (2 * width))
+        for start in range(0, len(many), at_once):
+            some = many[start : start + at_once]
+            dense = np.zeros((len(some), 2 * width), np.float32)
+            size, upto = held[some], first[some]
+            line_of = np.repeat(np.arange(len(some)), size)
+            at = np.arange(len(line_of)) + np.repeat(upto - np.cumsum(size) + size, size)
+            dense[line_of, place[at]] = weight[at]
+            chosen(some, dense @ self.gains)
+        return best
 
 
 def moved(pairs: DataFrame, class_of: np.ndarray, bigrams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """Every unit that is not heavy in its best class."""
-    shared = pairs.sparkSession.sparkContext.broadcast((class_of, bigrams, heavy))
+    shared = pairs.sparkSession.sparkContext.broadcast((class_of.astype(np.int32), bigrams, heavy))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_of, bigrams, heavy = shared.value
         gains, light = Exchange(bigrams), _places(heavy) < 0
+        places = gains.places(class_of)
         for batch in batches:
-            for row in batch.column("pairs").to_pylist():
-                pairs = _unpacked(row)
-                units, best = gains.best(*pairs[:, light[pairs[0]]], class_of)
-                new = best != class_of[units]
+            for row in batch.column("pairs"):
+                units, sizes, other, n = _grouped(row.as_buffer())
+                some = light[units]
+                if not some.all():
+                    each = np.repeat(some, sizes)
+                    units, sizes, other, n = units[some], sizes[some], other[each], n[each]
+                own = class_of[units]
+                best = gains.best_of(own, sizes, places.take(other), n)
+                new = best != own
                 yield pa.RecordBatch.from_arrays([pa.array(units[new].astype(np.int32)), pa.array(best[new].astype(np.int32))], names=["unit", "class"])
 
     found = pairs.mapInArrow(run, "unit int, class int").toArrow()
@@ -568,8 +671,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             )
             rest = np.flatnonzero(~have)
             if len(rest):
-                pairs = np.lexsort((words[rest], owner[rest]))
-                rest = rest[pairs]
+                # In order of texts, in these of words.
+                rest = rest.take(np.argsort(words.take(rest)))
+                rest = rest.take(np.argsort(owner.take(rest).astype(np.uint16 if size <= 1 << 16 else np.int64), kind="stable"))
                 new = np.ones(len(rest), bool)
                 new[1:] = (words[rest[1:]] != words[rest[:-1]]) | (owner[rest[1:]] != owner[rest[:-1]])
                 heads = np.flatnonzero(new)
@@ -577,7 +681,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 zero = np.zeros(len(some))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[owner[some]]), pa.array([None] * len(some), pa.int64()), pa.array(words[some].view(np.int64)), pa.array(np.diff(np.append(heads, len(rest))).astype(np.int32)),
+                        pa.array(ids[owner[some]]), pa.nulls(len(some), pa.int64()), pa.array(words[some].view(np.int64)), pa.array(np.diff(np.append(heads, len(rest))).astype(np.int32)),
                         pa.array(classes[some].astype(np.int32)), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero),
                     ],
                     schema=schema,

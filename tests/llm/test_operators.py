@@ -11,10 +11,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from barspan.llm import bytebpe, classifier, classlm, fingerprints, idfiles, jaccard, packing, pii, rules, tokencounts
 from barspan.llm.queries import MERGE_RANKS, PIECE_MODEL, WORD_MODEL, vocabulary
+from barspan.llm.text import slices
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -443,6 +445,46 @@ def test_best_classes_of_counted_and_sorted_pairs(monkeypatch, sparse):
     assert np.allclose(score[found, best], score.max(1), rtol=1e-5)
 
 
+def test_rows_of_pairs_are_compact():
+    """Each round reads them: a unit is there once, a count takes a byte, and large counts come back whole."""
+    rng = np.random.default_rng(4)
+    unit = np.sort(rng.integers(0, 50, 4000))
+    other, n = rng.integers(0, 2**31, 4000), rng.integers(1, 3, 4000)
+    n[[0, 7, 8, 3999]] = 254, 255, 256, 2**32 - 1
+    row = classlm._packed(unit, other, n)
+    assert len(row) < 6 * len(unit)
+    assert (classlm._unpacked(row) == np.stack((unit, other, n))).all()
+    assert classlm._unpacked(classlm._packed(unit[:0], other[:0], n[:0])).shape == (3, 0)
+
+
+@pytest.mark.parametrize("most", [3, 2**31])
+def test_equal_pairs_are_summed(most):
+    """Whether or not a count fits beside its pair in 64 bits."""
+    rng = np.random.default_rng(5)
+    unit, other, n = rng.integers(0, 30, 3000) * 10**6, rng.integers(0, 30, 3000) * 10**6, rng.integers(1, most, 3000)
+    want = collections.Counter()
+    for a, b, k in zip(unit.tolist(), other.tolist(), n.tolist()):
+        want[a, b] += k
+    found = np.stack(classlm._summed(unit, other, n)).T.tolist()
+    assert [tuple(x[:2]) for x in found] == sorted(want) and {tuple(x[:2]): x[2] for x in found} == want
+
+
+def test_words_are_counted_over_many_slices(spark, monkeypatch):
+    """A task sends a word once for all slices that it counts together."""
+    sent = []
+    monkeypatch.setattr(classlm, "slices", lambda batches: slices(batches, 20))
+
+    class Texts:
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_pydict({"text": ["the cat the dog", None, "", "the cat The end", "the dog"] * 3})
+            sent.extend(x for one in run([batch]) for x in one.to_pylist())
+            return spark.createDataFrame(sent, "word long, group int, n long")
+
+    found = classlm.word_counts(Texts()).collect()
+    assert len(sent) == len(found) == 4 and sorted(r["n"] for r in found) == [3, 6, 6, 15]
+    assert sorted(x["n"] for x in sent) == [3, 6, 6, 15]
+
+
 def test_places_are_those_of_a_search():
     rng = np.random.default_rng(6)
     even = np.sort(rng.integers(0, 2**64, 5000, dtype=np.uint64))
