@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from barspan.llm.segments import drop_stores
 from barspan.llm.text import BASE, BASE_INVERSE, U, lowered, mix, ngram_hashes, powers, raw, slices, word_bounds, word_hashes
 
 #: Most labelled texts that one model is trained on.
@@ -120,6 +121,7 @@ def train(
     made = pa.schema([("label", pa.float64()), ("draw", pa.int64()), ("at", pa.binary()), ("value", pa.binary())])
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_stores()
         for batch, texts in slices(batches):
             found = features(texts, bits)
             yield pa.RecordBatch.from_arrays(
@@ -178,6 +180,7 @@ def kept_rows(docs: DataFrame, weights: np.ndarray, text_col: str = "text", thre
     def good(texts):
         import pandas as pd
 
+        drop_stores()
         w = shared.value.astype(np.float64)
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
         cut = np.log(threshold / (1 - threshold))

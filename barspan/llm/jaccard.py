@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barspan.llm.components import components
+from barspan.llm.segments import drop_stores
 from barspan.llm.text import U, lowered, mix, ngram_hashes, raw, slices, word_bounds, word_hashes
 from barspan.plans.tables import written
 
@@ -73,6 +74,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_stores()
         counts = np.zeros(COUNTERS, np.uint32)
         for batch, texts in slices(batches):
             sets = sets_of(texts)
@@ -133,6 +135,7 @@ def entries(docs: DataFrame, classes: np.ndarray, small: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_stores()
         rank = shared.value
         for batch, texts in slices(batches):
             keys, ids, sizes, places, kinds = [], [], [], [], []
@@ -291,6 +294,7 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 def _whole_sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_stores()
         for batch, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets_of(texts)], pa.binary())], names=["id", "tokens"])
 

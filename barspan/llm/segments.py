@@ -10,10 +10,13 @@ that was met more often stays: frequent words are encoded once, however many rar
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from barspan.llm.text import counts_to_offsets, differing, distinct, flat_places, word_hashes
 
@@ -142,6 +145,21 @@ class SegmentStore:
         self.slot_of = dict(zip(self.name.tolist(), range(n)))
 
 
+def drop_stores() -> None:
+    """Drop the stores that tasks of a tokenizer left in this worker, and give their memory back to the system.
+
+    A worker outlives its tasks; those of another operator call this first.
+    """
+    modules = (sys.modules.get(f"barspan.llm.{name}") for name in ("bytebpe", "tokencounts", "wordbpe"))
+    left = [m._stores for m in modules if m and m._stores]
+    for stores in left:
+        stores.clear()
+    if left:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 class FlatRuns:
     """Runs of ids as one array with offsets."""
 

@@ -12,6 +12,7 @@ unchanged, null or not. An empty table passes every stage as an empty table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,25 +23,43 @@ from barspan.plans.tables import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of a batch on its way to a Python worker: executor and worker each hold one whole, the operators slices of 1 MB of it.
+BATCH_BYTES = 4_000_000
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, in a session that sends BATCH_BYTES at a time; rows are computed when they are read, so the setting stays."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.passed(docs)
 
 
+@in_small_batches
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier learns from the labelled documents that are left."""
     weights = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classifier.kept_rows(docs, weights)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@in_small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary(WORD_MODEL).decode())
 

@@ -5,12 +5,14 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import differences, duck
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from barspan.llm import classifier, packing, pii
+from barspan.llm import classifier, jaccard, packing, pii, wordbpe
 from barspan.llm.queries import QUERIES, SQL, WORD_MODEL, documents, vocabulary
 
 
@@ -51,6 +53,38 @@ def test_pipeline(spark, small_dir):
     assert set(pieces) == {r["doc_id"] for r in left.collect()}
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[1:]])
+def test_stages_hand_workers_small_batches(spark, small_dir, name):
+    """Batches follow bytes: 9,000 texts of 2,500 bytes came as one."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    spark.conf.unset(setting)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, documents(spark, small_dir), small_dir)
+        rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("word "), 500).alias("text"))
+        found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.unset(setting)
+    assert sum(found) > 9000 * 2500 and max(found) < 1.01 * corpus_pipeline.BATCH_BYTES
+
+
+def test_join_drops_the_stores_of_tokenizers():
+    """A worker that has packed holds a vocabulary and tokens; they go when it joins."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a few words"])], names=["doc_id", "text"])
+    assert list(wordbpe.encoded([batch], vocabulary(WORD_MODEL).decode())) and wordbpe._stores
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return list(run([batch]))
+
+    assert jaccard.signatures(Rows())[0].column("n").to_pylist() == [1]
+    assert not wordbpe._stores
+
+
 def test_packed_sequences_hold_their_ids(spark, small_dir):
     """The pipeline and op9 return the sequences: a document's pieces decode to its text."""
     from tokenizers import Tokenizer
