@@ -119,3 +119,41 @@ def test_stored_training_rows_are_not_kept_again(spark, panel, monkeypatch):
     assert not kept
     plain = models.fit_model(panel, build_features(panel, ["legacy"]).where("date <= 20240120"), columns, "ridge")
     assert kept and np.allclose(stored.coef, plain.coef, rtol=1e-9, atol=1e-15)
+
+
+# -- boosting ------------------------------------------------------------------------
+
+
+def test_one_task_boosts_as_passes_do(spark, drawn, monkeypatch):
+    from barspan.operators import boosting
+
+    params = boosting.Boosting(rounds=9, rate=0.3, leaves=6, depth=4, least_rows=20, column_share=0.75, l1=0.0, l2=1.0)
+    table, passes, count = spark.createDataFrame(drawn).repartition(3), [], boosting.node_histograms
+    monkeypatch.setattr(boosting, "node_histograms", lambda *a: passes.append(a[-1]) or count(*a))
+    alone = boosting.boost(table, COLUMNS, "y", params)
+    assert not passes
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(boosting, "COLUMNS_TOGETHER", 3)
+    together = boosting.boost(table, COLUMNS, "y", params)
+    assert len(passes) > 9 and {len(columns) for columns in passes} == {3}  # drawn columns alone
+    assert [t.column for t in alone.trees] == [t.column for t in together.trees] and len(alone.trees) == 9
+    score = lambda fit: [r["pred"] for r in fit.predict(table).orderBy("n").collect()]
+    np.testing.assert_allclose(score(alone), score(together), rtol=1e-9, atol=1e-12)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables.run_folder(spark))
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    assert not any(n.startswith("boosting-") for n in names)
+
+
+def test_members_query_fits_the_default_members(panel, monkeypatch):
+    from barspan.operators.specs import MEMBERS
+    from barspan.queries import model_queries
+
+    seen = {}
+
+    def engine(p, members, train, val, **options):
+        seen.update(members=members, **options)
+        return p.df.withColumn("pred", F.lit(0.0))
+
+    monkeypatch.setattr(model_queries.protocol, "run_engine", engine)
+    model_queries.h12_members(panel)
+    assert list(seen["members"]) == MEMBERS and seen["params"] == {"M_lgbm_d4": {"l1": 1e-4}}
