@@ -108,6 +108,17 @@ def test_features_written_by_steps(spark, panel, monkeypatch):
     assert kinds["regime_score"] == kinds["fret12"] == "double" and kinds["obi0_lag_3"] == "float" and floats.columns == build_features(panel, groups).columns
 
 
+def test_stages_written_by_steps(spark, panel, tmp_path, monkeypatch):
+    days = panel.df.select("date").distinct().where("date <= 20240121")
+    whole, parts = (FeatureStore(panel, str(tmp_path / n)) for n in ("whole", "parts"))
+    whole.write_stage("base", days)
+    monkeypatch.setattr(catalogue, "STEP_ROWS", panel.layout.total_rows // 3)
+    steps = catalogue.date_steps(panel, days)
+    assert len(steps) > 1 and [d for dates, _ in steps for d in dates] == sorted(r["date"] for r in days.collect())
+    parts.write_stage("base", days)
+    assert rows_of(parts.read_stage("base")) == rows_of(whole.read_stage("base")) != []
+
+
 def test_stored_training_rows_are_not_kept_again(spark, panel, monkeypatch):
     """Rows of a written table are read again from there: a second copy of them would lie on the executors' disks."""
     kept = []
